@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from notelake.llm.chat import OP3_SQL, op3_chat_snapshots
+from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from notelake.llm.fingerprints import op2_fingerprints
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_snapshots": op3_chat_snapshots,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_chat_snapshots": OP3_SQL,
+    "op9_exact_dedup": OP9_SQL,
 }
