@@ -6,10 +6,12 @@ from notelake.llm.chat import OP3_SQL, op3_chat_snapshots
 from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from notelake.llm.fingerprints import op2_fingerprints
 from notelake.llm.near_dedup import op8_minhash
+from notelake.llm.packing import op4_best_fit
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_snapshots": op3_chat_snapshots,
+    "op4_best_fit": op4_best_fit,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
