@@ -7,12 +7,14 @@ from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from notelake.llm.fingerprints import op2_fingerprints
 from notelake.llm.near_dedup import op8_minhash
 from notelake.llm.packing import op4_best_fit
+from notelake.llm.quality import op5_quality
 from notelake.llm.repeats import op6_repeats
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_snapshots": op3_chat_snapshots,
     "op4_best_fit": op4_best_fit,
+    "op5_quality": op5_quality,
     "op6_repeats": op6_repeats,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
