@@ -1,13 +1,12 @@
 """Operator 2, document fingerprints: improved consistent weighted sampling, with DataFrame functions only.
 
-The terms of a text are its words, weighted by their number. For sample k every term draws r, c ~ Gamma(2, 1) and
-beta ~ U(0, 1) from a hash of (term, k); with t = floor(ln(w) / r + beta) the term's rank is
+The terms of a text are its words, weighted by their number. For sample k every term draws r, c ~ Gamma(2, 1)
+(a table of quantiles) and beta ~ U(0, 1) from a hash of (term, k); with t = floor(ln(w) / r + beta) the term's rank is
 ln(a) = ln(c) - r (t - beta + 1), and the smallest one is the sample (term, t). Two texts agree in a sample with
 probability sum(min(w)) / sum(max(w)), the generalised Jaccard similarity of their weighted terms.
 
-Plan: term weights are built inside the row (sorted hashes, run lengths), exploded, and folded by one min() per
-sample: rank in the high bits, sample identity in the low ones. A caller whose rows are already dealt out by id
-needs no further shuffle. The texts move once.
+Plan: the texts move once, dealt out by id; words are counted, samples folded (one min() per sample: rank in the high
+bits, sample identity in the low ones) and fingerprints put together in the same stage, without another shuffle.
 
 Defined cases: null text is the empty text; a text without words has the fingerprint of all zeros, and is like
 another such text only (likeness 1); doc_id is a key: rows without one have no place in the ring and are left out,
@@ -17,6 +16,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,72 +28,77 @@ from notelake.llm.common import WORD_GAP, documents, stage, text_or_empty
 SAMPLES = 64
 #: Bits of a fingerprint's sample.
 SAMPLE_BITS = 16
-_TAG = 23  # low bits of a folded sample: its identity; the 40 above: its rank
-
-
-def _sample_keys(k: int, weights: list[str]) -> list[Column]:
-    """For sample k, one folded key (rank, identity) for each weight column; null where the weight is 0."""
-    z1 = F.xxhash64(F.col("h"), F.lit(k))
-    z2 = F.xxhash64(F.col("h"), F.lit(k), F.lit(1))
-    unit = lambda z, shift, bits: (F.shiftrightunsigned(z, shift).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / F.lit(float(1 << bits))
-    r = -F.log(unit(z1, 0, 21) * unit(z1, 21, 21))
-    beta = unit(z1, 42, 21)
-    ln_c = F.log(-F.log(unit(z2, 0, 31) * unit(z2, 31, 31)))
-    out = []
-    for w in weights:
-        t = F.floor(F.col(f"ln_{w}") / r + beta)
-        rank = F.floor((ln_c - r * (t - beta + F.lit(1.0)) + F.lit(64.0)) * F.lit(float(1 << 33)))
-        tag = F.xxhash64(z2, t).bitwiseAND((1 << _TAG) - 1)
-        out.append(F.when(F.col(w) > 0, F.shiftleft(rank, _TAG).bitwiseOR(tag)))
+#: Samples that one row of the fold makes.
+GROUP = 8
+#: Steps of the table of Gamma(2, 1) quantiles.
+STEPS = 4096
+_TAG = 20  # low bits of a folded sample: its identity; the 40 above: its rank
+
+
+def gamma_quantiles(steps: int = STEPS) -> list[float]:
+    """The quantiles (i + 1/2) / steps of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
+    out, x = [], 0.0
+    for i in range(steps):
+        p = (i + 0.5) / steps
+        x = x or math.sqrt(2 * p)
+        for _ in range(60):
+            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
+            x = max(x - step, x / 2)
+            if abs(step) < 1e-12 * x:
+                break
+        out.append(x)
     return out
 
 
-def _sorted_hashes(hashes: dict[str, Column]) -> Column:
-    """The given arrays of hashes as one sorted array; the lowest bit says which array a hash came from."""
-    tag = lambda c, side: F.transform(c, lambda x: F.shiftleft(x, 1).bitwiseOR(side))
-    return F.sort_array(F.concat(*[tag(c, side) for side, c in enumerate(hashes.values())]))
+def _fold_samples(rows: DataFrame, id_col: str, weights: list[str], samples: int) -> DataFrame:
+    """Rows (id, h, weights) to (id, g, s0, s1): the folded samples of each group g, an array for each weight column.
+
+    One hash of (term, sample) gives r, c and beta; each is a column of its own, used by all weights. A weight of zero is
+    null and takes no part in the minima.
+    """
+    q = gamma_quantiles()
+    spark = rows.sparkSession
+    table = lambda xs: spark.range(1).select(F.from_json(F.lit(str(xs)), "array<double>")).scalar()
+    r_of, c_of = table(q), table([math.log(x) for x in q])
+    bits = lambda z, at, n: F.shiftrightunsigned(z, at).bitwiseAND((1 << n) - 1)
+    js, width = range(GROUP), STEPS.bit_length() - 1
+    x = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // GROUP - 1))).alias("g"))
+    x = x.withColumns({f"z{j}": F.xxhash64("h", "g", F.lit(j)) for j in js})
+    x = x.withColumns(
+        {f"r{j}": F.get(r_of, bits(F.col(f"z{j}"), 0, width).cast("int")) for j in js}
+        | {f"c{j}": F.get(c_of, bits(F.col(f"z{j}"), width, width).cast("int")) for j in js}
+        | {f"b{j}": (bits(F.col(f"z{j}"), 24, 20) + F.lit(0.5)) / F.lit(float(1 << 20)) for j in js}
+    )
+    x = x.withColumns({f"t{j}_{i}": F.floor(F.col(f"ln_{w}") / F.col(f"r{j}") + F.col(f"b{j}")) for j in js for i, w in enumerate(weights)})
+
+    def key(j: int, i: int) -> Column:
+        t = F.col(f"t{j}_{i}")
+        rank = F.floor((F.col(f"c{j}") - F.col(f"r{j}") * (t - F.col(f"b{j}") + F.lit(1.0)) + F.lit(64.0)) * F.lit(float(1 << 33)))
+        identity = (bits(F.col(f"z{j}"), 44, 20) + t * F.lit(40503)).bitwiseAND((1 << _TAG) - 1)
+        return F.shiftleft(rank, _TAG).bitwiseOR(identity)
+
+    least = x.groupBy(id_col, "g").agg(*[F.min(key(j, i)).alias(f"m{j}_{i}") for j in js for i in range(len(weights))])
+    return least.select(id_col, "g", *[F.when(F.col(f"m0_{i}").isNotNull(), F.array(*[F.col(f"m{j}_{i}") for j in js])).alias(f"s{i}") for i in range(len(weights))])
+
+
+def term_weights(docs: DataFrame, id_col: str, texts: list[str]) -> DataFrame:
+    """Rows (id, h, w0, ...): the hash of each distinct word and its number in each text column.
+
+    Rows that are dealt out by id already are not shuffled again.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(texts)])
+    x = docs.select(id_col, F.explode(sides).alias("x")).select(id_col, "x.side", F.explode(F.split("x.text", WORD_GAP)).alias("word"))
+    counts = [F.sum((F.col("side") == i).cast("int")).alias(f"w{i}") for i in range(len(texts))]
+    return x.where(F.col("word") != "").groupBy(id_col, F.xxhash64("word").alias("h")).agg(*counts)
 
 
 def weighted_samples(docs: DataFrame, id_col: str, texts: list[str], samples: int = SAMPLES) -> DataFrame:
-    """id_col and, for each of one or two text columns, an array of folded samples named after it (null: no terms)."""
-    if len(texts) not in (1, 2):
-        raise ValueError("one or two text columns")
-    hashed = lambda c: F.transform(F.filter(F.split(F.col(c), WORD_GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
-    s = docs.select(F.col(id_col), _sorted_hashes({c: hashed(c) for c in texts}).alias("s"))
-    # where each run of equal (hash, column) begins
-    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    s = s.where(F.size("s") > 0).select(id_col, "s", first.alias("at"))
-    term = lambda p, j: F.struct(
-        F.shiftright(F.get("s", p), 1).alias("h"),
-        F.get("s", p).bitwiseAND(1).cast("int").alias("side"),
-        (F.coalesce(F.get("at", j + 1), F.size("s")) - p).alias("w"),
-    )
-    s = s.select(id_col, F.transform("at", term).alias("u"))
-    if len(texts) == 1:
-        pair = F.transform("u", lambda x, j: F.struct(x["h"].alias("h"), x["w"].alias("w0"), F.lit(0).alias("w1")))
-    else:  # the two runs of a term that both texts have are neighbours: they become one row
-        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-        pair = F.filter(
-            F.transform(
-                "u",
-                lambda x, j: F.when(
-                    (x["side"] == 0) | ~same(x, F.when(j > 0, F.get("u", j - 1))),
-                    F.struct(
-                        x["h"].alias("h"),
-                        F.when(x["side"] == 0, x["w"]).otherwise(0).alias("w0"),
-                        F.when(x["side"] == 1, x["w"]).when(same(x, F.get("u", j + 1)), F.get("u", j + 1)["w"]).otherwise(0).alias("w1"),
-                    ),
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    weights = ["w0", "w1"][: len(texts)]
-    rows = s.select(id_col, F.explode(pair).alias("x")).select(id_col, "x.h", *[f"x.{w}" for w in weights])
-    rows = rows.select("*", *[F.log(F.greatest(F.col(w), F.lit(1)).cast("double")).alias(f"ln_{w}") for w in weights])
-    keys = [_sample_keys(k, weights) for k in range(samples)]
-    folded = rows.groupBy(id_col).agg(*[F.min(keys[k][i]).alias(f"m{i}_{k}") for i in range(len(weights)) for k in range(samples)])
-    arrays = [F.when(F.col(f"m{i}_0").isNotNull(), F.array(*[F.col(f"m{i}_{k}") for k in range(samples)])).alias(c) for i, c in enumerate(texts)]
-    return folded.select(id_col, *arrays)
+    """id_col and, for each text column, an array of folded samples named after it (null or no row: no terms)."""
+    weights = [f"w{i}" for i in range(len(texts))]
+    rows = term_weights(docs, id_col, texts).select(id_col, "h", *[F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"ln_{w}") for w in weights])
+    parts = _fold_samples(rows, id_col, weights, samples)
+    whole = lambda i: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("g", f"s{i}"))), lambda p: p[f"s{i}"]))
+    return parts.groupBy(id_col).agg(*[whole(i).alias(c) for i, c in enumerate(texts)])
 
 
 def fingerprint_text(folded: Column, samples: int = SAMPLES) -> Column:
