@@ -5,12 +5,15 @@ from __future__ import annotations
 from notelake.llm.chat import OP3_SQL, op3_chat_snapshots
 from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from notelake.llm.fingerprints import op2_fingerprints
+from notelake.llm.mixing import OP1_SQL, op1_mixture
 from notelake.llm.near_dedup import op8_minhash
 from notelake.llm.packing import op4_best_fit
 from notelake.llm.quality import op5_quality
 from notelake.llm.repeats import op6_repeats
+from notelake.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_mixture": op1_mixture,
     "op2_fingerprints": op2_fingerprints,
     "op3_chat_snapshots": op3_chat_snapshots,
     "op4_best_fit": op4_best_fit,
@@ -18,9 +21,11 @@ QUERIES = {
     "op6_repeats": op6_repeats,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op1_mixture": OP1_SQL,
     "op3_chat_snapshots": OP3_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
