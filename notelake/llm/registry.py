@@ -11,6 +11,7 @@ from notelake.llm.packing import op4_best_fit
 from notelake.llm.quality import op5_quality
 from notelake.llm.repeats import op6_repeats
 from notelake.llm.toxicity import op10_toxicity
+from notelake.llm.warc import op7_warc
 
 QUERIES = {
     "op1_mixture": op1_mixture,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit": op4_best_fit,
     "op5_quality": op5_quality,
     "op6_repeats": op6_repeats,
+    "op7_warc": op7_warc,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
