@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notelake.functions.columns import encode_entities
-
 
 def blocks(text: Column) -> Column:
     """array<string>: text between blank lines."""
@@ -18,58 +16,84 @@ def paragraphs(text: Column) -> Column:
 
 
 def inline(text: Column) -> Column:
-    """Inline marks of escaped text."""
-    out = F.regexp_replace(text, r"%%[^%]*%%", "")
-    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]|]*\|(\d+)x(\d+)\]\]", '<a href="$1" width="$2" height="$3">$1</a>')
-    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]|]*\|(\d+)\]\]", '<a href="$1" width="$2">$1</a>')
-    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]]*\]\]", '<a href="$1">$1</a>')
+    """Inline marks; a run of code keeps its characters only as far as no mark stands in it."""
+    out = F.regexp_replace(text, r"%%[^%]*%% ?", "")
+    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]|]*\|(\d+)x(\d+)\]\]", '<a href="$1" width="$2" height="$3"></a>')
+    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]|]*\|(\d+)\]\]", '<a href="$1" width="$2"></a>')
+    out = F.regexp_replace(out, r"!\[\[([^\]|#]+)[^\]]*\]\]", '<a href="$1"></a>')
     out = F.regexp_replace(out, r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img src="$2" alt="$1">')
     out = F.regexp_replace(out, r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')
     out = F.regexp_replace(out, r"`([^`]+)`", "<code>$1</code>")
+    out = F.regexp_replace(out, r"(?<![$\w])\$([^$\s](?:[^$]*[^$\s])?)\$(?!\w)", '<span class="math math-inline">$1</span>')
     out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
     out = F.regexp_replace(out, r"(?<![*\w])\*([^*\s][^*]*)\*", "<em>$1</em>")
+    out = F.regexp_replace(out, r"(?<![\w_])_([^_\s](?:[^_]*[^_\s])?)_(?![\w_])", "<em>$1</em>")
     out = F.regexp_replace(out, r"~~([^~]+)~~", "<del>$1</del>")
     out = F.regexp_replace(out, r"(?<!~)~([^~\s]+)~(?!~)", "<sub>$1</sub>")
     out = F.regexp_replace(out, r"\^([^^\s]+)\^", "<sup>$1</sup>")
     even = F.size(F.split(out, "==")) % 2 == 1
-    return F.when(even, F.regexp_replace(out, r"==([^=]+)==", "<mark>$1</mark>")).otherwise(out)
+    return F.when(even, F.regexp_replace(out, r"==([^=]+)==", '<span style="background-color: rgb(255, 255, 0);">$1</span>')).otherwise(out)
+
+
+def nested_list(lines: Column, mark: str, open_list: Column, close_list: Column, open_item) -> Column:
+    """Items of two blanks a level, folded into nested lists; an item goes at most one level deeper than the one before."""
+    level = lambda x: F.floor(F.length(F.regexp_extract(x, r"^(\s*)", 1)) / 2).cast("int")
+    up = F.concat(F.lit("\n"), close_list, F.lit("\n</li>"))
 
+    def step(acc: Column, x: Column) -> Column:
+        deep = F.least(level(x), acc["depth"] + 1)
+        lead = (
+            F.when(acc["depth"] < 0, F.concat(open_list, F.lit("\n")))
+            .when(deep > acc["depth"], F.concat(F.lit("\n"), open_list, F.lit("\n")))
+            .otherwise(F.concat(F.lit("</li>"), F.repeat(up, acc["depth"] - deep), F.lit("\n")))
+        )
+        return F.struct(F.greatest(deep, F.lit(0)).alias("depth"), F.concat(acc["html"], lead, open_item(x), inline(F.regexp_replace(x, mark, ""))).alias("html"))
 
-def _list_items(block: Column, mark: str) -> Column:
-    return F.transform(F.split(block, "\n"), lambda x: inline(F.regexp_replace(x, mark, "")))
+    done = lambda acc: F.concat(acc["html"], F.lit("</li>"), F.repeat(up, acc["depth"]), F.lit("\n"), close_list)
+    return F.aggregate(lines, F.struct(F.lit(-1).alias("depth"), F.lit("").alias("html")), step, done)
 
 
 def _block(b: Column) -> Column:
     lines = F.split(b, "\n")
     first = F.get(lines, F.lit(0))
     every = lambda pattern: F.forall(lines, lambda x: x.rlike(pattern))
-    heading = F.concat(F.lit("<h"), F.length(F.regexp_extract(first, "^(#+)", 1)).cast("string"), F.lit(">"), inline(F.regexp_replace(first, r"^#+\s+", "")), F.lit("</h"), F.length(F.regexp_extract(first, "^(#+)", 1)).cast("string"), F.lit(">"))
-    li = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("<li><p>"), x, F.lit("</p></li>"))), "")
-    task = F.array_join(F.transform(lines, lambda x: F.concat(F.lit('<li class="checklist--item'), F.when(x.rlike(r"^\s*[-*] \[[xX]\]"), " checked").otherwise(""), F.lit('"><p>'), inline(F.regexp_replace(x, r"^\s*[-*] \[[ xX]\]\s*", "")), F.lit("</p></li>"))), "")
+    grade = F.length(F.regexp_extract(first, "^(#+)", 1)).cast("string")
+    heading = F.concat(F.lit("<h"), grade, F.lit(">"), inline(F.regexp_replace(first, r"^#+\s+", "")), F.lit("</h"), grade, F.lit(">"))
+    plain = lambda x: F.lit("<li>")
+    task = lambda x: F.concat(F.lit('<li class="checklist--item'), F.when(x.rlike(r"^\s*[-*] \[[xX]\]"), " checked").otherwise(""), F.lit('">'))
     hard = r"(?:  +|\\)\n"
-    single = F.array_join(F.transform(F.split(b, hard), lambda x: F.concat(F.lit('<p data-spacing="single">'), inline(F.replace(x, F.lit("\n"), F.lit(" "))), F.lit("</p>"))), "")
+    soft = lambda x: inline(F.replace(x, F.lit("\n"), F.lit(" ")))
+    single = F.array_join(F.transform(F.split(b, hard), lambda x: F.concat(F.lit('<p data-spacing="single">'), soft(x), F.lit("</p>"))), "\n")
+    cells = lambda x, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.concat(F.lit(f"<{tag}>"), inline(F.trim(c)), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    table = F.concat(F.lit("<table><thead>"), cells(first, "th"), F.lit("</thead><tbody>"), F.array_join(F.transform(F.slice(lines, 3, F.size(lines)), lambda x: cells(x, "td")), ""), F.lit("</tbody></table>"))
     return (
         F.when((F.size(lines) == 1) & first.rlike(r"^#{1,6}\s"), heading)
         .when((F.size(lines) == 1) & first.rlike(r"^(\*{3,}|-{3,}|_{3,})\s*$"), F.lit("<hr>"))
-        .when(every(r"^\s*[-*] \[[ xX]\]"), F.concat(F.lit('<ul class="checklist">'), task, F.lit("</ul>")))
-        .when(every(r"^\s*[-*+] "), F.concat(F.lit("<ul>"), li(_list_items(b, r"^\s*[-*+] ")), F.lit("</ul>")))
-        .when(every(r"^\s*\d+[.)] "), F.concat(F.lit("<ol>"), li(_list_items(b, r"^\s*\d+[.)] ")), F.lit("</ol>")))
-        .when(every("^&gt;"), F.concat(F.lit("<blockquote><p>"), inline(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^&gt;\s?", "")), " ")), F.lit("</p></blockquote>")))
+        .when(every(r"^\s*[-*] \[[ xX]\]"), nested_list(lines, r"^\s*[-*] \[[ xX]\]\s*", F.lit('<ul class="checklist">'), F.lit("</ul>"), task))
+        .when(every(r"^\s*[-*+] "), nested_list(lines, r"^\s*[-*+] ", F.lit("<ul>"), F.lit("</ul>"), plain))
+        .when(every(r"^\s*\d+[.)] "), nested_list(lines, r"^\s*\d+[.)] ", F.lit("<ol>"), F.lit("</ol>"), plain))
+        .when(every("^>"), F.concat(F.lit("<blockquote>\n<p>"), inline(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^>\s?", "")), " ")), F.lit("</p>\n</blockquote>")))
+        .when(b.rlike(r"(?s)\A\$\$\n.*\n\$\$\z"), F.concat(F.lit('<div class="math math-display">'), F.regexp_replace(F.regexp_replace(b, r"\A\$\$\n", ""), r"\n\$\$\z", ""), F.lit("</div>")))
+        .when((F.size(lines) > 1) & F.get(lines, F.lit(1)).rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$") & first.contains("|"), table)
         .when(b.rlike(hard), single)
-        .otherwise(F.concat(F.lit("<p>"), inline(F.replace(b, F.lit("\n"), F.lit(" "))), F.lit("</p>")))
+        .otherwise(F.concat(F.lit("<p>"), soft(b), F.lit("</p>")))
     )
 
 
 def to_html(text: Column) -> Column:
-    """Markdown to HTML. Fenced code is set apart first: every second part between fences is code."""
-    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?m)^```")
-    code = lambda p: F.concat(
-        F.lit('<pre class="language-'), F.coalesce(F.nullif(F.regexp_extract(p, r"^([\w+-]+)", 1), F.lit("")), F.lit("text")), F.lit('"><code>'),
-        F.replace(encode_entities(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n", ""), r"\n$", "")), F.lit("\n"), F.lit("<br/>")), F.lit("</code></pre>"),
-    )
-    escaped = lambda p: F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    prose = lambda p: F.array_join(F.transform(blocks(escaped(p)), _block), "")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, code(p)).otherwise(prose(p))), "")
+    """Markdown to HTML, a block a line. Between two fences is code; raw tags in prose pass through."""
+    plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?ms)^%%\n.*?\n%%$", "")
+    parts = F.split(plain, r"(?m)^```")
+    name = lambda p: F.regexp_extract(p, r"\A([\w+#-]+)", 1)
+    of = lambda p: F.when(name(p) != "", F.concat(F.lit(' class="language-'), name(p), F.lit('"'))).otherwise("")
+    coded = lambda p: F.replace(F.replace(F.replace(F.regexp_replace(p, r"\A[^\n]*\n", ""), F.lit("&"), F.lit("&#38;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br/>"))
+    code = lambda p: F.array(F.concat(F.lit("<pre"), of(p), F.lit("><code"), of(p), F.lit(">"), coded(p), F.lit("</code></pre>")))
+    escaped = lambda p: F.regexp_replace(F.regexp_replace(p, r"&(?!#?\w+;)", "&amp;"), r"<(?![a-zA-Z/!])", "&lt;")
+    prose = lambda p: F.transform(blocks(escaped(p)), _block)
+    html = F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, code(p)).otherwise(prose(p))))
+    is_single = lambda x: F.coalesce(x.startswith('<p data-spacing="single">'), F.lit(False))
+    gap = lambda x, i: F.when(is_single(x) & (i > 0) & is_single(F.get(html, i - 1)), F.concat(F.lit('<p data-spacing="single"></p>\n'), x)).otherwise(x)
+    return F.array_join(F.transform(html, gap), "\n")
 
 
 #: Front matter: a YAML block of flat keys at the very top.
