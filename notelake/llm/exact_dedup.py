@@ -163,8 +163,8 @@ def _spill(df: DataFrame, buckets: int) -> DataFrame:
 def _spill_levels(docs: DataFrame, members: bool, fit_bytes: int) -> tuple[list[DataFrame], DataFrame]:
     """The spilled tables, each with the buckets that fit, and the first of them whole (it has the member rows)."""
     spark = docs.sparkSession
-    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(3 * stored / fit_bytes)))
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(2 * held / fit_bytes)))
     shape = T.StructType([T.StructField(c, t) for c, t in (("bucket", T.LongType()), ("rep", T.LongType()), ("best", T.LongType()), ("best_row", T.LongType()), ("n", T.LongType()), ("h", T.LongType()), ("size", T.LongType()), ("sha", T.BinaryType()), ("whole", T.BooleanType()))] + [T.StructField(f"c_{f.name}", f.dataType) for f in docs.schema])
     arrow = docs.sparkSession.createDataFrame([], shape).toArrow().schema
     folded = docs.mapInArrow(_collapse(buckets, members, arrow, fit_bytes), shape)
