@@ -6,8 +6,8 @@ SPAN words is averaged and goes into a softmax over the two classes. A document'
 a few words count in a long text as much as in a short one: in training all bags of a clean document are clean, and
 of a toxic one the worst is toxic.
 
-The model is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS, the smallest by a hash of doc_id,
-texts of at most TRAIN_CHARS). As the softmax has two classes and all is linear before it, a task needs one number for
+The model is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS, a third of them toxic if
+there are so many, the smallest by a hash of doc_id, texts of at most TRAIN_CHARS). As the softmax has two classes and all is linear before it, a task needs one number for
 each row of the table: a word's is looked up and averaged in numpy, over whole texts. Labels, lang, source and doc_id are
 no inputs of a score.
 
@@ -32,7 +32,7 @@ from notelake.llm.common import LOWER, UPPER, documents
 from notelake.llm.quality import held_out, training_ids
 from notelake.llm.vector_text import CHUNK_BYTES, mix, word_hashes, word_spans
 
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 20_000
+TRAIN_ROWS, TRAIN_CHARS = 4_500, 20_000
 #: A document counts as toxic from this score on.
 TOXIC = 0.3
 #: Words in a bag.
@@ -133,11 +133,13 @@ def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float =
     one = np.frombuffer(b" " + b" ".join(spelled[k] for k in vocabulary.tolist()) + b" ", np.uint8)
     starts, ends, _ = word_spans(one, np.array([0, len(one)]))
     pairs = list(subwords(one, starts, ends))
-    word, gram = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    word, gram = (np.concatenate([p[i].astype(np.int32) for p in pairs]) for i in (0, 1))
+    del pairs, spelled
     number = np.bincount(word, minlength=len(vocabulary)).astype(float)
     begin, doc = bags(np.concatenate([[0], np.cumsum(np.concatenate(firsts))]))
     size = np.diff(np.append(begin, len(occurs))).astype(float)
-    bag = np.repeat(np.arange(len(begin)), size.astype(int))
+    bag = np.repeat(np.arange(len(begin), dtype=np.int32), size.astype(int))
+    occurs = occurs.astype(np.int32)
     edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     toxic = label[doc] == 1
     clean_weight = np.where(toxic, 0.0, 1.0 / np.bincount(doc, minlength=len(label))[doc])
@@ -171,7 +173,9 @@ def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float =
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicity:
-    chosen = F.broadcast(training_ids(labels, "toxic", held_out(4, 2), rows))
+    one = training_ids(labels.where(F.col("toxic") == 1), "toxic", held_out(4, 2), rows // 3)
+    zero = training_ids(labels.where(F.col("toxic") == 0), "toxic", held_out(4, 2), rows - rows // 3)
+    chosen = F.broadcast(one.unionByName(zero))
     sample = docs.join(chosen, "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS).select("label", "text").toArrow()
     sample = sample.sort_by([("text", "ascending"), ("label", "ascending")]).combine_chunks()  # the order of rows is no input
     texts = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
