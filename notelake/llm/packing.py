@@ -22,12 +22,14 @@ ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,53 +40,75 @@ CAPACITY = 2048
 #: Pieces that one task packs, by their runs.
 SHARD_PIECES = 2_000_000
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_200_000
 _SEPARATOR = (0).to_bytes(4, "little")
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space, a word at a time.
 
-    Words seen before are looked up; new ones are encoded together, with the end-of-text token between them.
+    Words seen before are looked up; new ones are encoded together, with the end-of-text token between them. The
+    tokenizer lower-cases and cuts between letters and other signs, so of a new word that is letters and then punctuation the
+    letters are often known already.
     """
 
+    _LETTERS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{M}\p{N}'\x1c-\x1f\x85]*)")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.parts = Tokenizer.from_file(path), {}, {}
         self.mark = self.tokenizer.token_to_id("<|endoftext|>")
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = []
-        for w in new:  # a special token's own text takes part in no joined call
-            if b"<|" in w:
-                self.ids[w] = self._one(w.decode())
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" <|endoftext|> ".join(w.decode() for w in part)], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_all(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" <|endoftext|> ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer joined words across white space")
             raw, lo = ids.tobytes(), 0
-            for w, hi in zip(part, [*cuts.tolist(), len(ids)]):
-                self.ids[w] = raw[4 * lo : 4 * hi]
+            for hi in [*cuts.tolist(), len(ids)]:
+                out.append(raw[4 * lo : 4 * hi])
                 lo = hi + 1
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        whole, split, parts = [], [], self.parts
+        for w in new:
+            text = w.decode()
+            m = self._LETTERS.fullmatch(text)
+            if m and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)) and len(low := m[1].lower()) == len(m[1]):
+                split.append((w, low, m[2]))
+            elif "<|" in text:  # a special token's own text takes part in no joined call
+                self.ids[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                whole.append((w, text))
+        fresh = list({x for _, *both in split for x in both if x and x not in parts and "<|" not in x})
+        parts.update(zip(fresh, self._encode_all(fresh)))
+        for w, low, sign in split:
+            if sign in parts or not sign:
+                self.ids[w] = parts[low] + (parts[sign] if sign else b"")
+            else:
+                self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.ids.update(zip([w for w, _ in whole], self._encode_all([x for _, x in whole])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.ids) > MEMORY:
             self.ids.clear()
-        words = [t.encode().split() for t in texts]
-        known = self.ids
-        if new := {w for ws in words for w in ws if w not in known}:
-            self._learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+        get = self.ids.get
+        words = [t.split() for t in texts]
+        found = [list(map(get, ws)) for ws in words]
+        lacking = [i for i, f in enumerate(found) if None in f]
+        if lacking:
+            self._learn(list({w for i in lacking for w, f in zip(words[i], found[i]) if f is None}))
+            for i in lacking:
+                found[i] = list(map(get, words[i]))
+        return [b"".join(f) for f in found]
 
 
 _coders: dict[str, WordCoder] = {}
@@ -101,7 +125,7 @@ def _pieces(path: str | None, capacity: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own, piece, start, length, crc = [], [], [], [], []
-                raws = coder.encode([t or "" for t in part.column("text").to_pylist()])
+                raws = coder.encode([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
                 for i, raw in enumerate(raws):
                     raw += _SEPARATOR
                     for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
