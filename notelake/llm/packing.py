@@ -78,9 +78,14 @@ class WordCoder:
         whole, split, parts = [], [], self.parts
         for w in new:
             text = w.decode()
-            m = self._LETTERS.fullmatch(text)
-            if m and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)) and len(low := m[1].lower()) == len(m[1]):
-                split.append((w, low, m[2]))
+            if text.isalpha():  # the usual cases without a pattern
+                letters, sign = text, ""
+            elif text[-1] in ".,!?;:" and text[:-1].isalpha():
+                letters, sign = text[:-1], text[-1]
+            else:
+                letters, sign = m.groups() if (m := self._LETTERS.fullmatch(text)) else ("", "")
+            if letters and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)) and len(low := letters.lower()) == len(letters):
+                split.append((w, low, sign))
             elif "<|" in text:  # a special token's own text takes part in no joined call
                 self.ids[w] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
@@ -100,15 +105,11 @@ class WordCoder:
             self.ids.clear()
         if len(self.parts) > MEMORY:
             self.parts.clear()
-        get = self.ids.get
         words = [t.split() for t in texts]
-        found = [list(map(get, ws)) for ws in words]
-        lacking = [i for i, f in enumerate(found) if None in f]
-        if lacking:
-            self._learn(list({w for i in lacking for w, f in zip(words[i], found[i]) if f is None}))
-            for i in lacking:
-                found[i] = list(map(get, words[i]))
-        return [b"".join(f) for f in found]
+        if new := set().union(*words).difference(self.ids):
+            self._learn(list(new))
+        get = self.ids.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
 
 
 _coders: dict[str, WordCoder] = {}
