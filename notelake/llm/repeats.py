@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ HOT = 1000
 #: Windows in an automaton.
 PATTERNS = 50_000
 #: Bytes of text whose equal passages are folded together before the shuffle.
-FOLD_BYTES = 8 << 20
+FOLD_BYTES = 24 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -96,7 +97,13 @@ def _passages(window: int, gram: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = [(key, doc, at, size, n, words.decode()) for (key, words), (doc, at, size, n) in seen.items()]
-            rows += [(doc * 31 + at & 0xFFFFFFFF, doc, at, size, 0, None) for doc, at, size in later]
+            ranges: list[list[int]] = []
+            for doc, at, size in sorted(later):
+                if ranges and ranges[-1][0] == doc and at <= ranges[-1][2]:
+                    ranges[-1][2] = max(ranges[-1][2], at + size)
+                else:
+                    ranges.append([doc, at, at + size])
+            rows += [(doc * 31 + at & 0xFFFFFFFF, doc, at, end - at, 0, None) for doc, at, end in ranges]
             for lo in range(0, len(rows), 20_000):
                 cols = list(zip(*rows[lo : lo + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
@@ -114,6 +121,7 @@ def _passages(window: int, gram: int):
                 old[3] += 1
 
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("cold")))
             ids = batch.column("doc_id").to_pylist()
             cold, hot = batch.column("cold").to_pylist(), batch.column("hot").to_pylist()
             for row, data, offsets in text_chunks(batch.column("text")):
@@ -248,7 +256,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     own = own.groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("all") <= hot, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot")
     )
-    passages = able.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cold", "hot").mapInArrow(_passages(window, gram), PASSAGE)
+    # a left join, here as at the end, so that both read one shuffle of the texts
+    passages = docs.join(own.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cold", "hot").mapInArrow(_passages(window, gram), PASSAGE)
     dealt = passages.repartition("key").sortWithinPartitions("key")
     ranges = dealt.mapInArrow(_locate(window), "doc_id long, lo int, hi int").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return docs.join(ranges.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
