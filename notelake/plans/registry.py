@@ -168,15 +168,19 @@ def exact_dedup_first(spark, sf_dir):
     return P.dedup_first(_table(spark, sf_dir, "documents").select(F.md5("text").alias("hash"), "doc_id", F.col("doc_id").alias("ord")), ["hash"], "ord").select("doc_id", "hash")
 
 
+def packed(d: DataFrame) -> DataFrame:
+    """Paths and sizes of the package of documents (K3, K4)."""
+    notes = d.select(F.struct(F.col("lang").alias("title"), "source").alias("note"), F.array(F.md5("text")).alias("hashes"), F.col("doc_id").alias("src_ord"))
+    blobs = d.select(F.md5("text").alias("hash"), F.encode("text", "utf-8").alias("data"))
+    return P.package(notes, blobs).select("path", F.length("data").alias("size"))
+
+
 @query(
     """with n as (select doc_id, '{"title":"' || lang || '","source":"' || source || '"}' as json, md5(text) as hash from documents join labels using (doc_id))
     select md5(json) || '/note.json' as path, octet_length(encode(json))::int as size from n union select md5(json) || '/attachments/' || hash, octet_length(encode(text))::int from n join documents using (doc_id)"""
 )
 def package_paths(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    notes = d.select(F.struct(F.col("lang").alias("title"), "source").alias("note"), F.array(F.md5("text")).alias("hashes"), F.col("doc_id").alias("src_ord"))
-    blobs = d.select(F.md5("text").alias("hash"), F.encode("text", "utf-8").alias("data"))
-    return P.package(notes, blobs).select("path", F.length("data").alias("size"))
+    return packed(_table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id"))
 
 
 @query("select doc_id, ordinal from (select doc_id, row_number() over (order by doc_id) as ordinal from documents) where ordinal between 101 and 200")
