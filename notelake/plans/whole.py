@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from notelake.operators import spans as S
 from notelake.plans import registry as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +22,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def package_paths_all(spark, sf_dir):
     """package_paths over all documents, labelled or not (K3, K4)."""
     return R.packed(R._table(spark, sf_dir, "documents"))
+
+
+@query
+def span_segments_all(spark, sf_dir):
+    """span_segments over whole texts: three spans that begin anywhere in a text and may end past it."""
+    t = R._table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    start = lambda k: (F.col("doc_id") * (7919 * k)) % (F.col("n") + 1)
+    span = lambda k, f: F.struct(start(k).alias("start"), (start(k) + F.floor(F.col("n") / (k + 1)) + 5 * k).alias("end"), F.lit(f).alias("format"))
+    spans = t.select("doc_id", F.explode(F.array(span(1, "bold"), span(2, "italic"), span(3, "url"))).alias("s")).select("doc_id", "s.*")
+    return S.segments(t, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.array_join("formats", ",").alias("formats"))

@@ -19,3 +19,16 @@ def test_package_holds_every_document(spark):
         want[f"{_md5(note)}/attachments/{_md5(r.text)}"] = len(r.text.encode())
     got = whole.package_paths_all(spark, SF).collect()
     assert len(got) == len(want) and {r.path: r.size for r in got} == want
+
+
+def test_segments_cover_whole_texts(spark):
+    want, past = [], 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        n = len(r.text)
+        spans = [(s := r.doc_id * 7919 * k % (n + 1), s + n // (k + 1) + 5 * k, f) for k, f in ((1, "bold"), (2, "italic"), (3, "url"))]
+        past += sum(e > n for _, e, _ in spans)
+        cuts = sorted({0, n} | {b for s, e, _ in spans for b in (s, e) if b <= n})
+        want += [(r.doc_id, a, b, ",".join(f for s, e, f in spans if s <= a and e >= b)) for a, b in zip(cuts, cuts[1:])]
+    got = [tuple(r) for r in whole.span_segments_all(spark, SF).select("doc_id", "start", "stop", "formats").collect()]
+    assert sorted(got) == sorted(want)
+    assert past and max(b for _, _, b, _ in got) > 50
