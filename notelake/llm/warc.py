@@ -6,17 +6,18 @@ derived from the response's id and the kind, so that a repeated task writes the
 is shuffled and no record waits for another.
 
 Defined cases: null url or html are empty; a record that is no well-formed response gives no derivative but a row of
-record_type 'error' that says why; repeated rows give repeated records; an empty table gives an empty result; extra columns are ignored.
+record_type 'error' that says why and refers to the record, and the other records of its row are not touched by it; where
+a file or its gzip stream breaks off, the records before that place count and one 'error' row names the place; repeated rows give repeated records; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -36,6 +37,10 @@ _LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 _CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 
 
+#: Bytes of a gzip stream read at once.
+_CHUNK = 1 << 16
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -59,10 +64,48 @@ def response_record(page_id: int | None, url: str | None, body: str | None) -> b
     return build_record("response", headers, block)
 
 
+def _inflate(data: bytes) -> tuple[bytes, str]:
+    """The bytes of gzip members as far as they can be read, and what is wrong with the rest."""
+    out, at = [], 0
+    while at < len(data):
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while at < len(data) and not member.eof:
+                before = member.copy()
+                out.append(member.decompress(data[at : at + _CHUNK]))
+                at = min(at + _CHUNK, len(data))
+        except zlib.error as e:
+            for i in range(at, len(data)):  # what the chunk holds before the fault
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), f"the gzip member at byte {begin} is broken: {e}"
+        if not member.eof:
+            return b"".join(out), f"the gzip member at byte {begin} is cut short"
+        at -= len(member.unused_data)
+        while data.startswith(b"\0", at):  # padding
+            at += 1
+    return b"".join(out), ""
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a WARC file's bytes, gzip members or plain."""
+    """(headers by lower-case name, block) of each record of a WARC file's bytes, gzip members or plain.
+
+    ValueError where the records break off, after those before that place.
+    """
+    wrong = ""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, wrong = _inflate(data)
+    try:
+        yield from _split(data)
+    except ValueError as e:
+        raise ValueError(f"{e}; {wrong}" if wrong else str(e)) from e
+    if wrong:
+        raise ValueError(wrong)
+
+
+def _split(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -118,16 +161,28 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
     ]
 
 
+def _error(page_id: int | None, why: ValueError, headers: dict[str, str]) -> tuple:
+    return page_id, "error", None, headers.get("warc-record-id"), headers.get("warc-target-uri"), None, None, None, None, str(why).encode()
+
+
 def _rows(page_id: int | None, data: bytes | None) -> Iterator[tuple]:
-    try:
-        records = list(parse_records(data or b""))
-        found = [(h, d) for h, b in records for d in derivatives(h, b)]
-    except ValueError as e:
-        yield page_id, "error", None, None, None, None, None, None, None, str(e).encode()
-        return
-    for headers, (kind, own, block) in found:
-        h = dict(own)
-        yield page_id, kind, h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["Content-Type"], len(block), digest(block), headers.get("warc-payload-digest"), build_record(kind, own, block)
+    records = parse_records(data or b"")
+    while True:
+        try:
+            headers, block = next(records)
+        except StopIteration:
+            return
+        except ValueError as e:
+            yield _error(page_id, e, {})
+            return
+        try:
+            found = derivatives(headers, block)
+        except ValueError as e:
+            yield _error(page_id, e, headers)
+            continue
+        for kind, own, derived in found:
+            h = dict(own)
+            yield page_id, kind, h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["Content-Type"], len(derived), digest(derived), headers.get("warc-payload-digest"), build_record(kind, own, derived)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
