@@ -1,4 +1,4 @@
-"""New files as a stream: notes are imported as they arrive, each package path once."""
+"""New files as a stream: notes are imported as they arrive, each content once, however old the file is."""
 
 from __future__ import annotations
 
@@ -7,20 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notelake.functions import columns as C
+from notelake.operators import package as P
 
 
 def text_files(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
-    """A stream of (path, text): whole files, at most per_trigger in a batch."""
-    rows = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", True).load(root)
+    """A stream of (path, text): whole files, at most per_trigger in a batch.
+
+    By default the source passes over files that are 7 days older than the newest one it has seen; maxFileAge ends that.
+    """
+    rows = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_trigger).option("maxFileAge", "36500d").option("recursiveFileLookup", True).load(root)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("seen"), F.col("value").alias("text"))
 
 
-def notes_once(files: DataFrame, late: str = "7 days") -> DataFrame:
-    """Notes of text files, without those whose content came within `late` before: the state is bounded by the watermark."""
+def notes_once(files: DataFrame) -> DataFrame:
+    """Notes of text files with the hash of their content, by which write() takes each content once."""
     notes = files.select("path", "seen", C.stem(F.col("path")).alias("title"), C.text_to_html(F.col("text")).alias("html"))
-    return notes.withColumn("hash", F.md5("html")).withWatermark("seen", late).dropDuplicatesWithinWatermark(["hash"])
+    return notes.withColumn("hash", F.md5("html"))
+
+
+def _written(spark: SparkSession, target: str) -> DataFrame | None:
+    """The hashes of the table; None where there is none yet."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_spark_metadata")):
+        raise ValueError(f"{target} was written by a file sink, whose log hides rows appended by other means: copy it to a new table and use a new checkpoint")
+    return spark.read.schema("hash string").parquet(target) if fs.exists(path) else None
 
 
 def write(notes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append to a Parquet table, exactly once, and end when the present files are done."""
-    return notes.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append to a Parquet table what it does not hold yet, and end when the present files are done.
+
+    Of equal contents in a batch the first path counts; contents in the table are left out by an anti-join, so a batch
+    that is run again adds nothing twice. One query at a time may write to a table.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        new, held = P.dedup_first(batch, ["hash"], "path"), _written(batch.sparkSession, target)
+        if held is not None:
+            new = new.join(held, "hash", "left_anti")
+        new.select(*batch.columns).write.mode("append").parquet(target)
+
+    _written(notes.sparkSession, target)
+    return notes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
