@@ -28,6 +28,8 @@ DOMAINS = ["web", "books", "code"]
 #: Target weights; the rest have 1.
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2}}
 SEED, EPOCHS = 17, 3
+#: The row key: ids may be null or repeated.
+ROW = "__row"
 #: Leaves up to which their budgets are broadcast; more are joined by shuffle.
 BROADCAST_LEAVES = 100_000
 
@@ -37,11 +39,16 @@ def domain_of(source: Column) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (F.coalesce(F.try_to_number(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0)) % len(DOMAINS) + 1))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, staged, as a number is only good as long as nobody counts again."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens), staged: all later steps read this and no text."""
+    """(doc_id, domain, lang, source, tokens) and the row key where docs have one, staged: all later steps read this and no text."""
     source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang"))
     tokens = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), WORD_GAP), lambda w: w != "")).cast("long")
-    return stage(docs.select("doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens")), "tokens")
+    return stage(docs.select("doc_id", *[c for c in docs.columns if c == ROW], domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens")), "tokens")
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -84,13 +91,14 @@ def leaf_budgets(tokens: DataFrame, budget: Column, epochs: int = EPOCHS, weight
 
 
 def mix(tokens: DataFrame, budget: Column, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED, digits: int = 3) -> DataFrame:
-    """(doc_id, domain, lang, source, epoch, tokens): one row for each time that a document is taken."""
+    """(doc_id, domain, lang, source, epoch, tokens): one row for each time that a document is taken, with its row key where tokens have one."""
+    row = [c for c in tokens.columns if c == ROW]
     budgets = stage(leaf_budgets(tokens, budget, epochs, weights), "budgets")
     budgets = budgets.withColumns({"whole": F.when(F.col("supply") > 0, F.expr("share div greatest(supply, 1)")).otherwise(0), "part": F.when(F.col("supply") > 0, F.expr("share % greatest(supply, 1)")).otherwise(0)})
     if budgets.count() <= BROADCAST_LEAVES:
         budgets = F.broadcast(budgets)
     x = tokens.join(budgets.select(*LEVELS, "whole", "part"), LEVELS)
-    out = [*[F.col(c) for c in ("doc_id", *LEVELS)], F.col("epoch").cast("int").alias("epoch"), F.col("tokens")]
+    out = [*[F.col(c) for c in ("doc_id", *row, *LEVELS)], F.col("epoch").cast("int").alias("epoch"), F.col("tokens")]
     repeated = x.where(F.col("whole") > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch")).select(*out)
 
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -103,7 +111,7 @@ def mix(tokens: DataFrame, budget: Column, epochs: int = EPOCHS, weights: dict[s
     p = p.join(sums, [*LEVELS, "range"]).where(F.col("base") < F.col("part"))
     last = sums.join(budgets.select(*LEVELS, "part"), LEVELS).where(F.col("base") < F.col("part")).groupBy(*LEVELS).agg(F.max("range").alias("last"))
     p = p.join(last, LEVELS)
-    inner = W.partitionBy(*LEVELS, "range").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*LEVELS, "range").orderBy("key", "doc_id", "tokens", *row).rowsBetween(W.unboundedPreceding, -1)
     edge = p.where(F.col("range") == F.col("last")).withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where(F.col("at") < F.col("part"))
     return repeated.unionByName(p.where(F.col("range") < F.col("last")).select(*out)).unionByName(edge.select(*out))
 
