@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions import markdown as M
 from notelake.operators import spans as S
 from notelake.plans import registry as R
 
@@ -32,3 +33,9 @@ def span_segments_all(spark, sf_dir):
     span = lambda k, f: F.struct(start(k).alias("start"), (start(k) + F.floor(F.col("n") / (k + 1)) + 5 * k).alias("end"), F.lit(f).alias("format"))
     spans = t.select("doc_id", F.explode(F.array(span(1, "bold"), span(2, "italic"), span(3, "url"))).alias("s")).select("doc_id", "s.*")
     return S.segments(t, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.array_join("formats", ",").alias("formats"))
+
+
+@query
+def markdown_html(spark, sf_dir):
+    """markdown_paragraphs with all of Markdown and unaltered texts (MD1-MD9)."""
+    return R._table(spark, sf_dir, "documents").select("doc_id", F.md5(M.to_html(F.col("text"))).alias("html_md5"))
