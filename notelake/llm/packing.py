@@ -2,54 +2,53 @@
 
 1. Tokenise: one pass gives each document's pieces (a document longer than a sequence is cut, nothing else is). The ids
    themselves are only measured and check-summed; they are not shuffled.
-2. Shards: pieces are dealt out to shards of about `shard_pieces` by hash. Within a shard, pieces of one length are
-   interchangeable, so the range-sorted documents and gaps are run-length tables of at most `capacity` rows each: a run of
-   documents is (length, ranks), a run of gaps is (gap, sequences). These runs, not the rows, go through the rounds.
-3. Rounds, one task per shard: a sweep from the longest documents down matches each run with its successor, the
-   smallest gap that takes it; where more documents than gaps meet, the lower ranks get the gaps and the rest sweep
-   on to the next larger ones; gaps are updated, and the rounds repeat. When no document fits any gap, as many new
-   sequences as the remaining tokens need are opened with the longest documents.
-4. A piece finds its sequence by its rank among the pieces of its length in its shard (a window over at most a
-   shard's rows) and the run that holds this rank.
-
-A shard leaves at most a few sequences part-filled, so the loss against one global packing is that many in
-`shard_pieces`.
-
-Defined cases: null or empty text is its separator alone; equal lengths are ranked by doc_id and piece, nulls first, so
-that rows with a repeated or null doc_id are packed once each; an empty table gives an empty result; extra columns are
-ignored.
+2. Range-sort the pieces by length, longest first; a row's rank is its partition's base and its place in it. Pieces of
+   one length are interchangeable, so what the rounds work on are run-length tables, whose size depends on `capacity`
+   and not on the corpus: runs of documents (length, first rank, number) and of gaps (gap, first sequence, number).
+3. Rounds over these tables: a sweep down the sizes matches documents with their successors, the smallest gaps that take
+   them. Where more documents than gaps meet, longer documents and lower ranks come first and the rest go on to the next
+   larger gaps. Gaps are updated, and rounds repeat; when no document fits any gap, as many new sequences as the tokens
+   left over need are opened with the longest documents.
+4. A piece finds its sequence by its rank among the pieces of its length and the run that holds this rank: a broadcast
+   of the runs by length, no shuffle.
+
+Defined cases: null or empty text is its separator alone; equal lengths are ranked by doc_id and piece, nulls first, then by
+row, so that rows with a repeated or null doc_id are packed once each; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notelake.llm.common import documents, stage
 
 CAPACITY = 2048
-#: Pieces that one task packs, by their runs.
-SHARD_PIECES = 2_000_000
 #: Words whose ids a worker remembers.
 MEMORY = 1_200_000
 _SEPARATOR = (0).to_bytes(4, "little")
+#: Bytes that byte-level vocabularies write as the character of the same number; the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer whose pieces never cross ASCII white space, a word at a time.
 
-    Words seen before are looked up; new ones are encoded together, with the end-of-text token between them. The
-    tokenizer lower-cases and cuts between letters and other signs, so of a new word that is letters and then punctuation the
-    letters are often known already.
+    Words seen before are looked up. The tokenizer lower-cases and cuts between letters and other signs, so a new word that is
+    letters and then punctuation is put together from its parts, which are often known already; new parts
+    are encoded by the vocabulary's merges alone, as nothing is left to normalise or to cut. Every other word goes through the
+    whole tokenizer, with the end-of-text token between words.
     """
 
     _LETTERS = regex.compile(r"(\p{L}+)([^\s\p{L}\p{M}\p{N}'\x1c-\x1f\x85]*)")
@@ -59,20 +58,39 @@ class WordCoder:
 
         self.tokenizer, self.ids, self.parts = Tokenizer.from_file(path), {}, {}
         self.mark = self.tokenizer.token_to_id("<|endoftext|>")
-
-    def _encode_all(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        suffix = bare["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in bare["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        bare |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+
+    @staticmethod
+    def _split(ids: np.ndarray, cuts: np.ndarray, gap: int) -> Iterator[bytes]:
+        raw, lo = ids.tobytes(), 0
+        for hi in cuts.tolist():
+            yield raw[4 * lo : 4 * hi]
+            lo = hi + gap
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" <|endoftext|> ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
+            cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(cuts) != len(part):
                 raise ValueError("the tokenizer joined words across white space")
-            raw, lo = ids.tobytes(), 0
-            for hi in [*cuts.tolist(), len(ids)]:
-                out.append(raw[4 * lo : 4 * hi])
-                lo = hi + 1
-        return out
+            yield from self._split(ids, cuts, 1)
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        signs = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_SIGNS) for p in parts]
+        for at in range(0, len(signs), 4000):
+            part = signs[at : at + 4000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not end words as expected")
+            yield from self._split(ids, cuts, 0)
 
     def _learn(self, new: list[bytes]) -> None:
         whole, split, parts = [], [], self.parts
@@ -91,13 +109,13 @@ class WordCoder:
             else:
                 whole.append((w, text))
         fresh = list({x for _, *both in split for x in both if x and x not in parts and "<|" not in x})
-        parts.update(zip(fresh, self._encode_all(fresh)))
+        parts.update(zip(fresh, self._encode_parts(fresh)))
         for w, low, sign in split:
             if sign in parts or not sign:
                 self.ids[w] = parts[low] + (parts[sign] if sign else b"")
             else:
                 self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self.ids.update(zip([w for w, _ in whole], self._encode_all([x for _, x in whole])))
+        self.ids.update(zip([w for w, _ in whole], self._encode_words([x for _, x in whole])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -136,91 +154,97 @@ def _pieces(path: str | None, capacity: int):
                         start.append(lo // 4)
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
-                ids = part.column("doc_id").take(pa.array(own, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                of = pa.array(own, pa.int32())
+                columns = [part.column("doc_id").take(of), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)], part.column("row").take(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32). tokenizer_path: a file on every executor, by default the public one."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-
+    """(doc_id, piece, start, length, ids_crc32, row), staged; row: a number of the document's row, as ids may repeat.
 
-def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, number, first sequence, offset): the documents of these ranks go to consecutive sequences.
-
-    counts: how many documents there are of each length.
+    tokenizer_path: a file on every executor, by default the public one.
     """
-    left = dict(counts)  # length: documents that are not placed yet
-    rank = dict.fromkeys(counts, 0)  # length: the first of them
-    gaps: dict[int, list[list[int]]] = {}  # gap: runs [first sequence, number]
-    out: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def place(length: int, gap: int, first: int, n: int) -> None:
-        out.append((length, rank[length], n, first, capacity - gap))
-        rank[length] += n
-        left[length] -= n
-        if gap > length:
-            gaps.setdefault(gap - length, []).append([first, n])
-
-    while any(left.values()):
-        placed = False
-        sizes = sorted(gaps)  # gaps as they are when the round begins: each takes one document of it
-        free = {g: gaps.pop(g) for g in sizes}
-        for length in sorted((x for x, n in left.items() if n), reverse=True):
-            at = int(np.searchsorted(sizes, length))
-            while left[length] and at < len(sizes):
-                runs = free[sizes[at]]
-                while left[length] and runs:
-                    first, n = runs.pop()
-                    take = min(n, left[length])
-                    if take < n:
-                        runs.append([first + take, n - take])
-                    place(length, sizes[at], first, take)
-                    placed = True
-                at += 1
-        for g, runs in free.items():
-            if runs:
-                gaps.setdefault(g, []).extend(runs)
-        if not placed:
-            need = -(-sum(x * n for x, n in left.items()) // capacity)
-            for length in sorted((x for x, n in left.items() if n), reverse=True):
-                take = min(left[length], need) if 2 * length <= capacity else left[length]
-                if take <= 0:
-                    break
-                place(length, capacity, sequences, take)
-                sequences += take
-                need -= take
-    return out
-
-
-def _pack_shard(capacity: int):
-    def run(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        found = best_fit_rounds(dict(zip(runs["length"].tolist(), runs["n"].tolist())), capacity)
-        out = pd.DataFrame(found, columns=["length", "lo", "number", "sequence", "offset"]).astype("int64")
-        out.insert(0, "shard", key[0])
-        return out
-
-    return run
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """pieces with sequence_id and offset. pieces must be a table that reads the same each time."""
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    runs = dealt.groupBy("shard", "length").agg(F.count("*").alias("n"))
-    placed = runs.groupBy("shard").applyInPandas(_pack_shard(capacity), "shard long, length long, lo long, number long, sequence long, offset long")
-    # one row for each shard and length, with its runs in rank order: no piece is multiplied
-    placed = placed.groupBy("shard", "length").agg(F.sort_array(F.collect_list(F.struct("lo", "sequence", "offset"))).alias("runs"))
-    by = W.partitionBy("shard", "length").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(by).cast("long") - 1)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return stage(rows.mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "pieces")
+
+
+
+
+#: New sequences, each begun with a longest document: {need} of them, or more if more documents are over half a sequence.
+_OPEN = """
+with d as (select *, sum(n) over (order by size desc) - n as before from {t} where kind = 'doc'),
+e as (select *, if(2 * size > {capacity}, n, least(n, greatest({need} - before, 0))) as take from d),
+f as (select *, {opened} + sum(take) over (order by size desc) - take as start from e)
+select kind, size, first, n, cast(null as bigint) as sequence, cast(null as bigint) as offset from {t} where kind = 'gap'
+union all select 'gap', {capacity} - size, start, take, null, null from f where take > 0 and size < {capacity}
+union all select 'out', size, first, take, start, 0 from f where take > 0
+union all select 'doc', size, first + take, n - take, null, null from f where n > take"""
+
+#: A round. Down the sizes, gaps raise the height by their number and documents lower it, to zero at least. A run holds the levels
+#: between its two heights, and a document meets the gap that raised its level last: the smallest one that takes it and that
+#: no longer document has. Levels are cut at all heights, so that within a part gaps and documents alternate.
+_SWEEP = """
+with a as (select *, row_number() over w as at, sum(if(kind = 'gap', n, -n)) over w as s from {t} where kind <> 'out' window w as (order by size desc, kind desc, first)),
+b as (select *, s - least(0, min(s) over (order by at)) as height from a),
+c as (select *, least(height, was) as lo, greatest(height, was) as hi from (select *, lag(height, 1, 0) over (order by at) as was from b)),
+ends as (select *, dense_rank() over (order by level) as part from (select at, explode(array(lo, hi)) as level from c where hi > lo)),
+cuts as (select part, level, lead(level) over (order by part) as top from (select distinct part, level from ends)),
+spans as (select at, explode(sequence(min(part), max(part) - 1)) as part from ends group by at),
+parts as (select /*+ merge(c) */ spans.at, spans.part, kind, size, first, lo from spans join c on spans.at = c.at),
+mates as (select *, lead(struct(at, size, first, lo)) over (partition by part order by at) as doc from parts),
+met as (select /*+ merge(cuts) */ any_value(size) as size, any_value(first - lo) as base, min(level) as level, max(top) as top, any_value(doc) as doc
+        from mates join cuts using (part) where kind = 'gap' group by at, doc.at)
+select 'gap' as kind, size - coalesce(doc.size, 0) as size, base + level as first, top - level as n, cast(null as bigint) as sequence, cast(null as bigint) as offset from met where size > coalesce(doc.size, 0)
+union all select 'out', doc.size, doc.first + level - doc.lo, top - level, base + level, {capacity} - size from met where doc is not null
+union all select 'doc', size, first + hi - lo, n - hi + lo, null, null from c where kind = 'doc' and n > hi - lo"""
+
+
+def best_fit_rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(length, lo, n, sequence, offset): documents of ranks lo to lo + n go to as many consecutive sequences, at offset.
+
+    counts: (length, n), how many documents there are of each length.
+    """
+    spark = counts.sparkSession
+    columns = ["'doc' as kind", "cast(length as bigint) as size", "cast(0 as bigint) as first", "n", "cast(null as bigint) as sequence", "cast(null as bigint) as offset"]
+    table = stage(counts.coalesce(1).selectExpr(*columns), "runs")
+    tables, opened, fresh = [table], 0, True
+    while True:
+        doc, out = F.col("kind") == "doc", F.col("kind") == "out"
+        left, placed, begun = table.agg(
+            F.sum(F.when(doc, F.col("size") * F.col("n"))), F.count(F.when(out, 1)), F.coalesce(F.max(F.when(out, F.col("sequence") + F.col("n"))), F.lit(0))
+        ).first()
+        opened = max(opened, begun)
+        if not left:
+            break
+        if fresh or not placed:
+            table = spark.sql(_OPEN, t=table.coalesce(1), need=-(-left // capacity), opened=opened, capacity=capacity)
+        else:
+            table = spark.sql(_SWEEP, t=table.coalesce(1), capacity=capacity)
+        table = stage(table.coalesce(1), "runs")
+        fresh = False
+        tables.append(table)
+    out = spark.read.schema(table.schema).parquet(*[f for t in tables for f in t.inputFiles()]) if opened else table
+    return out.where(F.col("kind") == "out").select(F.col("size").alias("length"), F.col("first").alias("lo"), "n", "sequence", "offset")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces with sequence_id and offset."""
+    order = [F.desc("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("row")]
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranked = stage(pieces.repartitionByRange(*order).sortWithinPartitions(*order).select(*pieces.columns, part.alias("part"), place.alias("place")), "sorted")
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    bases = ranked.groupBy("part").agg(F.count("*").alias("n")).select("part", before(W.orderBy("part")).alias("base"))
+    counts = stage(ranked.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    runs = best_fit_rounds(counts, capacity).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "sequence", "offset"))).alias("runs"))
+    runs = runs.join(counts.select("length", before(W.orderBy(F.desc("length"))).alias("longer")), "length")
+    # a row for each partition, and for each length of at most `capacity`
+    found = ranked.join(F.broadcast(bases), "part").join(F.broadcast(runs), "length").withColumn("rank", F.col("base") + F.col("place") - F.col("longer"))
     run = F.element_at(F.filter("runs", lambda r: r["lo"] <= F.col("rank")), -1)
-    found = ranked.join(placed, ["shard", "length"]).select(*pieces.columns, "shard", "rank", run.alias("run"))
-    sequence = F.shiftleft(F.col("shard"), 40) + F.col("run.sequence") + F.col("rank") - F.col("run.lo")
-    return found.select(*pieces.columns, sequence.alias("sequence_id"), F.col("run.offset").alias("offset"))
+    found = found.select(*pieces.columns, "rank", run.alias("run"))
+    return found.select(*pieces.columns, (F.col("run.sequence") + F.col("rank") - F.col("run.lo")).alias("sequence_id"), F.col("run.offset").alias("offset"))
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(stage(token_pieces(documents(spark, sf_dir)), "pieces"))
+    return pack(token_pieces(documents(spark, sf_dir)))

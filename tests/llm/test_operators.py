@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import random
@@ -163,7 +164,7 @@ def test_packing(docs, rows, empty, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    got = packing.pack(packing.stage(packing.token_pieces(docs), "pieces"), 2048).toPandas()
+    got = packing.pack(packing.token_pieces(docs), 2048).toPandas()
     at = {(r.doc_id, r.piece): r for r in got.itertuples()}
     n = total = 0
     for i, text, *_ in rows:
@@ -177,25 +178,42 @@ def test_packing(docs, rows, empty, odd):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 2048
     assert got.sequence_id.nunique() <= -(-total // 2048) + 1
-    assert packing.pack(packing.stage(packing.token_pieces(empty), "pieces")).count() == 0
-    assert packing.pack(packing.stage(packing.token_pieces(odd), "pieces")).count() == 4
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_best_fit_rounds(seed):
+    assert packing.pack(packing.token_pieces(empty)).count() == 0
+    assert packing.pack(packing.token_pieces(odd)).select("row", "sequence_id", "offset").distinct().count() == odd.count()
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> int:
+    """Sequences of the same rounds, a document at a time."""
+    left, gaps, sequences = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True), [], 0
+    while left:
+        new, rest, free = [], [], sorted(gaps)
+        for x in left:
+            at = bisect.bisect_left(free, x)
+            if at < len(free):
+                new.append(free.pop(at) - x)
+            else:
+                rest.append(x)
+        if not new:
+            take = max(-(-sum(rest) // capacity), sum(2 * x > capacity for x in rest))
+            new, rest, sequences = [capacity - x for x in rest[:take]], rest[take:], sequences + len(rest[:take])
+        left, gaps = rest, free + new
+    return sequences
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_fit_rounds(spark, seed):
     rng = random.Random(seed)
-    counts = collections.Counter(rng.choice([rng.randint(1, 100), rng.randint(1, 20), 50]) for _ in range(2000))
-    runs = packing.best_fit_rounds(dict(counts), 100)
+    counts = collections.Counter(rng.choice([rng.randint(1, 100), rng.randint(1, 20), 50]) for _ in range(600))
+    runs = packing.best_fit_rounds(spark.createDataFrame(list(counts.items()), "length long, n long"), 100).collect()
     fill, placed = collections.Counter(), collections.Counter()
-    for length, lo, n, first, offset in runs:
-        assert lo == placed[length]
-        placed[length] += n
-        for q in range(first, first + n):
-            assert fill[q] == offset
-            fill[q] += length
-    assert placed == counts and max(fill.values()) <= 100
-    over_half = sum(n for x, n in counts.items() if x > 50)
-    assert len(fill) <= max(over_half, -(-sum(x * n for x, n in counts.items()) // 100)) * 1.03 + 1
+    for r in sorted(runs, key=lambda r: r.offset):
+        for q in range(r.sequence, r.sequence + r.n):
+            assert fill[q] == r.offset
+            fill[q] += r.length
+    for r in sorted(runs, key=lambda r: r.lo):
+        assert r.lo == placed[r.length]
+        placed[r.length] += r.n
+    assert placed == counts and max(fill.values()) <= 100 and len(fill) == _best_fit(counts, 100)
 
 
 def test_word_coder_equals_the_tokenizer():
