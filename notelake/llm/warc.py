@@ -5,9 +5,13 @@ charset, out-links, the source's status line, headers and digests) and a convers
 derived from the response's id and the kind, so that a repeated task writes the same records. A map over records: nothing
 is shuffled and no record waits for another.
 
-Defined cases: null url or html are empty; a record that is no well-formed response gives no derivative but a row of
-record_type 'error' that says why and refers to the record, and the other records of its row are not touched by it; where
-a file or its gzip stream breaks off, the records before that place count and one 'error' row names the place; repeated rows give repeated records; an empty table gives an empty result; extra columns are ignored.
+Chunked and gzip or deflate bodies are decoded before their text is taken; block and payload digests stay those of the source.
+
+Defined cases: null url or html are empty; records of other types (warcinfo, request, metadata ...) have no derivatives and
+are passed over; a response that is not well-formed gives a row of record_type 'error' that says why and refers to the
+record, and the other records of its row are not touched by it; where a file or its gzip stream breaks off, the records
+before that place count and one 'error' row names the place; a null record is one 'error' row, an empty one holds no
+records; repeated rows give repeated records; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ VERSION = b"WARC/1.1"
 CAPTURED = "2024-01-01T00:00:00Z"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, source_payload_digest string, record binary"
 
-_UNSEEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head\s*>")
-_BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Elements whose content is no text, and those that stand on lines of their own.
+_UNSEEN = ("script", "style", "noscript", "template", "head")
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_HREF = re.compile(r"(?is)(?:^|[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 
 
@@ -121,20 +125,115 @@ def _split(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def _closers(lower: str, name: str) -> Iterator[int]:
+    """Where the close tags of an element begin, in order: each place is searched once however often an element is left open."""
+    at = -1
+    while (at := lower.find("</" + name, at + 1)) >= 0:
+        yield at
+    while True:
+        yield -1
+
+
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """(text, title, link targets) of a page, by one scan from left to right.
+
+    Text: blocks on lines of their own, runs of white space closed up, no empty lines. An element without text that is never
+    closed, as a comment, takes the rest of the page; a tag that is never closed is text.
+    """
+    lower = page.lower()
+    if len(lower) != len(page):  # a few letters grow when lower-cased
+        lower = "".join(c.lower() if c.isascii() else c for c in page)
+    out: list[str] = []
+    links: list[str] = []
+    title, at = None, 0
+    closers = {n: _closers(lower, n) for n in (*_UNSEEN, "title")}
+    ahead = {n: -2 for n in closers}
+
+    def close(name: str, place: int) -> int:
+        while -1 != ahead[name] < place:
+            ahead[name] = next(closers[name])
+        return ahead[name]
+
+    while (tag := page.find("<", at)) >= 0:
+        out.append(page[at:tag])
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        found = _NAME.match(page, tag + 1)
+        if not found and page[tag + 1 : tag + 2] not in ("!", "?", "/"):
+            out.append("<")
+            at = tag + 1
+            continue
+        end = page.find(">", tag)
+        if end < 0:
+            out.append(page[tag:])
+            at = len(page)
+            break
+        at = end + 1
+        name = found[1].lower() if found else ""
+        if name in _BLOCKS:
+            out.append("\n")
+        if not found or found[0].startswith("/"):
+            continue
+        if name == "a" and (link := _HREF.search(page, found.end(), end)):
+            links.append(html.unescape(next(x for x in link.groups() if x is not None)).strip())
+        elif name == "title" and title is None and (stop := close("title", at)) >= 0:
+            title = " ".join(html.unescape(page[at:stop]).split())
+        if name == "head":
+            if (stop := close(name, at)) >= 0:
+                title = read_page(page[at:stop])[1] if title is None else title
+                out.append(" ")
+                at = stop
+        elif name in _UNSEEN:
+            out.append(" ")
+            at = len(page) if (stop := close(name, at)) < 0 else stop
+    out.append(page[at:])
+    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n")) if x), title, links
+
+
 def plain_text(page: str) -> str:
-    """Text of a page: blocks on lines of their own, runs of white space closed up, no empty lines."""
-    text = _TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub(" ", page)))
-    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(text).split("\n")) if x)
+    return read_page(page)[0]
+
+
+def decoded_body(payload: bytes, fields: list[str]) -> bytes:
+    """A payload without its transfer and content encodings; ValueError where it doesn't follow them."""
+    said = {k.strip().lower(): v.strip().lower() for k, _, v in (f.partition(":") for f in fields)}
+    if "chunked" in said.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while True:
+            end = payload.find(b"\r\n", at)
+            size = int(payload[at : max(end, at)].split(b";")[0], 16) if end >= 0 else -1
+            if size < 0 or end + 2 + size > len(payload):
+                raise ValueError("its chunked body is cut short")
+            if not size:
+                break
+            parts.append(payload[end + 2 : end + 2 + size])
+            at = end + 4 + size
+        payload = b"".join(parts)
+    coding = said.get("content-encoding", "")
+    if coding in ("gzip", "x-gzip", "deflate"):
+        try:
+            return zlib.decompress(payload, 47)
+        except zlib.error as e:
+            if coding == "deflate":
+                try:
+                    return zlib.decompress(payload, -15)
+                except zlib.error:
+                    pass
+            raise ValueError(f"its {coding} body is broken: {e}") from e
+    return payload
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
     """(kind, headers, block) of the metadata and the conversion record of a response."""
     if headers.get("warc-type") != "response":
-        raise ValueError("not a response record")
+        return []
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
         raise ValueError("its block is no HTTP response")
     status, *fields = head.decode("utf-8", "replace").split("\r\n")
+    payload = decoded_body(payload, fields)
     source, uri = headers.get("warc-record-id", ""), headers.get("warc-target-uri", "")
     kind_of = next((v for k, _, v in (f.partition(":") for f in fields) if k.strip().lower() == "content-type"), "")
     found = _CHARSET.search(kind_of.encode()) or _CHARSET.search(payload[:2048])
@@ -143,12 +242,11 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    out = [("title", " ".join(html.unescape(title[1]).split()))] if title else []
+    text, title, links = read_page(page)
+    out = [] if title is None else [("title", title)]
     out += [("charset", charset), ("source-status", status), *[("source-header", f) for f in fields]]
     out += [(f"source-{k}", headers[k]) for k in ("warc-payload-digest", "warc-block-digest", "content-length") if k in headers]
-    for m in _LINK.finditer(page):
-        link = html.unescape(next(x for x in m.groups() if x is not None)).strip()
+    for link in links:
         try:
             out.append(("outlink", urljoin(uri, link)))
         except ValueError:
@@ -157,7 +255,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
     fields_block = b"".join(f"{k}: {' '.join(v.splitlines())}\r\n".encode("utf-8", "replace") for k, v in out)
     return [
         ("metadata", [("WARC-Record-ID", record_id("metadata", source)), *common, ("Content-Type", "application/warc-fields")], fields_block),
-        ("conversion", [("WARC-Record-ID", record_id("conversion", source)), *common, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest", "")), ("Content-Type", "text/plain; charset=utf-8")], plain_text(page).encode("utf-8", "replace")),
+        ("conversion", [("WARC-Record-ID", record_id("conversion", source)), *common, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest", "")), ("Content-Type", "text/plain; charset=utf-8")], text.encode("utf-8", "replace")),
     ]
 
 
@@ -166,7 +264,10 @@ def _error(page_id: int | None, why: ValueError, headers: dict[str, str]) -> tup
 
 
 def _rows(page_id: int | None, data: bytes | None) -> Iterator[tuple]:
-    records = parse_records(data or b"")
+    if data is None:
+        yield _error(page_id, ValueError("no record"), {})
+        return
+    records = parse_records(data)
     while True:
         try:
             headers, block = next(records)

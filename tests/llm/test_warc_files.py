@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 
 import pytest
 
@@ -21,14 +22,49 @@ def _kinds(spark, data: bytes) -> list[str]:
 
 
 def test_records_beside_responses(spark):
-    got = warc.build_derivatives(spark.createDataFrame([(7, bytearray(INFO + REQUEST + ONE + TWO))], "page_id long, record binary")).collect()
-    assert [r.record_type for r in got] == ["error", "error", *KINDS * 2]
+    got = warc.build_derivatives(spark.createDataFrame([(7, bytearray(INFO + REQUEST + ONE + TWO)), (7, bytearray(b""))], "page_id long, record binary")).collect()
+    assert [r.record_type for r in got] == KINDS * 2
     ids = [next(warc.parse_records(x))[0]["warc-record-id"] for x in (ONE, TWO)]
-    assert [r.refers_to for r in got] == ["<urn:info>", "<urn:request>", ids[0], ids[0], ids[1], ids[1]]
-    assert [bytes(r.record) for r in got[:2]] == [b"not a response record"] * 2
+    assert [r.refers_to for r in got] == [ids[0], ids[0], ids[1], ids[1]]
     assert [next(warc.parse_records(bytes(r.record)))[1][:6] for r in got if r.record_type == "conversion"] == [b"1\npage", b"2\npage"]
 
 
+def test_warcinfo_response_and_a_cut_record(spark):
+    assert _kinds(spark, INFO + ONE + TWO[:-100]) == [*KINDS, "error"]
+
+
+def test_encoded_bodies(spark):
+    import zlib
+
+    def response(fields: bytes, body: bytes) -> bytes:
+        return warc.build_record("response", [("WARC-Record-ID", "<urn:r>")], b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n\r\n" + body)
+
+    page = b"<title>T</title><p>one<p>two"
+    chunked = b"5;x=y\r\n" + page[:5] + b"\r\n%x\r\n" % (len(page) - 5) + page[5:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = [
+        (b"Transfer-Encoding: chunked", chunked), (b"Content-Encoding: gzip", gzip.compress(page)), (b"Content-Encoding: deflate", zlib.compress(page)),
+        (b"Content-Encoding: deflate", raw.compress(page) + raw.flush()),
+    ]
+    for fields, body in bodies:
+        kinds = dict((k, b) for k, _, b in warc.derivatives(*next(warc.parse_records(response(fields, body)))))
+        assert kinds["conversion"] == b"T\none\ntwo" and b"title: T\r\n" in kinds["metadata"]
+    assert _kinds(spark, response(b"Content-Encoding: gzip", b"junk") + response(b"Transfer-Encoding: chunked", b"9\r\nab") + ONE) == ["error", "error", *KINDS]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<script>", "<!--", "<a ", "<a href=", "<head>", "<title>", "<p", "<", "</script"])
+def test_long_pages_of_open_tags(piece):
+    began = time.process_time()
+    warc.read_page(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 2
+
+
+def test_text_of_a_page():
+    page = "a<b>b</b>c <!-- x > y --> 1 < 2 &lt;p&gt;<style>p</style>d<script>'<p>'</script >e<br/>f</DIV>g<x"
+    assert warc.read_page(page) == ("abc 1 < 2 <p> d e\nf\ng<x", None, [])
+    assert warc.read_page("<HEAD><TITLE>A\n&amp; B</TITLE><title>C</title></HEAD><a class=x HREF='u?a&amp;b'>l</a><a name=n>m</a>") == ("lm", "A & B", ["u?a&b"])
+
+
 def test_a_bad_response_among_good_ones(spark):
     bad = warc.build_record("response", [("WARC-Record-ID", "<urn:bad>")], b"no http")
     assert _kinds(spark, ONE + bad + TWO) == [*KINDS, "error", *KINDS]
