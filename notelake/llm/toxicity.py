@@ -6,10 +6,12 @@ SPAN words is averaged and goes into a softmax over the two classes. A document'
 a few words count in a long text as much as in a short one: in training all bags of a clean document are clean, and
 of a toxic one the worst is toxic.
 
-The model is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS, a third of them toxic if
-there are so many, the smallest by a hash of doc_id, texts of at most TRAIN_CHARS). As the softmax has two classes and all is linear before it, a task needs one number for
-each row of the table: a word's is looked up and averaged in numpy, over whole texts. Labels, lang, source and doc_id are
-no inputs of a score.
+The model is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS, a third of them toxic if there
+are so many, the smallest by a hash of doc_id), whole texts. Table, softmax and bias follow their own gradients, jointly, by
+full batches with AdaGrad steps from a small random start; a row of the table is drawn back to zero by as much as
+DOUBT toxic bags pull, so that rows which few documents share learn nothing by heart. As the softmax has two
+classes and all is linear before it, a task needs the product of table and softmax only, one number for each row: a
+word's are looked up and averaged in numpy, over whole texts. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null text is the empty text; a text without words gets the score of an empty bag; labels that are null
 are left out of the training, and a doc_id with several labels counts once for each; without both labels in the
@@ -32,13 +34,15 @@ from notelake.llm.common import LOWER, UPPER, documents
 from notelake.llm.quality import held_out, training_ids
 from notelake.llm.vector_text import CHUNK_BYTES, mix, word_hashes, word_spans
 
-TRAIN_ROWS, TRAIN_CHARS = 4_500, 20_000
+TRAIN_ROWS = 4_500
 #: A document counts as toxic from this score on.
 TOXIC = 0.3
 #: Words in a bag.
-SPAN = 24
-#: Full-batch steps, their length, and the pull (in toxic bags) under which a row of the table stays at zero.
-ROUNDS, RATE, DOUBT = 80, 60.0, 100.0
+SPAN = 12
+#: Full-batch steps, their length for table and softmax, and the pull (in toxic bags) that a row of the table has to exceed.
+ROUNDS, RATE, DOUBT = 100, 4.0, 1.0
+#: How far a toxic document's label goes to its worst bags in the end: the exponent of their odds.
+SHARPER = 1.0
 ROWS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5, 6)
 #: A-Z to lower case, control characters and ASCII punctuation to a space; digits stay, as they stand for letters in misspellings.
 _PLAIN = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -111,15 +115,11 @@ class Toxicity:
 
 
 def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, doubt: float = DOUBT, seed: int = 7) -> Toxicity:
-    """Dual averaging over table and softmax together, by full batches; words are embedded once each.
-
-    A row stays at zero until it has been pulled as by `doubt` toxic bags: rows that few documents share learn nothing by
-    heart.
-    """
+    """Gradient descent on table and softmax together; words are embedded once each."""
     share = float(np.clip(label.mean(), 1e-3, 1 - 1e-3)) if len(label) else 0.5
     if not len(label) or label.min() == label.max():
         return Toxicity(np.zeros(ROWS), float(np.log(share / (1 - share))))
-    keys, firsts, spelled, row = [], [], {}, 0
+    keys, firsts, spelled = [], [], {}
     for data, offsets in plain_chunks(column):
         starts, ends, first = word_spans(data, offsets)
         h = word_hashes(data, starts, ends)
@@ -134,6 +134,8 @@ def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float =
     starts, ends, _ = word_spans(one, np.array([0, len(one)]))
     pairs = list(subwords(one, starts, ends))
     word, gram = (np.concatenate([p[i].astype(np.int32) for p in pairs]) for i in (0, 1))
+    used, gram = np.unique(gram, return_inverse=True)  # the rows that these texts reach; the others stay at zero
+    gram = gram.astype(np.int32)
     del pairs, spelled
     number = np.bincount(word, minlength=len(vocabulary)).astype(float)
     begin, doc = bags(np.concatenate([[0], np.cumsum(np.concatenate(firsts))]))
@@ -142,41 +144,48 @@ def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float =
     occurs = occurs.astype(np.int32)
     edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     toxic = label[doc] == 1
-    clean_weight = np.where(toxic, 0.0, 1.0 / np.bincount(doc, minlength=len(label))[doc])
 
     rng = np.random.default_rng(seed)
-    table, out, bias = np.zeros((ROWS, DIM)), rng.uniform(-1, 1, (2, DIM)), np.log([1 - share, share])
-    all_bags = 1.0 / np.bincount(doc, minlength=len(label))[doc]
+    table, out = rng.uniform(-0.01, 0.01, (len(used), DIM)), rng.uniform(-1, 1, (2, DIM))
+    bias = np.log([1 - share, share])
+    bags_of = np.diff(np.append(edge, len(doc)))
+    all_bags = np.repeat(1.0 / bags_of, bags_of)
     one_bag = 1 / (SPAN * number.mean())  # what a toxic bag pulls at a row
-    pulled, square = np.zeros(ROWS), np.full(ROWS, one_bag**2)
+    table_square, out_square = np.full(len(used), 1e-12), np.full(2, 1e-12)
     for turn in range(rounds):
         gap = out[1] - out[0]
         words = np.bincount(word, (table @ gap)[gram], len(vocabulary)) / number
         logit = np.add.reduceat(words[occurs], begin) / size + bias[1] - bias[0]
         p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-        worst = logit >= np.repeat(np.maximum.reduceat(logit, edge), np.diff(np.append(edge, len(doc))))
-        # at first every bag of a toxic document is taken for toxic, later on the worst one
-        weight = np.where(toxic, worst if turn >= rounds // 6 else all_bags, all_bags + worst)
+        top = np.repeat(np.maximum.reduceat(logit, edge), bags_of)
+        # which bags make a document toxic is not known: at first they share its label evenly, then by their odds
+        odds = np.exp(np.maximum(logit - top, -60) * (SHARPER * turn / rounds))
+        odds /= np.repeat(np.add.reduceat(odds, edge), bags_of)
+        weight = np.where(toxic, odds, all_bags + (logit >= top))
         g = weight * (p - toxic)
         by_word = np.bincount(occurs, (g / size)[bag], len(vocabulary)) / number
-        by_row = np.bincount(gram, by_word[word], ROWS)
-        pulled += by_row
-        square += by_row**2
-        row = -rate * np.sign(pulled) * np.maximum(np.abs(pulled) - doubt * one_bag, 0) / np.sqrt(square)
-        towards = by_row @ table
-        table = row[:, None] * (gap / (gap @ gap))[None, :]
-        turned = 0.01 * towards / max(np.linalg.norm(towards), 1e-12)
-        out += np.stack([turned, -turned]) / 2
+        by_row = np.bincount(gram, by_word[word], len(used))
+        # the gradients: of a row of the table by_row * gap, of the softmax by_row @ table for toxic and its negative for clean
+        of_out, norm = by_row @ table, np.linalg.norm(gap)
+        table_square += (by_row * norm) ** 2
+        step = rate / np.sqrt(table_square)
+        table -= (step * by_row)[:, None] * gap
+        length = np.linalg.norm(table, axis=1)
+        table *= np.maximum(0, 1 - step * doubt * one_bag * norm / np.maximum(length, 1e-12))[:, None]
+        out_square += of_out @ of_out
+        out += np.stack([of_out, -of_out]) * (0.1 * rate / np.sqrt(out_square))[:, None]
         shift = 0.1 * g.sum() / weight.sum()
         bias += np.array([shift, -shift])
-    return Toxicity(table @ (out[1] - out[0]), float(bias[1] - bias[0]))
+    row = np.zeros(ROWS)
+    row[used] = table @ (out[1] - out[0])
+    return Toxicity(row, float(bias[1] - bias[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicity:
     one = training_ids(labels.where(F.col("toxic") == 1), "toxic", held_out(4, 2), rows // 3)
     zero = training_ids(labels.where(F.col("toxic") == 0), "toxic", held_out(4, 2), rows - rows // 3)
     chosen = F.broadcast(one.unionByName(zero))
-    sample = docs.join(chosen, "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS).select("label", "text").toArrow()
+    sample = docs.join(chosen, "doc_id").select("label", "text").toArrow()
     sample = sample.sort_by([("text", "ascending"), ("label", "ascending")]).combine_chunks()  # the order of rows is no input
     texts = sample.column("text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
     return fit(texts, sample.column("label").to_numpy().astype(int))
