@@ -148,7 +148,10 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = both.select(*KEY, "twin", "missing", "n_chars", "times", "next_id", "next_tie", "text", edited.alias("edited"))
     folded = weighted_samples(both, [*KEY, "twin"], ["text", "edited"], samples).withColumnsRenamed({"text": "own", "edited": "other"})
     about = both.select(*KEY, "twin", "missing", "n_chars", "times", "next_id", "next_tie", F.sha2("edited", 256).alias("edited_sha256"))
-    out = about.join(folded.hint("shuffle_hash"), [*KEY, "twin"], "left").select(
+    # by the key the texts are dealt out by already; a row and its twin are told apart by a condition that isn't a key
+    folded = folded.select(F.col("id").alias("id_"), F.col("tie").alias("tie_"), F.col("twin").cast("int").alias("twin_"), "own", "other")
+    same = (F.col("id") == F.col("id_")) & (F.col("tie") == F.col("tie_")) & (F.col("twin").cast("int") - F.col("twin_") == 0)
+    out = about.join(folded.hint("shuffle_hash"), same, "left").select(
         *about.columns, fingerprint_text(F.col("own"), samples).alias("fingerprint"), fingerprint_text(F.col("other"), samples).alias("edited_fingerprint")
     )
     out = stage(out, "fingerprints")
