@@ -15,8 +15,8 @@ doc_id, or the same document before) is a repeat, and the words it covers go.
 4. Ranges of repeated words return to their documents.
 
 Defined cases: null text has no words; rows with a null doc_id are returned as they are, and nothing is a repeat of them;
-rows with a repeated doc_id count as one place, so that equal texts under one doc_id don't remove each other; an empty
-table gives an empty result; extra columns are ignored.
+different texts under one doc_id come in the order of their hashes; equal texts under one doc_id are one place and don't
+remove each other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.common import documents
+from notelake.llm.common import documents, stage
 from notelake.llm.vector_text import ngram_hashes, text_chunks, word_hashes, word_spans
 
 WINDOW, GRAM = 20, 8
@@ -65,7 +65,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
 def _count_anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, ties = batch.column("doc_id"), batch.column("tie")
             for row, data, offsets in text_chunks(batch.column("text")):
                 _, _, first, at, place, anchor = anchors(data, offsets, window, gram)
                 if not len(at):
@@ -76,39 +76,41 @@ def _count_anchors(window: int, gram: int):
                 doc, key = doc[order], anchor[new][order]
                 edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
                 count = np.diff(np.append(edge, len(doc)))
-                own = ids.take(pa.array(doc[edge] + row))
-                yield pa.RecordBatch.from_arrays([own, pa.array(key[edge].view(np.int64)), pa.array(count, pa.int64())], ["doc_id", "anchor", "n"])
+                own = pa.array(doc[edge] + row)
+                yield pa.RecordBatch.from_arrays([ids.take(own), ties.take(own), pa.array(key[edge].view(np.int64)), pa.array(count, pa.int64())], ["doc_id", "tie", "anchor", "n"])
 
     return run
 
 
-PASSAGE = "key long, doc_id long, at int, size int, n long, words string"
+#: What a row is known by: its doc_id and the hash of its text.
+ROW = ["doc_id", "tie"]
+PASSAGE = "key long, doc_id long, tie long, at int, size int, n long, words string"
 
 
 def _passages(window: int, gram: int):
-    """Rows (doc_id, text, cold, hot) to passages; a row without words is a folded later one: all of it repeats."""
+    """Rows (doc_id, tie, text, cold, hot) to passages; a row without words is a folded later one: all of it repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PASSAGE.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
         seen: dict[tuple, list] = {}
         later: list[tuple] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(key, doc, at, size, n, words.decode()) for (key, words), (doc, at, size, n) in seen.items()]
+            rows = [(key, *doc, at, size, n, words.decode()) for (key, words), (doc, at, size, n) in seen.items()]
             ranges: list[list[int]] = []
             for doc, at, size in sorted(later):
                 if ranges and ranges[-1][0] == doc and at <= ranges[-1][2]:
                     ranges[-1][2] = max(ranges[-1][2], at + size)
                 else:
                     ranges.append([doc, at, at + size])
-            rows += [(doc * 31 + at & 0xFFFFFFFF, doc, at, end - at, 0, None) for doc, at, end in ranges]
+            rows += [(doc[0] * 31 + at & 0xFFFFFFFF, *doc, at, end - at, 0, None) for doc, at, end in ranges]
             for lo in range(0, len(rows), 20_000):
                 cols = list(zip(*rows[lo : lo + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-        def add(key: int, words: bytes, doc: int, at: int, size: int) -> None:
+        def add(key: int, words: bytes, doc: tuple[int, int], at: int, size: int) -> None:
             old = seen.get((key, words))
             if old is None:
                 seen[key, words] = [doc, at, size, 1]
@@ -122,7 +124,7 @@ def _passages(window: int, gram: int):
 
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("cold")))
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()))
             cold, hot = batch.column("cold").to_pylist(), batch.column("hot").to_pylist()
             for row, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, first, at, place, anchor = anchors(data, offsets, window, gram)
@@ -154,7 +156,7 @@ def _passages(window: int, gram: int):
     return run
 
 
-def locate_repeats(passages: list[tuple[int, int, int, str]], window: int) -> Iterator[tuple[int, int, int]]:
+def locate_repeats(passages: list[tuple[tuple[int, int], int, int, str]], window: int) -> Iterator[tuple[tuple[int, int], int, int]]:
     """passages: (doc, first word, number, words). (doc, from, to): ranges of words in windows that also start earlier."""
     import ahocorasick
 
@@ -164,7 +166,7 @@ def locate_repeats(passages: list[tuple[int, int, int, str]], window: int) -> It
         ws = words.split(" ")
         for w in ws:
             if w not in letters:
-                letters[w] = chr(0x10000 + len(letters)) if len(letters) < 0xFFFFF else ""
+                letters[w] = chr(0x10000 + len(letters))  # a ValueError beyond a million words, which PATTERNS and HOT rule out
         coded.append((doc, at, n, "".join(map(letters.__getitem__, ws))))
     first: dict[str, list] = {}
     for doc, at, n, s in coded:
@@ -201,17 +203,19 @@ def locate_repeats(passages: list[tuple[int, int, int, str]], window: int) -> It
 
 def _locate(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, str]] = []
+        held: list[tuple[tuple[int, int], int, int, str]] = []
         patterns, last = 0, None
-        names, kinds = ["doc_id", "lo", "hi"], [pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = [*ROW, "lo", "hi"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                flat = zip(*[(*doc, lo, hi) for doc, lo, hi in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], names)
 
         for batch in batches:
             rows = []
-            for key, doc, at, size, n, words in zip(*[batch.column(c.split()[0]).to_pylist() for c in PASSAGE.split(", ")]):
+            for key, doc_id, tie, at, size, n, words in zip(*[batch.column(c.split()[0]).to_pylist() for c in PASSAGE.split(", ")]):
+                doc = (doc_id, tie)
                 if words is None:
                     rows.append((doc, at, at + size))
                     continue
@@ -248,21 +252,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs; kept: the words that stay, joined by one space."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     able = docs.where(F.col("doc_id").isNotNull())
-    found = able.mapInArrow(_count_anchors(window, gram), "doc_id long, anchor long, n long")
+    found = stage(able.mapInArrow(_count_anchors(window, gram), "doc_id long, tie long, anchor long, n long"), "anchors")
     again = found.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    own = found.select("doc_id", "anchor").join(again, "anchor")
-    own = own.groupBy("doc_id").agg(
+    own = found.select(*ROW, "anchor").join(again, "anchor")
+    own = own.groupBy(*ROW).agg(
         F.collect_set(F.when(F.col("all") <= hot, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("all") > hot, F.col("anchor"))).alias("hot")
     )
     # a left join, here as at the end, so that both read one shuffle of the texts
-    passages = docs.join(own.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cold", "hot").mapInArrow(_passages(window, gram), PASSAGE)
+    passages = docs.join(own.hint("shuffle_hash"), ROW, "left").select(*ROW, "text", "cold", "hot").mapInArrow(_passages(window, gram), PASSAGE)
     dealt = passages.repartition("key").sortWithinPartitions("key")
-    ranges = dealt.mapInArrow(_locate(window), "doc_id long, lo int, hi int").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return docs.join(ranges.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    ranges = dealt.mapInArrow(_locate(window), "doc_id long, tie long, lo int, hi int").groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return docs.join(ranges.hint("shuffle_hash"), ROW, "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+p as (select doc_id, unnest(range(1, len(ws) - {WINDOW} + 2)) as spot, ws from w),
+v as (select doc_id, spot, array_to_string(ws[spot:spot + {WINDOW - 1}], ' ') as words from p),
+again as (select doc_id, spot from (select doc_id, spot, row_number() over (partition by words order by doc_id, spot) as n from v) where n > 1),
+gone as (select distinct doc_id, spot + i as spot from again, range(0, {WINDOW}) as r(i)),
+word as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as spot from w),
+kept as (select doc_id, string_agg(word, ' ' order by spot) as kept, count(*) as n from word anti join gone using (doc_id, spot) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)
+"""

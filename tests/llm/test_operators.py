@@ -310,7 +310,10 @@ def test_repeats(docs, rows, window, gram, hot):
 
 def test_repeats_of_odd_rows(odd, empty):
     got = repeats.remove_repeats(odd, 4, 2).collect()
-    assert len(got) == odd.count()
+    assert len(got) == odd.count() and all(r.n_removed == 0 for r in got if r.doc_id is None)
+    texts = {"a b c d e f": [1, 3, 3], "o p q r s t": [3], None: [2]}
+    some = odd.sparkSession.createDataFrame([(i, t) for t, ids in texts.items() for i in ids], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in repeats.remove_repeats(some, 4, 2).collect()) == [(1, 0, "a b c d e f"), (2, 0, ""), (3, 0, "o p q r s t"), (3, 6, ""), (3, 6, "")]
     assert repeats.remove_repeats(empty).count() == 0
 
 
