@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notelake.llm.common import ASCII_LOWER, documents, stage
+from notelake.llm.common import ASCII_LOWER, LOWER, UPPER, documents, stage
 from notelake.llm.components import connected_components
 from notelake.llm.vector_text import ngram_hashes, text_chunks, word_hashes, word_spans
 
@@ -190,3 +190,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
+#: Every pair of documents that share a shingle, so for small tables only.
+OP8_SQL = f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+      else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as shingles from w),
+e as (select doc_id, len(shingles) as size, unnest(shingles) as shingle from s),
+l as (select a.doc_id as u, b.doc_id as v from e a join e b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, a.size, b.size having 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+reach as (select doc_id as node, doc_id as root from s union select reach.node, l.v from reach join l on reach.root = l.u)
+select doc_id, len(shingles)::bigint as n_shingles, min(root) as component_id, doc_id = min(root) as kept from s join reach on node = doc_id group by doc_id, shingles
+"""

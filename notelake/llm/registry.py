@@ -6,10 +6,10 @@ from notelake.llm.chat import OP3_SQL, op3_chat_snapshots
 from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from notelake.llm.fingerprints import op2_fingerprints
 from notelake.llm.mixing import OP1_SQL, op1_mixture
-from notelake.llm.near_dedup import op8_minhash
+from notelake.llm.near_dedup import OP8_SQL, op8_minhash
 from notelake.llm.packing import op4_best_fit
 from notelake.llm.quality import op5_quality
-from notelake.llm.repeats import op6_repeats
+from notelake.llm.repeats import OP6_SQL, op6_repeats
 from notelake.llm.toxicity import op10_toxicity
 from notelake.llm.warc import op7_warc
 
@@ -29,5 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixture": OP1_SQL,
     "op3_chat_snapshots": OP3_SQL,
+    "op6_repeats": OP6_SQL,
+    "op8_minhash": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
