@@ -196,7 +196,7 @@ def id_seconds(note_id: Column) -> Column:
     return F.conv(F.substring(note_id, 1, 8), 16, 10).cast("long")
 
 
-#: MIME types by extension that attachments meet; others are octet-stream.
+#: MIME types by extension that attachments meet; others are octet-stream.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "bmp": "image/bmp", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "md": "text/markdown", "json": "application/json", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "zip": "application/zip"}
 #: First bytes, as hex, of the types that are recognised by content.
 SIGNATURES = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "424D": "image/bmp", "25504446": "application/pdf", "504B0304": "application/zip", "49443303": "audio/mpeg", "00000100": "image/x-icon", "49492A00": "image/tiff"}
@@ -211,16 +211,87 @@ def mime_of(ext: Column, given: Column | None = None, content: Column | None = N
     return F.coalesce(found, F.nullif(given, F.lit("")) if given is not None else F.lit(None).cast("string"), lookup(F.lower(F.ltrim(ext)), MIME), F.lit("application/octet-stream"))
 
 
-def attachment_html(filename: Column, size: Column, hash_: Column, mime: Column, width: Column, height: Column) -> Column:
-    """An image, or a block that stands for the file; attributes in a fixed order, empty ones left out."""
+#: MIME types by extension of imported resources.
+RESOURCE_MIME = {"jpg": "image/jpg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "ico": "image/vnd.microsoft.icon", "tiff": "image/tiff", "tif": "image/tiff", "svg": "image/svg+xml", "svgz": "image/svg+xml", "pdf": "application/pdf"}
+#: Extensions of the recognised types.
+SNIFFED_EXT = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/bmp": "bmp", "application/pdf": "pdf", "application/zip": "zip", "audio/mpeg": "mp3", "image/x-icon": "ico", "image/tiff": "tif", "image/webp": "webp", "audio/wav": "wav", "video/mp4": "mp4"}
+
+
+def sniffed(content: Column) -> Column:
+    """struct<mime, ext> by the first bytes; fields are null where they are not recognised."""
+    head = F.hex(F.substring(content, 1, 12))
+    found = F.lit(None).cast("string")
+    for k, v in SIGNATURES.items():
+        found = F.when(head.startswith(k), F.lit(v)).otherwise(found)
+    riff = lambda kind: head.startswith("52494646") & (F.substring(head, 17, 8) == kind)
+    found = F.when(riff("57454250"), "image/webp").when(riff("57415645"), "audio/wav").when(F.substring(head, 9, 8) == "66747970", "video/mp4").otherwise(found)
+    return F.struct(found.alias("mime"), lookup(found, SNIFFED_EXT).alias("ext"))
+
+
+def attachment_html(filename: Column, size: Column, hash_: Column, mime: Column, width: Column, height: Column, url: Column | None = None, title: Column | None = None) -> Column:
+    """An image, the frame of a web clip, or a span that stands for the file; attributes in a fixed order, empty ones left out."""
     attr = lambda name, c: F.when(c.isNotNull() & (c.cast("string") != "") & (c.cast("string") != "0"), F.concat(F.lit(f' {name}="'), c.cast("string"), F.lit('"'))).otherwise(F.lit(""))
-    attrs = F.concat(attr("data-filename", filename), attr("data-size", size), attr("data-hash", hash_), attr("data-mime", mime), attr("width", width), attr("height", height))
-    return F.when(mime.startswith("image/"), F.concat(F.lit("<img"), attrs, F.lit("/>"))).otherwise(F.concat(F.lit('<span class="attachment"'), attrs, F.lit("></span>")))
+    attrs = F.concat(F.lit('class="attachment"'), attr("data-filename", filename), attr("data-size", size), attr("data-hash", hash_), attr("data-mime", mime), attr("width", width), attr("height", height))
+    text = lambda c: F.coalesce(c, F.lit("")) if c is not None else F.lit("")
+    # fixed markup
+    image = F.concat(F.lit("<img "), attrs, F.lit(' alt="'), text(filename), F.lit('" />'))
+    clip = F.concat(F.lit('<iframe class="web-clip" '), attrs, F.lit(' src="'), text(url), F.lit('" title="'), text(title), F.lit('">&nbsp;</iframe>'))
+    block = F.concat(F.lit("<span "), attrs, F.lit(' contenteditable="false" title="'), text(filename), F.lit('">\n      <em>&nbsp;</em>\n      <span class="filename">'), text(filename), F.lit("</span>\n    </span>"))
+    return F.when(mime.startswith("image/"), image).when(mime.endswith(".web-clip"), clip).otherwise(block)
+
+
+def data_url(url: Column) -> Column:
+    """struct<mime, data> of a base64 image URL; null for others."""
+    m = r"(?s)^data:(image/[^;,]+);base64,(.+)$"
+    raw = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(url, m, 2), F.lit("+"), F.lit("%2B"))), F.lit("")), r"\s", "")
+    return F.when(url.rlike(m), F.struct(F.regexp_extract(url, m, 1).alias("mime"), F.try_to_binary(raw, F.lit("base64")).alias("data")))
+
+
+def web_clip_footer(url: Column, title: Column) -> Column:
+    """What follows a web clip: where it comes from; nothing without an address and a title."""
+    url, title = (F.nullif(c, F.lit("")) for c in (url, title))
+    link = F.concat(F.lit('<hr></hr><p>Clipped from: <a href="'), F.coalesce(url, F.lit("")), F.lit('">'), F.coalesce(title, url), F.lit("</a></p>"))
+    return F.when(url.isNotNull() | title.isNotNull(), link).otherwise(F.lit(""))
+
+
+def is_evernote_link(url: Column) -> Column:
+    """A link to a note of the same app: by its own scheme, or by the web address of a shared note."""
+    parts = lambda rest: F.size(F.filter(F.split(rest, "/"), lambda x: x != ""))
+    own, web = r"(?i)^evernote:///view/(.*)$", r"(?i)^https?://www\.evernote\.com/shard/([^?#]*).*$"
+    return F.when(url.rlike(own), parts(F.regexp_extract(url, own, 1)) >= 4).when(url.rlike(web), parts(F.regexp_extract(url, web, 1)) >= 4).otherwise(False)
+
+
+def styles(style: Column) -> Column:
+    """map<property, value> of an inline style; of a repeated property the last value counts."""
+    pairs = F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), ";"), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.regexp_replace(x, "^[^:]*:", "")), x.contains(":").alias("ok"))), lambda x: x["ok"])
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["col1"] == p["col1"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["col1"], p["col2"])))
+
+
+def element_type(style: Column) -> Column:
+    """What an ENEX element stands for, by its style: a web clip, code, a task group or a rich link; null for others."""
+    m = styles(style)
+    on = lambda k: F.coalesce(m[k], F.lit("false")) == "true"
+    return F.when(m["--en-clipped-content"].isNotNull(), "en-webclip").when(on("--en-codeblock") | on("-en-codeblock"), "en-codeblock").when(on("--en-task-group") | on("-en-task-group"), "en-task-group").when(on("--en-richlink"), "en-richlink")
+
+
+def distinct_tags(tags: Column) -> Column:
+    """Tags in the order of their first occurrence, without the leading '#' and empty ones (A3)."""
+    return F.array_distinct(F.filter(F.transform(tags, clean_tag), lambda t: t != ""))
+
+
+def xml_text(c: Column) -> Column:
+    """Character data of XML: the five entities and decimal or hexadecimal references, each once."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)&#?\w+;|[^&]+|&"), F.lit(0))
+    code = lambda t: F.when(t.rlike("^&#x[0-9a-fA-F]{1,6};$"), F.conv(F.regexp_extract(t, "^&#x([0-9a-fA-F]+);", 1), 16, 10)).when(t.rlike("^&#[0-9]{1,7};$"), F.regexp_extract(t, "^&#([0-9]+);", 1)).cast("int")
+    utf8 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    named = lambda t: lookup(t, {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"})
+    return F.array_join(F.transform(parts, lambda t: F.coalesce(named(t), F.when(code(t).between(1, 0xD7FF) | code(t).between(0xE000, 0x10FFFF), utf8(code(t))), t)), "")
 
 
 # ---- reminders
 
-#: Codes of a repeating reminder.
+#: Codes of a repeating reminder.
 REMINDER_MODES = {16: "day", 32: "week", 48: "month", 80: "week", 96: "month", 112: "year"}
 
 

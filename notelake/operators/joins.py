@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of passages too short for a key that are compared with every text, at most.
-SHORT_PASSAGES = 10_000
-
 
 def first_match(joined: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of each key, the first in order."""
@@ -28,7 +25,7 @@ def contains_join(texts: DataFrame, passages: DataFrame, text_key: str, passage_
     """(text_key, passage_key) where text contains passage, as an equi-join.
 
     A word of a passage that has words on both sides is a whole word of any text that contains the passage: its longest
-    such word is the key. Passages of fewer than three words have none; they are compared with all texts if they are few.
+    such word is the key. Passages of fewer than three words have none; their first letters are the key.
     """
     gap = r"\s+"
     inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
@@ -40,19 +37,53 @@ def contains_join(texts: DataFrame, passages: DataFrame, text_key: str, passage_
     # candidate pairs carry no text; it is joined back for them only
     pairs = words.join(keyed.select(passage_key, "word"), "word").select(text_key, passage_key).distinct()
     found = pairs.join(t, text_key).join(keyed.select(passage_key, "passage"), passage_key).where(F.col("text").contains(F.col("passage"))).select(text_key, passage_key)
-    short = p.where(F.size("inner") == 0).select(passage_key, "passage")
-    if (n := short.count()) > SHORT_PASSAGES:
-        raise ValueError(f"{n} passages of fewer than three words")
-    if n:
-        found = found.unionByName(t.join(F.broadcast(short), F.col("text").contains(F.col("passage"))).select(text_key, passage_key))
+    # passages of one or two words: by their first letters, three at most
+    few = p.where(F.size("inner") == 0).select(passage_key, "passage", F.substring("passage", 1, 3).alias("gram"))
+    letters = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1))), lambda i: F.substr("text", i, n))))
+    if not few.isEmpty():
+        grams = t.select(text_key, F.explode(F.array_distinct(letters)).alias("gram"))
+        pairs = grams.join(few.select(passage_key, "gram"), "gram").select(text_key, passage_key).distinct()
+        found = found.unionByName(pairs.join(t, text_key).join(few.select(passage_key, "passage"), passage_key).where(F.col("text").contains(F.col("passage"))).select(text_key, passage_key))
     return found
 
 
 def suffix_join(files: DataFrame, links: DataFrame, path: str, suffix: str, width: int) -> DataFrame:
-    """Pairs whose path ends with suffix: equal last `width` characters, then the whole suffix."""
-    a = files.withColumn("__k", F.substring(F.col(path), -width, width))
-    b = links.withColumn("__k", F.substring(F.col(suffix), -width, width))
-    return a.join(b, "__k").where(F.col(path).endswith(F.col(suffix))).drop("__k")
+    """Pairs whose path ends with suffix: equal last `width` characters (all of a shorter suffix), then the whole suffix.
+
+    Only the lengths below `width` that suffixes have, at most `width` of them, come to the driver. An empty suffix fits nothing.
+    """
+    b = links.withColumn("__n", F.least(F.char_length(suffix), F.lit(width))).where(F.col("__n") > 0).withColumn("__k", F.expr(f"right({suffix}, __n)"))
+    sizes = sorted(r[0] for r in b.select("__n").distinct().collect())
+    if not sizes:
+        return files.join(links, F.lit(False))
+    a = files.withColumn("__n", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.char_length(path) >= F.col("__n")).withColumn("__k", F.expr(f"right({path}, __n)"))
+    return a.join(b, ["__n", "__k"]).where(F.col(path).endswith(F.col(suffix))).drop("__n", "__k")
+
+
+def lookup_left(rows: DataFrame, others: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the columns of the first of the others that has the same key, or nulls: metadata by path, lists by name."""
+    return rows.join(first_match(others, [key], [order]).drop(order), key, "left")
+
+
+def token_contains(files: DataFrame, ids: DataFrame, path: str, id_: str, pattern: str) -> DataFrame:
+    """Pairs where the path contains the id (J6, J13): ids match the pattern, so those cut out of the path are the keys.
+
+    pattern finds ids wherever they stand, overlapping ones too.
+    """
+    cut = files.withColumn("__id", F.explode(F.array_distinct(F.regexp_extract_all(path, F.lit(f"(?=({pattern}))"), F.lit(1)))))
+    return cut.join(ids, F.col("__id") == F.col(id_)).drop("__id")
+
+
+def relative_path_join(files: DataFrame, links: DataFrame, path: str, relative: str) -> DataFrame:
+    """Pairs where the path contains the relative path (J14): a relative path of folders and a name, so the name is the key."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    a, b = files.withColumn("__name", last(F.col(path))), links.withColumn("__name", last(F.col(relative)))
+    return a.join(b, "__name").where(F.col(path).contains(F.col(relative))).drop("__name")
+
+
+def tasks_of(tasks: Column, group: Column) -> Column:
+    """The tasks of a group, in their order (J15). tasks: array<struct<group, ...>>."""
+    return F.filter(tasks, lambda t: t["group"] == group)
 
 
 def many_to_many(notes: DataFrame, pairs: DataFrame, tags: DataFrame, note: str, tag: str, name: str) -> DataFrame:

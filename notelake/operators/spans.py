@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: From the outside in.
+#: Formats from the outside in.
 PRECEDENCE = ["headline1", "headline2", "bold", "italic", "underline", "strike", "bg_color", "url"]
 
 
@@ -27,10 +27,19 @@ def segments(texts: DataFrame, spans: DataFrame, key: str, length: str = "n") ->
     return covered.groupBy(key, "start", "end").agg(F.transform(pairs, lambda x: x["f"]).alias("formats"))
 
 
-def indent_parents(items: DataFrame, key: str, pos: str, indent: str, levels: int = 16) -> DataFrame:
-    """items with `parent`: the position of the nearest earlier item of a smaller indent; null at the top."""
-    w = W.partitionBy(key).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
-    latest = [F.max(F.when(F.col(indent) == i, F.col(pos))).over(w).alias(f"__l{i}") for i in range(levels)]
-    x = items.select("*", *latest)
-    below = F.greatest(*[F.when(F.lit(i) < F.col(indent), F.col(f"__l{i}")) for i in range(levels)])
-    return x.withColumn("parent", below).drop(*[f"__l{i}" for i in range(levels)])
+def indent_parents(items: DataFrame, key: str, pos: str, indent: str) -> DataFrame:
+    """items with `parent`: the position of the nearest earlier item of a smaller indent; null at the top.
+
+    A list is folded in one row, with the open items as a stack; its length is that of one document's list.
+    """
+    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(indent).cast("long").alias("i"), F.struct(*items.columns).alias("row")))).alias("items"))
+    kind = dict(items.dtypes)[pos]
+    entry = f"struct<p:{kind},i:bigint>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(f"array<{kind}>").alias("parents"))
+
+    def step(acc, x):
+        under = F.filter(acc["open"], lambda o: o["i"] < x["i"])
+        return F.struct(F.concat(under, F.array(F.struct(x["p"].alias("p"), x["i"].alias("i")))).alias("open"), F.concat(acc["parents"], F.array(F.get(under, F.size(under) - 1)["p"])).alias("parents"))
+
+    parents = F.aggregate("items", start, step, lambda acc: acc["parents"])
+    return rows.select(F.explode(F.arrays_zip(F.col("items.row").alias("row"), parents.alias("parent"))).alias("x")).select("x.row.*", F.col("x.parent").alias("parent"))

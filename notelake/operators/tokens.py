@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.functions import columns as C
+from notelake.operators import joins as J
+from notelake.operators import package as P
+
 #: Script and style elements and comments are one token each, with their content.
 TOKEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]+>|[^<]+|<"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
@@ -39,14 +43,25 @@ def explode_tokens(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return rows.select(key, "pos", "tok", kind_of(F.col("tok")).alias("kind"), tag_of(F.col("tok")).alias("tag"))
 
 
+def _markup(tokens: Column) -> Column:
+    """The page without scripts, styles and comments."""
+    return F.array_join(F.filter(tokens, lambda t: ~t.rlike(r"(?i)^<(script|style)\b|^<!")), "")
+
+
+def _first_element(tags: list[str]) -> str:
+    return rf"(?is)<({'|'.join(tags)})(?:\s[^>]*)?>(.*?)(?:</\1\s*>|\z)"
+
+
 def element_text(tokens: Column, tags: list[str]) -> Column:
-    """Text of the first element with one of the tags, in document order; null where there is none."""
-    is_open = lambda t: (kind_of(t) == "open") & tag_of(t).isin(tags)
-    at = F.array_position(F.transform(tokens, is_open), True)
-    rest = F.slice(tokens, at + 1, F.size(tokens))
-    end = F.array_position(F.transform(rest, lambda t: (kind_of(t) == "close") & (tag_of(t) == tag_of(F.get(tokens, (at - 1).cast("int"))))), True)
-    inner = F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(F.size(rest)).cast("int"))
-    return F.when(at > 0, F.trim(F.array_join(F.filter(inner, lambda t: kind_of(t) == "text"), "")))
+    """Text of the first element with one of the tags, in document order; null where there is none. One pass over the page."""
+    found = F.regexp_extract_all(_markup(tokens), F.lit(_first_element(tags)), F.lit(2))
+    return F.trim(F.regexp_replace(F.get(found, F.lit(0)), "<[^>]*>", ""))
+
+
+def without_first(html: Column, tags: list[str]) -> Column:
+    """The page without the first element with one of the tags (outside scripts, styles and comments)."""
+    skip = r"(?:<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|[^<]|<(?!(?:" + "|".join(tags) + r")[\s>]))*+"
+    return F.regexp_replace(html, rf"(?is)\A({skip})<({'|'.join(tags)})(?:\s[^>]*)?>.*?(?:</\2\s*>|\z)", "$1")
 
 
 def visible_text(tokens: Column, removed: list[str]) -> Column:
@@ -81,11 +96,78 @@ def meta_value(tokens: Column, names: list[str]) -> Column:
     return attribute(F.get(good, F.size(good) - 1), "content")
 
 
+#: Distinct links up to which they are sent to all tasks; more are joined.
+BROADCAST_LINKS = 100_000
+
+
 def rewrite_links(pages: DataFrame, key: str, links: DataFrame, html: str = "html") -> DataFrame:
-    """(key, html): href of every <a> whose value is in links(href, target) is replaced; others stay."""
-    rows = explode_tokens(pages, key, html)
-    href = F.when((F.col("tag") == "a") & (F.col("kind") == "open"), attribute(F.col("tok"), "href"))
-    linked = rows.withColumn("href", href)
-    found = linked.where(F.col("href").isNotNull()).join(links, "href").select(key, "pos", F.replace("tok", F.concat(F.lit('"'), F.col("href"), F.lit('"')), F.concat(F.lit('"'), F.col("target"), F.lit('"'))).alias("new"))
-    done = linked.join(found, [key, "pos"], "left").select(key, F.struct("pos", F.coalesce("new", "tok").alias("tok")).alias("t"))
-    return done.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["tok"]), "").alias("html"))
+    """(key, html): href of every <a> whose value is in links(href, target) is replaced; others stay.
+
+    Few links go to all tasks as one map, and pages are rewritten in their rows; many links are joined by href and come
+    back to their page as a map of its own. Of several targets of one href the smallest counts.
+    """
+    links = links.groupBy("href").agg(F.min("target").alias("target"))
+    page = pages.select(key, tokenize(F.col(html)).alias("tokens"))
+    href = lambda t: F.when(t.rlike(r"(?i)^<a\s"), attribute(t, "href"))
+    if len(few := links.limit(BROADCAST_LINKS + 1).take(BROADCAST_LINKS + 1)) <= BROADCAST_LINKS:
+        spark = pages.sparkSession
+        one = spark.createDataFrame([({r.href: r.target for r in few},)], "targets map<string,string>")
+        page = page.select("*", one.scalar().alias("targets"))
+    else:
+        rows = page.select(key, F.explode(F.array_distinct(F.filter(F.transform("tokens", href), lambda h: h.isNotNull()))).alias("href")).join(links, "href")
+        page = page.join(rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("href", "target"))).alias("targets")), key, "left")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    new = lambda t: F.coalesce(F.replace(t, quoted(href(t)), quoted(F.col("targets")[href(t)])), t)
+    return page.select(key, F.array_join(F.transform("tokens", lambda t: F.when(t.rlike(r"(?i)^<a\s"), new(t)).otherwise(t)), "").alias("html"))
+
+
+def resource_links(notes: DataFrame, key: str, path: str, html: str = "html") -> DataFrame:
+    """(key, pos, tag, last, attrs..., file_path): resource elements with the path that src or href resolves to.
+
+    last: the position of the element's close tag, or its own.
+    """
+    t = notes.select(key, F.col(path).alias("__path"), tokenize(F.col(html)).alias("tokens")).select("*", F.posexplode("tokens").alias("pos", "tok"))
+    t = t.where(F.col("tok").rlike(rf"(?i)^<({'|'.join(RESOURCE_TAGS)})[\s>/]")).withColumns({"tag": tag_of(F.col("tok")), "kind": kind_of(F.col("tok"))})
+    ahead = F.array_position(F.transform(F.slice("tokens", F.col("pos") + 2, F.size("tokens")), lambda x: x.rlike("^</[a-zA-Z]") & (tag_of(x) == F.col("tag"))), True)
+    last = F.when((F.col("kind") == "open") & (ahead > 0), F.col("pos") + ahead.cast("int")).otherwise(F.col("pos"))
+    source = F.coalesce(F.nullif(attribute(F.col("tok"), "src"), F.lit("")), F.nullif(attribute(F.col("tok"), "href"), F.lit("")))
+    names = {a: attribute(F.col("tok"), a) for a in ("title", "filename", "mime")}
+    out = t.select(key, "__path", "pos", last.alias("last"), "tag", source.alias("source"), *[c.alias(f"attr_{a}") for a, c in names.items()])
+    return out.where(F.col("source").isNotNull()).withColumn("file_path", C.decode_uri(C.join_path(C.dirname(F.col("__path")), F.col("source")))).drop("__path")
+
+
+def replace_elements(notes: DataFrame, key: str, places: DataFrame, html: str = "html") -> DataFrame:
+    """(key, html): the tokens from pos to last become `new`, for each row of places(key, pos, last, new); those inside another are ignored (T4)."""
+    mine = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "last", "new"))).alias("places"))
+    page = notes.select(key, F.col(html).alias("html"), tokenize(F.col(html)).alias("tokens")).join(mine, key, "left")
+    outer = F.filter("places", lambda p: ~F.exists("places", lambda o: (o["pos"] < p["pos"]) & (o["last"] >= p["last"])))
+    page = page.withColumn("places", outer)
+    at = lambda i: F.get(F.filter("places", lambda p: (p["pos"] <= i) & (p["last"] >= i)), F.lit(0))
+    token = lambda t, i: F.when(at(i).isNull(), t).when(at(i)["pos"] == i, at(i)["new"]).otherwise("")
+    return page.select(key, F.when(F.col("places").isNull(), F.col("html")).otherwise(F.array_join(F.transform("tokens", token), "")).alias("html"))
+
+
+def import_resources(notes: DataFrame, files: DataFrame, key: str, path: str, hash_name: str = "md5", given: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, attachments, blobs): resource elements that resolve to a file become attachments.
+
+    files: FILE rows; of several with one path the first entry counts. given (source, content, name, ext): resources of the
+    caller's own, tried first, by the element's src or href (X4). Elements without a file stay. attachments
+    (key, pos, hash, ...) are in document order by pos; blobs (hash, data) hold each content once.
+    """
+    links = resource_links(notes, key, path)
+    one = J.first_match(files.select(F.col("path").alias("file_path"), "name", "ext", "content", "entry_ord"), ["file_path"], ["entry_ord"]).drop("entry_ord")
+    x = links.join(one, "file_path", "left")
+    if given is not None:
+        own = given.groupBy("source").agg(F.min(F.struct("name", "ext", "content")).alias("own"))
+        x = x.join(own, "source", "left").withColumns({c: F.coalesce(F.col(f"own.{c}"), F.col(c)) for c in ("name", "ext", "content")}).drop("own")
+    x = x.where(F.col("content").isNotNull())
+    mark = P.hash_column(F.col("content"), hash_name)
+    found = C.sniffed(F.col("content"))
+    filename = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("attr_title", "attr_filename", "name")], mark)
+    mime = F.coalesce(found["mime"], F.nullif(F.col("attr_mime"), F.lit("")), C.lookup(F.col("ext"), C.RESOURCE_MIME), F.lit("application/octet-stream"))
+    x = x.withColumns({"hash": mark, "hash_type": F.lit(hash_name), "filename": F.when(found["ext"].isNotNull(), C.append_extension(filename, found["ext"])).otherwise(filename), "mime": mime, "size": F.length("content").cast("long")})
+    none = F.lit(None).cast("int")
+    places = x.select(key, "pos", "last", C.attachment_html(F.col("filename"), F.col("size"), F.col("hash"), F.col("mime"), none, none).alias("new"))
+    rewritten = notes.drop("html").join(replace_elements(notes, key, places), key)
+    blobs = x.select("hash", F.col("content").alias("data")).dropDuplicates(["hash"])
+    return rewritten, x.select(key, "pos", "hash", "hash_type", "filename", "size", "mime"), blobs

@@ -104,6 +104,51 @@ def html_attr_rewrite(spark, sf_dir):
     return T.rewrite_links(p, "page_id", links).select("page_id", F.md5("html").alias("html_md5"))
 
 
+@query("select page_id, md5(regexp_replace(html, '(?is)<title\\b[^>]*>.*?</title\\s*>|<h1\\b[^>]*>.*?</h1\\s*>|<h2\\b[^>]*>.*?</h2\\s*>', '')) as html_md5 from pages")
+def html_without_title(spark, sf_dir):
+    """Pages without the element that gives the title."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(T.without_first(F.col("html"), ["title", "h1", "h2"])).alias("html_md5"))
+
+
+@query(
+    f"""with t as ({_TOKENS_SQL}), a as (select *, case when regexp_matches(tok, '(?i)^<a\\s') then regexp_extract(tok, '(?is)\\shref\\s*=\\s*"/([^"/]*)"', 1) else '' end as name,
+      lead(tok) over (partition by page_id order by pos) as inner_tok, lead(tok, 2) over (partition by page_id order by pos) as after from t),
+    f as (select w as name, n::bigint as size, md5(w) as hash from (select word as w, octet_length(encode(word)) as n from (select distinct unnest(string_split(text, ' ')) as word from benchmark) where length(word) % 2 = 1)),
+    b as (select a.page_id, pos, tok, f.name is not null as hit, f.name as found, size, hash from a left join f on a.name = f.name and a.name <> ''),
+    c as (select *, coalesce(lag(hit, 1) over w, false) or coalesce(lag(hit, 2) over w, false) as gone from b window w as (partition by page_id order by pos)),
+    d as (select *, 'class="attachment" data-filename="' || found || '" data-size="' || size || '" data-hash="' || hash || '" data-mime="application/octet-stream"' as attrs from c where not gone)
+    select page_id, md5(string_agg(case when hit then '<span ' || attrs || ' contenteditable="false" title="' || found || '">' || chr(10) || '      <em>&nbsp;</em>' || chr(10) || '      <span class="filename">' || found || '</span>' || chr(10) || '    </span>' else tok end, '' order by pos)) as html_md5,
+      sum(hit::int)::bigint as attachments from d group by page_id"""
+)
+def html_resources(spark, sf_dir):
+    """Links to files become attachments (J1, T3, T4, P14): a file for each word of odd length that the benchmark has, named and filled with it."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name")).distinct().where(F.char_length("name") % 2 == 1)
+    files = words.select(F.concat(F.lit("site/"), F.col("name")).alias("path"), "name", F.lit("").alias("ext"), F.col("name").cast("binary").alias("content"), F.lit(0).alias("entry_ord"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html", F.lit("site/page.html").alias("path"))
+    notes, attachments, _ = T.import_resources(pages, files, "page_id", "path")
+    counts = attachments.groupBy("page_id").agg(F.count("*").alias("attachments"))
+    return notes.join(counts, "page_id", "left").select("page_id", F.md5("html").alias("html_md5"), F.coalesce("attachments", F.lit(0).cast("long")).alias("attachments"))
+
+
+@query("""select page_id, case when n >= 2 and page_id % 2 = 0 then true when page_id % 2 = 1 and n + 2 >= 4 then true else false end as linked,
+    case when page_id % 3 = 0 then '' else '<hr></hr><p>Clipped from: <a href="' || url || '">' || case when page_id % 3 = 1 then url else 'x' end || '</a></p>' end as footer
+    from (select *, len(list_filter(string_split(regexp_replace(split_part(url, '?', 1), '^[a-z]+://', ''), '/'), lambda x: x <> '')) as n from pages)""")
+def clip_links(spark, sf_dir):
+    """Which addresses are links to notes of the same app, and the footer of a clip (F7, F30): the page's path as a note's, in both forms."""
+    p = _table(spark, sf_dir, "pages")
+    path, i = F.regexp_replace(F.substring_index("url", "?", 1), "^[a-z]+://", ""), F.col("page_id")
+    link = F.when(i % 2 == 0, F.concat(F.lit("evernote:///view/a/b/"), path)).otherwise(F.concat(F.lit("https://www.evernote.com/shard/a/b/"), path))
+    footer = C.web_clip_footer(F.when(i % 3 > 0, F.col("url")), F.when(i % 3 == 2, F.lit("x")))
+    return p.select("page_id", C.is_evernote_link(link).alias("linked"), footer.alias("footer"))
+
+
+@query("with w as (select doc_id, regexp_replace(trim(replace(w, '#', '')), '^#', '') as tag, spot from (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as spot from documents)), f as (select doc_id, trim(tag) as tag, min(spot) as spot from w where trim(tag) <> '' group by all), g as (select doc_id, md5(string_agg(tag, chr(31) order by spot)) as tags_md5, count(*) as n from f group by doc_id) select documents.doc_id, coalesce(tags_md5, md5('')) as tags_md5, coalesce(n, 0)::int as n from documents left join g using (doc_id)")
+def distinct_tags(spark, sf_dir):
+    """Distinct words of a text in the order of their first occurrence, as tags are taken (A3)."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", C.distinct_tags(F.transform(F.split(F.regexp_replace("text", "#", ""), " "), lambda w: F.concat(F.lit("#"), w))).alias("t"))
+    return d.select("doc_id", F.md5(F.array_join("t", "\x1f")).alias("tags_md5"), F.size("t").alias("n"))
+
+
 @query("select page_id, array_to_string(list_filter(string_split(regexp_replace(split_part(url, '?', 1), '/[^/]*$', ''), '/')[3:], lambda x: x <> ''), '|') as notebooks from pages")
 def url_notebook_path(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
@@ -293,7 +338,7 @@ def record_filter(spark, sf_dir):
 
 # ---- windows
 
-_SPANS_SQL = "select doc_id, n, (doc_id * k) % 40 as s, (doc_id * k) % 40 + 5 * k as e, ['bold', 'italic', 'url'][k] as format from (select doc_id, least(n_chars, 50)::int as n from documents), (values (1), (2), (3)) v(k)"
+_SPANS_SQL = "select doc_id, n, (doc_id * k) % 40 as s, (doc_id * k) % 40 + 5 * k as e, ['bold', 'italic', 'url'][k] as format from (select doc_id, n_chars::int as n from documents), (values (1), (2), (3)) v(k)"
 
 
 @query(
@@ -303,7 +348,7 @@ _SPANS_SQL = "select doc_id, n, (doc_id * k) % 40 as s, (doc_id * k) % 40 + 5 *
     from seg left join sp on sp.doc_id = seg.doc_id and sp.s <= seg.start and sp.e >= seg.stop group by all"""
 )
 def span_segments(spark, sf_dir):
-    t = _table(spark, sf_dir, "documents").select("doc_id", F.least("n_chars", F.lit(50)).alias("n"))
+    t = _table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
     span = lambda k, f: F.struct(((F.col("doc_id") * k) % 40).alias("start"), ((F.col("doc_id") * k) % 40 + 5 * k).alias("end"), F.lit(f).alias("format"))
     spans = t.select("doc_id", F.explode(F.array(span(1, "bold"), span(2, "italic"), span(3, "url"))).alias("s")).select("doc_id", "s.*")
     return S.segments(t, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.array_join("formats", ",").alias("formats"))
@@ -312,7 +357,7 @@ def span_segments(spark, sf_dir):
 @query("select conv_id, turn, (turn % 3)::int as indent, (select max(c2.turn) from conversations c2 where c2.conv_id = c.conv_id and c2.turn < c.turn and c2.turn % 3 < c.turn % 3) as parent from conversations c")
 def indent_tree(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 3).cast("int").alias("indent"))
-    return S.indent_parents(c, "conv_id", "turn", "indent", 3)
+    return S.indent_parents(c, "conv_id", "turn", "indent")
 
 
 @query(
@@ -324,8 +369,8 @@ def checklist_html(spark, sf_dir):
 
 
 @query(
-    """select doc_id, case when doc_id % 3 = 0 then '<img data-filename="' || source || '.png" data-size="' || n_chars || '" data-hash="' || md5(text) || '" data-mime="image/png" width="' || 100 || '" height="' || cast(floor(100 * (doc_id % 50 + 1) / 40.0 + 0.5) as int) || '"/>'
-    else '<span class="attachment" data-filename="' || source || '.pdf" data-size="' || n_chars || '" data-hash="' || md5(text) || '" data-mime="application/pdf"></span>' end as html from documents"""
+    """select doc_id, case when doc_id % 3 = 0 then '<img class="attachment" data-filename="' || source || '.png" data-size="' || n_chars || '" data-hash="' || md5(text) || '" data-mime="image/png" width="' || 100 || '" height="' || cast(floor(100 * (doc_id % 50 + 1) / 40.0 + 0.5) as int) || '" alt="' || source || '.png" />'
+    else '<span class="attachment" data-filename="' || source || '.pdf" data-size="' || n_chars || '" data-hash="' || md5(text) || '" data-mime="application/pdf" contenteditable="false" title="' || source || '.pdf">' || chr(10) || '      <em>&nbsp;</em>' || chr(10) || '      <span class="filename">' || source || '.pdf</span>' || chr(10) || '    </span>' end as html from documents"""
 )
 def attachment_html(spark, sf_dir):
     image = F.col("doc_id") % 3 == 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions import markdown as M
+from notelake.functions import rewrites as W
 from notelake.operators import spans as S
 from notelake.plans import registry as R
 
@@ -39,3 +40,10 @@ def span_segments_all(spark, sf_dir):
 def markdown_html(spark, sf_dir):
     """markdown_paragraphs with all of Markdown and unaltered texts (MD1-MD9)."""
     return R._table(spark, sf_dir, "documents").select("doc_id", F.md5(M.to_html(F.col("text"))).alias("html_md5"))
+
+
+@query
+def markup_rewrites(spark, sf_dir):
+    """Whole pages through the rewrites that move elements: divs and breaks to paragraphs, lists, sections, code, alignment."""
+    names = ["div-to-p", "br-to-p", "checked-lists", "collapsibles", "code-languages", "aligned-blocks", "en-todo", "en-codeblock"]
+    return R._table(spark, sf_dir, "pages").select("page_id", F.md5(W.rewrite(F.col("html"), *names)).alias("html_md5"))

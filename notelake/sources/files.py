@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +17,6 @@ from notelake.functions import columns as C
 
 ZIPS, TARS = ("zip", "znote", "textpack"), ("jex",)
 FILE = "path string, archive_name string, archive_path string, entry_ord int, size long, modified_at long, content binary, error string"
-#: Archives within archives that are opened.
-DEPTH = 4
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -41,18 +41,19 @@ def _entries(name: str, data: bytes) -> Iterator[tuple[str, bytes, int | None]]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for m in z.infolist():
                 if not m.is_dir():
-                    yield m.filename, z.read(m), None
+                    at = datetime.datetime(*m.date_time, tzinfo=datetime.timezone.utc) if m.date_time[1] else None
+                    yield m.filename, z.read(m), int(at.timestamp() * 1000) if at else None
 
 
-def _open(path: str, data: bytes, depth: int) -> Iterator[tuple]:
+def _open(path: str, data: bytes) -> Iterator[tuple]:
     base = path.rsplit("/", 1)[-1]
     try:
         for i, (name, content, modified) in enumerate(_entries(base, data)):
             inner = f"{base}/{name}"
             yield inner, base, path, i, len(content), modified, content, None
-            if depth > 1 and name.rsplit(".", 1)[-1].lower() in ZIPS + TARS:
-                yield from _open(inner, content, depth - 1)
-    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, RuntimeError) as e:
+            if name.rsplit(".", 1)[-1].lower() in ZIPS + TARS:
+                yield from _open(inner, content)
+    except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, RuntimeError, ValueError, NotImplementedError, zlib.error) as e:
         yield path, base, path, -1, 0, None, None, f"broken archive: {e}"
 
 
@@ -61,7 +62,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string()] * 3 + [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            for row in _open(path, data or b"", DEPTH):  # an entry at a time: memory holds one archive
+            for row in _open(path, data or b""):  # an entry at a time: memory holds one archive
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
 

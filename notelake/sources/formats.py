@@ -37,8 +37,9 @@ def text(files: DataFrame) -> ImportResult:
 
 def _html_fields(html: Column) -> dict[str, Column]:
     t = T.tokenize(html)
+    body = T.tokenize(T.without_first(html, ["title", "h1", "h2"]))
     meta = lambda k: T.meta_value(t, T.META[k])
-    return {"title": T.element_text(t, ["title", "h1", "h2"]), "html": F.array_join(T.body_tokens(t), ""), "created": C.iso_millis(meta("created")), "edited": C.iso_millis(meta("edited")), "pinned": meta("pinned") == "true", "favorite": meta("favorite") == "true", "color": meta("color")}
+    return {"title": T.element_text(t, ["title", "h1", "h2"]), "html": F.array_join(T.body_tokens(body), ""), "created": C.iso_millis(meta("created")), "edited": C.iso_millis(meta("edited")), "pinned": meta("pinned") == "true", "favorite": meta("favorite") == "true", "color": meta("color")}
 
 
 def html(files: DataFrame) -> ImportResult:
@@ -53,7 +54,7 @@ def _markdown(files: DataFrame, source: str, title_from: str) -> ImportResult:
     get = lambda *ks: F.coalesce(*[F.nullif(F.col("m")[k], F.lit("")) for k in ks])
     own = T.element_text(T.tokenize(F.col("body")), ["h1", "h2"]) if title_from == "heading" else F.lit(None).cast("string")
     tags = F.filter(F.transform(F.split(get("tags"), ","), C.clean_tag), lambda x: x != "")
-    return _ok(_note(f, source, src_path=F.col("path"), title=F.coalesce(get("title"), F.nullif(own, F.lit("")), "stem"), html=F.col("body"), tags=tags, pinned=F.coalesce(get("pinned") == "true", F.lit(False)), favorite=F.coalesce(get("favorite") == "true", F.lit(False)), color=get("color"), date_created=F.coalesce(C.iso_millis(get("created", "created_at", "date created")), "modified_at"), date_edited=F.coalesce(C.iso_millis(get("updated", "updated_at", "date updated")), "modified_at")))
+    return _ok(_note(f, source, src_path=F.col("path"), title=F.coalesce(get("title"), F.nullif(own, F.lit("")), "stem"), html=T.without_first(F.col("body"), ["h1", "h2"]) if title_from == "heading" else F.col("body"), tags=tags, pinned=F.coalesce(get("pinned") == "true", F.lit(False)), favorite=F.coalesce(get("favorite") == "true", F.lit(False)), color=get("color"), date_created=F.coalesce(C.iso_millis(get("created", "created_at", "date created")), "modified_at"), date_edited=F.coalesce(C.iso_millis(get("updated", "updated_at", "date updated")), "modified_at")))
 
 
 def markdown(files: DataFrame) -> ImportResult:
@@ -90,7 +91,7 @@ def simplenote(files: DataFrame) -> ImportResult:
 
 
 KEEP = "title string, textContent string, listContent array<struct<text string, isChecked boolean>>, color string, isPinned boolean, isArchived boolean, labels array<struct<name string>>, userEditedTimestampUsec long, createdTimestampUsec long"
-#: Names of colours that have one of ours.
+#: Names of colours that have one of ours.
 KEEP_NAMES = {"red": "red", "orange": "orange", "yellow": "yellow", "green": "green", "teal": "green", "cerulean": "blue", "blue": "blue", "pink": "purple", "purple": "purple", "gray": "gray", "brown": "orange"}
 
 
@@ -106,11 +107,11 @@ def evernote(files: DataFrame) -> ImportResult:
     """A file is a notebook; its notes are cut out by pattern outside CDATA, so that a file of any number of notes is one pass."""
     pattern = r"(?s)<note>(?:<!\[CDATA\[.*?\]\]>|(?!</note>).)*+</note>"
     rows = visible(files, ["enex"]).select("path", "stem", F.explode(F.regexp_extract_all(_text(), F.lit(pattern), F.lit(0))).alias("x"))
-    field = lambda name: F.nullif(F.regexp_extract(F.regexp_replace("x", r"(?s)<content>.*?</content>|<task>.*?</task>|<resource>.*?</resource>", ""), rf"(?s)<{name}>(.*?)</{name}>", 1), F.lit(""))
+    field = lambda name: F.nullif(C.xml_text(F.regexp_extract(F.regexp_replace("x", r"(?s)<content>.*?</content>|<task>.*?</task>|<resource>.*?</resource>", ""), rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
     content = F.regexp_extract("x", r"(?s)<content>\s*<!\[CDATA\[(.*?)\]\]>\s*</content>", 1)
     inner = F.regexp_replace(content, r"(?s)\A.*?<en-note[^>]*>|</en-note>.*\z", "")
     tags = F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<tag>(.*?)</tag>"), F.lit(1))
-    return _ok(_note(rows, "evernote", src_path=F.col("path"), title=field("title"), html=inner, tags=tags, date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem"))))
+    return _ok(_note(rows, "evernote", src_path=F.col("path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem"))))
 
 
 def joplin_entities(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""New files as a stream: notes are imported as they arrive, each content once, however old the file is."""
+"""New files as a stream: notes are imported as they arrive, each note once, however old the file is."""
 
 from __future__ import annotations
 
@@ -20,9 +20,9 @@ def text_files(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataF
 
 
 def notes_once(files: DataFrame) -> DataFrame:
-    """Notes of text files with the hash of their content, by which write() takes each content once."""
+    """Notes of text files with the hash of the whole note, title and text, by which write() takes each note once."""
     notes = files.select("path", "seen", C.stem(F.col("path")).alias("title"), C.text_to_html(F.col("text")).alias("html"))
-    return notes.withColumn("hash", F.md5("html"))
+    return notes.withColumn("hash", F.md5(F.concat_ws("\n", "title", "html")))
 
 
 def _written(spark: SparkSession, target: str) -> DataFrame | None:
@@ -50,3 +50,8 @@ def write(notes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
     _written(notes.sparkSession, target)
     return notes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(notes: DataFrame, source: str = "source") -> DataFrame:
+    """The running number of notes of each source, for an update-mode query (ST3)."""
+    return notes.groupBy(source).agg(F.count("*").alias("notes"))

@@ -44,7 +44,7 @@ def test_archives_and_text(notes):
 def test_markdown_html_simplenote_evernote(notes):
     found, _ = notes
     md = _rows(formats.markdown(found))["b.md|T"]
-    assert md.tags == ["x", "y"] and md.pinned and md.html == "<h1>H</h1>\n<p>body</p>"
+    assert md.tags == ["x", "y"] and md.pinned and md.html == "\n<p>body</p>"
     assert _rows(formats.html(found))["c.html|Page"].html == "<p>x</p>"
     simple = formats.simplenote(found)
     assert _rows(simple)["s.json|first"].date_created == 1577934245000 and [r.note_title for r in simple.errors.collect()] == ["bad"]
@@ -65,10 +65,11 @@ def test_joplin(spark):
     assert got.errors.count() == 1
 
 
-def test_stream_imports_each_content_once(spark, tmp_path):
+def test_stream_imports_each_note_once(spark, tmp_path):
     for i in range(3):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{i}.txt").write_text("same" if i else "other")
+        (tmp_path / "in" / str(i)).mkdir()
+        (tmp_path / "in" / str(i) / "a.txt").write_text("same" if i else "other")
     q = incremental.write(incremental.notes_once(incremental.text_files(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
