@@ -121,18 +121,21 @@ def rewrite_links(pages: DataFrame, key: str, links: DataFrame, html: str = "htm
     return page.select(key, F.array_join(F.transform("tokens", lambda t: F.when(t.rlike(r"(?i)^<a\s"), new(t)).otherwise(t)), "").alias("html"))
 
 
-def resource_links(notes: DataFrame, key: str, path: str, html: str = "html") -> DataFrame:
-    """(key, pos, tag, last, attrs..., file_path): resource elements with the path that src or href resolves to.
-
-    last: the position of the element's close tag, or its own.
-    """
-    t = notes.select(key, F.col(path).alias("__path"), tokenize(F.col(html)).alias("tokens")).select("*", F.posexplode("tokens").alias("pos", "tok"))
-    t = t.where(F.col("tok").rlike(rf"(?i)^<({'|'.join(RESOURCE_TAGS)})[\s>/]")).withColumns({"tag": tag_of(F.col("tok")), "kind": kind_of(F.col("tok"))})
+def elements(notes: DataFrame, key: str, opening: str, *keep: str, html: str = "html") -> DataFrame:
+    """(key, keep..., pos, last, tok, tag): elements whose open tag matches the pattern; last: the position of the close tag, or its own."""
+    t = notes.select(F.col(key).alias("__key"), *keep, tokenize(F.col(html)).alias("tokens")).select("*", F.posexplode("tokens").alias("pos", "tok"))
+    t = t.where(F.col("tok").rlike(opening)).withColumns({"tag": tag_of(F.col("tok")), "kind": kind_of(F.col("tok"))})
     ahead = F.array_position(F.transform(F.slice("tokens", F.col("pos") + 2, F.size("tokens")), lambda x: x.rlike("^</[a-zA-Z]") & (tag_of(x) == F.col("tag"))), True)
     last = F.when((F.col("kind") == "open") & (ahead > 0), F.col("pos") + ahead.cast("int")).otherwise(F.col("pos"))
+    return t.select(F.col("__key").alias(key), *[c for c in keep if c != key], "pos", last.alias("last"), "tok", "tag")
+
+
+def resource_links(notes: DataFrame, key: str, path: str, html: str = "html") -> DataFrame:
+    """(key, pos, last, tag, source, attrs..., file_path): resource elements with the path that src or href resolves to."""
+    t = elements(notes.withColumn("__path", F.col(path)), key, rf"(?i)^<({'|'.join(RESOURCE_TAGS)})[\s>/]", "__path", html=html)
     source = F.coalesce(F.nullif(attribute(F.col("tok"), "src"), F.lit("")), F.nullif(attribute(F.col("tok"), "href"), F.lit("")))
     names = {a: attribute(F.col("tok"), a) for a in ("title", "filename", "mime")}
-    out = t.select(key, "__path", "pos", last.alias("last"), "tag", source.alias("source"), *[c.alias(f"attr_{a}") for a, c in names.items()])
+    out = t.select(key, "__path", "pos", "last", "tag", source.alias("source"), *[c.alias(f"attr_{a}") for a, c in names.items()])
     return out.where(F.col("source").isNotNull()).withColumn("file_path", C.decode_uri(C.join_path(C.dirname(F.col("__path")), F.col("source")))).drop("__path")
 
 

@@ -46,4 +46,4 @@ def markdown_html(spark, sf_dir):
 def markup_rewrites(spark, sf_dir):
     """Whole pages through the rewrites that move elements: divs and breaks to paragraphs, lists, sections, code, alignment."""
     names = ["div-to-p", "br-to-p", "checked-lists", "collapsibles", "code-languages", "aligned-blocks", "en-todo", "en-codeblock"]
-    return R._table(spark, sf_dir, "pages").select("page_id", F.md5(W.rewrite(F.col("html"), *names)).alias("html_md5"))
+    return W.rewrite(R._table(spark, sf_dir, "pages").select("page_id", "html"), *names).select("page_id", F.md5("html").alias("html_md5"))

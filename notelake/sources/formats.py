@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.functions import markdown as M
+from notelake.functions import rewrites as W
 from notelake.operators import joins as J
 from notelake.operators import tokens as T
 from notelake.operators.package import stamp
@@ -18,7 +19,7 @@ from notelake.sources.notes import ImportResult, split_required
 NOTE = ["src_path", "title", "date_created", "date_edited", "html", "tags", "pinned", "favorite", "archived", "color", "notebooks"]
 NO_ERRORS = "src_path string, note_title string, message string"
 def _text() -> Column:
-    return F.decode("content", "utf-8")
+    return F.make_valid_utf8(F.col("content").cast("string"))
 
 
 def _note(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
@@ -46,7 +47,7 @@ def html(files: DataFrame) -> ImportResult:
     f = visible(files, ["html", "htm"])
     x = _html_fields(_text())
     folders = F.when(F.col("archive_name").isNotNull(), F.array(C.notebook_path(F.col("dir"))))
-    return _ok(_note(f, "html", src_path=F.col("path"), title=F.coalesce(F.nullif(x["title"], F.lit("")), "stem"), html=x["html"], date_created=F.coalesce(x["created"], "modified_at"), date_edited=F.coalesce(x["edited"], "modified_at"), pinned=x["pinned"], favorite=x["favorite"], color=x["color"], notebooks=folders))
+    return _with_resources(_note(f, "html", src_path=F.col("path"), title=F.coalesce(F.nullif(x["title"], F.lit("")), "stem"), html=x["html"], date_created=F.coalesce(x["created"], "modified_at"), date_edited=F.coalesce(x["edited"], "modified_at"), pinned=x["pinned"], favorite=x["favorite"], color=x["color"], notebooks=folders), files)
 
 
 def _markdown(files: DataFrame, source: str, title_from: str) -> ImportResult:
@@ -103,15 +104,100 @@ def keep(files: DataFrame) -> ImportResult:
     return _ok(_note(f, "keep", src_path=F.col("path"), title=F.coalesce(F.nullif("title", F.lit("")), "stem"), html=body, tags=F.transform("labels", lambda x: x["name"]), color=C.lookup(F.lower("color"), KEEP_NAMES), pinned=F.col("isPinned"), archived=F.col("isArchived"), date_edited=edited, date_created=F.coalesce(C.micros_to_millis(F.nullif("createdTimestampUsec", F.lit(0))), edited)))
 
 
-def evernote(files: DataFrame) -> ImportResult:
-    """A file is a notebook; its notes are cut out by pattern outside CDATA, so that a file of any number of notes is one pass."""
+def _with_resources(notes: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> ImportResult:
+    """Notes whose links to files of the import became attachments."""
+    out, attachments, blobs = T.import_resources(notes, files, "src_path", "src_path")
+    result = _ok(out.select(*notes.columns), errors)
+    return ImportResult(result.notes, result.errors, attachments, blobs)
+
+
+def _enex_rows(files: DataFrame) -> DataFrame:
+    """(src_path, stem, x): a row for each note of a file, src_path with its number."""
     pattern = r"(?s)<note>(?:<!\[CDATA\[.*?\]\]>|(?!</note>).)*+</note>"
-    rows = visible(files, ["enex"]).select("path", "stem", F.explode(F.regexp_extract_all(_text(), F.lit(pattern), F.lit(0))).alias("x"))
-    field = lambda name: F.nullif(C.xml_text(F.regexp_extract(F.regexp_replace("x", r"(?s)<content>.*?</content>|<task>.*?</task>|<resource>.*?</resource>", ""), rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
+    rows = visible(files, ["enex"]).select("path", "stem", F.posexplode(F.regexp_extract_all(_text(), F.lit(pattern), F.lit(0))).alias("n", "x"))
+    return rows.select(F.concat("path", F.lit("#"), "n").alias("src_path"), "stem", "x")
+
+
+_ENEX_PART = r"(?s)<content>.*?</content>|<task>.*?</task>|<resource>.*?</resource>"
+
+
+def enex_resources(rows: DataFrame) -> DataFrame:
+    """(src_path, ord, hash, mime, filename, width, height, data): the resources of each note, by the hash that names them in its text."""
+    outside = F.regexp_replace("x", r"(?s)<content>.*?</content>", "")
+    r = rows.select("src_path", F.posexplode(F.regexp_extract_all(outside, F.lit(r"(?s)<resource>(.*?)</resource>"), F.lit(1))).alias("ord", "r"))
+    field = lambda name: F.nullif(F.regexp_extract("r", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1), F.lit(""))
+    data = F.try_to_binary(F.regexp_replace(field("data"), r"\s|<!\[CDATA\[|\]\]>", ""), F.lit("base64"))
+    r = r.select("src_path", "ord", data.alias("data"), C.xml_text(field("mime")).alias("mime"), C.xml_text(field("file-name")).alias("filename"), *[field(k).try_cast("int").alias(k) for k in ("width", "height")])
+    return r.where(F.col("data").isNotNull()).withColumn("hash", F.md5("data"))
+
+
+def evernote(files: DataFrame) -> ImportResult:
+    """A file is a notebook. Notes are cut out by pattern outside CDATA; media become attachments (J2, T18), task groups and to-dos
+    checklists (J15, T15, T17), code blocks pre elements (T16) and divs paragraphs (T14).
+    """
+    rows = _enex_rows(files)
+    field = lambda name: F.nullif(C.xml_text(F.regexp_extract(F.regexp_replace("x", _ENEX_PART, ""), rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
     content = F.regexp_extract("x", r"(?s)<content>\s*<!\[CDATA\[(.*?)\]\]>\s*</content>", 1)
     inner = F.regexp_replace(content, r"(?s)\A.*?<en-note[^>]*>|</en-note>.*\z", "")
     tags = F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<tag>(.*?)</tag>"), F.lit(1))
-    return _ok(_note(rows, "evernote", src_path=F.col("path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem"))))
+    notes = _note(rows, "evernote", src_path=F.col("src_path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem")))
+
+    media = T.elements(notes, "src_path", r"(?i)^<en-media[\s>/]").withColumn("hash", F.lower(T.attribute(F.col("tok"), "hash")))
+    held = J.first_match(enex_resources(rows), ["src_path", "hash"], ["ord"])
+    x = media.join(held, ["src_path", "hash"])
+    side = lambda k: F.coalesce(C.int_attribute(T.attribute(F.col("tok"), k)).cast("int"), F.col(k))
+    x = x.withColumns({"size": F.length("data").cast("long"), "hash_type": F.lit("md5"), "filename": F.coalesce(F.nullif("filename", F.lit("")), "hash"), "w": side("width"), "h": side("height")})
+    places = x.select("src_path", "pos", "last", C.attachment_html(F.col("filename"), F.col("size"), F.col("hash"), F.col("mime"), F.col("w"), F.col("h")).alias("new"))
+
+    part = lambda t, name: C.xml_text(F.regexp_extract(t, rf"(?s)<{name}>(.*?)</{name}>", 1))
+    tasks = F.transform(F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<task>(.*?)</task>"), F.lit(1)), lambda t: F.struct(part(t, "taskGroupNoteLevelID").alias("group"), part(t, "title").alias("title"), (part(t, "taskStatus") == "completed").alias("done")))
+    groups = T.elements(notes, "src_path", r"(?i)^<(?:en-task-group\b|div\b[^>]*-en-task-group\s*:\s*true)")
+    id_ = F.coalesce(T.attribute(F.col("tok"), "task-group-id"), C.styles(T.attribute(F.col("tok"), "style"))["--en-id"])
+    groups = groups.withColumn("group", id_).join(rows.select("src_path", tasks.alias("tasks")), "src_path")
+    lists = groups.select("src_path", "pos", "last", W.task_list(J.tasks_of(F.col("tasks"), F.col("group"))).alias("new"))
+    done = W.rewrite(T.replace_elements(notes, "src_path", places.unionByName(lists)), "en-todo", "en-codeblock", "div-to-p")
+    out = notes.drop("html").join(done, "src_path").select(*notes.columns)
+    return ImportResult(out, _ok(out).errors, x.select("src_path", "pos", "hash", "hash_type", "filename", "size", "mime"), x.select("hash", "data").dropDuplicates(["hash"]))
+
+
+def upnote(files: DataFrame) -> ImportResult:
+    """Pages outside /notebooks/; the folders below it say by links, named after a page, to which notebooks that belongs."""
+    f = visible(files, ["html"], ["/notebooks/"]).withColumns({"raw": _text()})
+    below = F.regexp_extract("path", r"(?:^|[/\\])notebooks[/\\](.+)[/\\][^/\\]*$", 1)
+    links = files.where(F.col("name").endswith(".lnk") | F.col("name").endswith(".html")).withColumn("below", below).where(F.col("below") != "")
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("path", F.split("below", r"[/\\]").alias("parts")))), lambda x: x["parts"])
+    f = f.join(links.groupBy(F.col("stem").alias("name")).agg(paths.alias("notebooks")), "name", "left")
+    body = F.array_join(T.body_tokens(T.tokenize(F.col("raw"))), "")
+    head = r"(?is)\A(\s*(?:<div\b[^>]*shine-editor[^>]*>\s*)?)<h2\b[^>]*>(.*?)</h2\s*>"
+    body = F.when(F.trim(F.regexp_replace(F.regexp_extract(body, head, 2), "<[^>]*>", "")) == F.col("stem"), F.regexp_replace(body, head, "$1")).otherwise(body)
+    tags = F.transform(F.filter(F.transform(T.tokenize(F.col("raw")), lambda t: F.when(t.rlike(r"(?i)^<a\s"), T.attribute(t, "data-upnote-tag"))), lambda t: t.isNotNull()), lambda t: F.regexp_replace(t, "^#", ""))
+    notes = _note(f, "upnote", src_path=F.col("path"), title=F.col("stem"), html=body, tags=F.array_distinct(F.filter(tags, lambda t: t != "")), notebooks=F.coalesce("notebooks", F.array().cast("array<array<string>>")), date_edited=F.col("modified_at"))
+    hrefs = T.elements(notes, "src_path", r"(?i)^<a\s").select(T.attribute(F.col("tok"), "href").alias("href")).distinct().where(F.col("href").endswith(".html"))
+    target = notes.select("title").distinct().select("title", F.concat(F.lit("nn://note/"), C.deterministic_id(F.lit("upnote"), F.col("title"))).alias("target"))
+    inner = hrefs.withColumn("title", F.regexp_replace(C.decode_uri(F.col("href")), r"\.html$", "")).join(target, "title").select("href", "target")
+    linked = W.rewrite(T.rewrite_links(notes, "src_path", inner), "checked-lists", "collapsibles", "code-languages", "div-to-p", "br-to-p", "aligned-blocks")
+    return _with_resources(notes.drop("html").join(linked, "src_path").select(*notes.columns), files)
+
+
+def zoho(files: DataFrame) -> ImportResult:
+    """One XML file is a note; what is required and missing gives an error row. The notebook is named by the meta.json of its folder."""
+    f = visible(files, ["znel"]).withColumn("x", _text())
+    meta = F.regexp_extract("x", r"(?s)<ZMeta\b[^>]*>(.*?)</ZMeta>", 1)
+    inside = lambda c, name: F.nullif(C.xml_text(F.regexp_replace(F.regexp_extract(c, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1), r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
+    body = F.regexp_replace(F.regexp_extract("x", r"(?s)<ZContent\b[^>]*>(.*)</ZContent>", 1), r"(?s)\A\s*(?:<!\[CDATA\[)?\s*(?:<content\b[^>]*>)?|(?:</content>)?\s*(?:\]\]>)?\s*\z", "")
+    rows = f.withColumns({
+        "version": F.nullif(F.regexp_extract("x", r"<ZNote\b[^>]*\bznelVersion\s*=\s*[\"']([^\"']+)", 1), F.lit("")), "note_title": inside(meta, "ZTitle"), "type": inside(meta, "ZNoteType"),
+        "body": F.when(F.col("x").rlike(r"<ZContent\b"), body), "created": C.iso_millis(inside(meta, "ZCreatedDate")), "edited": C.iso_millis(inside(meta, "ZModifiedDate")),
+        "tags": F.transform(F.regexp_extract_all("x", F.lit(r"(?s)<ZTag\b[^>]*>(.*?)</ZTag>"), F.lit(1)), C.xml_text),
+    })
+    good, bad = split_required(rows, {"version": "no znelVersion", "note_title": "no ZTitle", "type": "no ZNoteType", "body": "no ZContent"})
+    folder = F.array_join(F.slice(F.split(F.coalesce("archive_path", "path"), "/"), 1, 2), "/")
+    names = files.where(F.col("name") == "meta.json").select(F.col("path").alias("meta_path"), F.get_json_object(_text(), "$.name").alias("notebook"), F.lit(0).alias("ord"))
+    good = J.lookup_left(good.withColumn("meta_path", F.concat(folder, F.lit("/meta.json"))), names, "meta_path", "ord")
+    html = F.regexp_replace(F.regexp_replace("body", r"(?i)<znresource\b([^>]*?)\srelative-path\s*=", "<img$1 src="), r"(?i)</znresource\s*>", "")
+    listed = F.when(F.col("type") == "note/checklist", F.concat(F.lit('<div class="checklist">'), html, F.lit("</div>"))).otherwise(html)
+    notes = _note(good, "zoho", src_path=F.col("path"), title=F.col("note_title"), html=listed, tags=F.col("tags"), date_created=F.col("created"), date_edited=F.col("edited"), notebooks=F.when(F.col("notebook").isNotNull(), F.array(F.array("notebook"))).otherwise(F.array().cast("array<array<string>>")))
+    return _with_resources(W.rewrite(notes, "zn-checklists"), files, bad.select(F.col("path").alias("src_path"), "note_title", "message"))
 
 
 def joplin_entities(files: DataFrame) -> DataFrame:
@@ -137,7 +223,7 @@ def joplin(files: DataFrame) -> ImportResult:
     return _ok(out, bad.select("src_path", F.col("title").alias("note_title"), "message"))
 
 
-FORMATS: dict[str, Callable[[DataFrame], ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin}
+FORMATS: dict[str, Callable[[DataFrame], ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin, "upnote": upnote, "zoho": zoho}
 
 
 def register_format(name: str, importer: Callable[[DataFrame], ImportResult]) -> None:
@@ -147,4 +233,6 @@ def register_format(name: str, importer: Callable[[DataFrame], ImportResult]) ->
 def import_notes(files: DataFrame, formats: list[str]) -> ImportResult:
     """Many formats at once, into one table of notes and one of errors."""
     results = [FORMATS[f](files) for f in formats]
-    return ImportResult(J.union_all([r.notes for r in results]), J.union_all([r.errors for r in results]))
+    both = lambda frames: J.union_all(held) if (held := [f for f in frames if f is not None]) else None
+    blobs = both([r.blobs for r in results])
+    return ImportResult(J.union_all([r.notes for r in results]), J.union_all([r.errors for r in results]), both([r.attachments for r in results]), blobs.dropDuplicates(["hash"]) if blobs is not None else None)

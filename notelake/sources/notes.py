@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 @dataclass
 class ImportResult:
+    """notes, errors and, of formats with attachments: attachments (src_path, pos, hash, ...) and blobs (hash, data)."""
+
     notes: DataFrame
     errors: DataFrame
+    attachments: DataFrame | None = None
+    blobs: DataFrame | None = None
 
 
 def split_required(rows: DataFrame, required: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -44,7 +44,7 @@ def test_rewrite_of_one_page(name, page, want):
 
 def test_rewrites_in_spark(spark):
     rows = spark.createDataFrame([(i, c[1]) for i, c in enumerate(CASES) if c[0] == "div-to-p"], "i int, html string")
-    got = {r.i: r.html for r in rows.select("i", R.rewrite(F.col("html"), "div-to-p").alias("html")).collect()}
+    got = {r.i: r.html for r in R.rewrite(rows, "div-to-p").collect()}
     assert got == {i: c[2] for i, c in enumerate(CASES) if c[0] == "div-to-p"}
 
 
@@ -118,3 +118,51 @@ def test_deep_indents(spark):
     items = spark.createDataFrame([("d", i, n) for i, n in enumerate([0, 17, 18, 2, 2])] + [("e", 0, 5)], "k string, pos int, indent int")
     got = {(r.k, r.pos): r.parent for r in S.indent_parents(items, "k", "pos", "indent").collect()}
     assert got == {("d", 0): None, ("d", 1): 0, ("d", 2): 1, ("d", 3): 0, ("d", 4): 0, ("e", 0): None}
+
+
+# ---- importers with resources
+
+
+def _files(spark, rows):
+    """FILE rows of (path, content)."""
+    from notelake.sources import files
+
+    schema = "path string, archive_name string, archive_path string, entry_ord int, size long, modified_at long, content binary, error string"
+    return files.described(spark.createDataFrame([(p, None, None, i, len(c), 5, bytearray(c), None) for i, (p, c) in enumerate(rows)], schema))
+
+
+def test_evernote_media_tasks_and_code(spark):
+    import base64
+    import hashlib
+
+    from notelake.sources import formats
+
+    data = bytes.fromhex("89504E470D0A1A0A") + b"x"
+    h = hashlib.md5(data).hexdigest()
+    inner = f'<div>a <en-media hash="{h}" type="image/png" width="9"/></div><ul><li><en-todo checked="true"/>t</li></ul><div style="--en-task-group: true; --en-id: g1"></div><div style="-en-codeblock: true"><div>x</div></div>'
+    note = f"<note><title>A &amp; B</title><tag>p &lt; q</tag><created>20200102T030405Z</created><content><![CDATA[<!DOCTYPE x><en-note>{inner}</en-note>]]></content>"
+    note += "<task><title>one</title><taskStatus>completed</taskStatus><taskGroupNoteLevelID>g1</taskGroupNoteLevelID></task><task><title>other</title><taskGroupNoteLevelID>g2</taskGroupNoteLevelID></task>"
+    note += f'<resource><data encoding="base64">{base64.b64encode(data).decode()}</data><mime>image/png</mime><width>9</width><height>4</height><resource-attributes><file-name>p.png</file-name></resource-attributes></resource></note>'
+    got = formats.evernote(_files(spark, [("book.enex", f"<en-export>{note}<note><title>B</title></note></en-export>".encode())]))
+    rows = {r.title: r for r in got.notes.collect()}
+    assert set(rows) == {"A & B", "B"} and rows["A & B"].tags == ["p < q"] and rows["A & B"].notebooks == [["book"]]
+    image = f'<img class="attachment" data-filename="p.png" data-size="9" data-hash="{h}" data-mime="image/png" width="9" height="4" alt="p.png">'
+    assert rows["A & B"].html == f'<p>a {image}</p><ul class="checklist"><li class="checked">t</li></ul><ul class="checklist"><li class="checked">one</li></ul><pre>x</pre>'
+    assert [(r.hash, bytes(r.data)) for r in got.blobs.collect()] == [(h, data)] and got.attachments.count() == 1
+
+
+def test_upnote_and_zoho(spark):
+    from notelake.sources import formats
+
+    page = b'<body><div class="shine-editor"><h2>One</h2><div>to <a href="Two.html">two</a><br>b</div><a data-upnote-tag="#t">#t</a><img src="f.bin"></div></body>'
+    rows = [("u/One.html", page), ("u/Two.html", b"<p>x</p>"), ("u/f.bin", b"data"), ("u/notebooks/Work/Sub/One.html.lnk", b""), ("u/notebooks/Home/One.html.lnk", b"")]
+    got = formats.upnote(_files(spark, rows))
+    one = {r.title: r for r in got.notes.collect()}["One"]
+    assert one.tags == ["t"] and one.notebooks == [["Home"], ["Work", "Sub"]] and "<h2>" not in one.html
+    assert 'href="nn://note/' in one.html and '<p data-spacing="single">b</p>' in one.html and 'data-filename="f.bin"' in one.html and got.attachments.count() == 1
+    znel = b'<ZNote znelVersion="1"><ZMeta><ZTitle>Z</ZTitle><ZNoteType>note/mixed</ZNoteType><ZCreatedDate>2020-01-02T03:04:05+0000</ZCreatedDate></ZMeta><ZTag>a</ZTag><ZContent><content><p>x</p><div class="checklist"><checkbox checked="true">k</checkbox><checkbox>l</checkbox></div><znresource relative-path="r.txt" type="text/plain"/></content></ZContent></ZNote>'
+    got = formats.zoho(_files(spark, [("root/book/n.znel", znel), ("root/book/meta.json", b'{"name": "Book"}'), ("root/book/r.txt", b"res"), ("root/book/bad.znel", b"<ZNote></ZNote>")]))
+    note = got.notes.first()
+    assert (note.title, note.tags, note.notebooks) == ("Z", ["a"], [["Book"]])
+    assert '<ul class="checklist"><li class="checked">k</li><li>l</li></ul>' in note.html and 'data-filename="r.txt"' in note.html
+    assert [r.message for r in got.errors.collect()] == ["no znelVersion; no ZTitle; no ZNoteType; no ZContent"]
