@@ -182,23 +182,43 @@ union all select 'gap', {capacity} - size, start, take, null, null from f where
 union all select 'out', size, first, take, start, 0 from f where take > 0
 union all select 'doc', size, first + take, n - take, null, null from f where n > take"""
 
-#: A round. Down the sizes, gaps raise the height by their number and documents lower it, to zero at least. A run holds the levels
-#: between its two heights, and a document meets the gap that raised its level last: the smallest one that takes it and that
-#: no longer document has. Levels are cut at all heights, so that within a part gaps and documents alternate.
-_SWEEP = """
-with a as (select *, row_number() over w as at, sum(if(kind = 'gap', n, -n)) over w as s from {t} where kind <> 'out' window w as (order by size desc, kind desc, first)),
-b as (select *, s - least(0, min(s) over (order by at)) as height from a),
-c as (select *, least(height, was) as lo, greatest(height, was) as hi from (select *, lag(height, 1, 0) over (order by at) as was from b)),
-ends as (select *, dense_rank() over (order by level) as part from (select at, explode(array(lo, hi)) as level from c where hi > lo)),
-cuts as (select part, level, lead(level) over (order by part) as top from (select distinct part, level from ends)),
-spans as (select at, explode(sequence(min(part), max(part) - 1)) as part from ends group by at),
-parts as (select /*+ merge(c) */ spans.at, spans.part, kind, size, first, lo from spans join c on spans.at = c.at),
-mates as (select *, lead(struct(at, size, first, lo)) over (partition by part order by at) as doc from parts),
-met as (select /*+ merge(cuts) */ any_value(size) as size, any_value(first - lo) as base, min(level) as level, max(top) as top, any_value(doc) as doc
-        from mates join cuts using (part) where kind = 'gap' group by at, doc.at)
-select 'gap' as kind, size - coalesce(doc.size, 0) as size, base + level as first, top - level as n, cast(null as bigint) as sequence, cast(null as bigint) as offset from met where size > coalesce(doc.size, 0)
-union all select 'out', doc.size, doc.first + level - doc.lo, top - level, base + level, {capacity} - size from met where doc is not null
-union all select 'doc', size, first + hi - lo, n - hi + lo, null, null from c where kind = 'doc' and n > hi - lo"""
+_RUNS = "kind string, size long, first long, n long, sequence long, offset long"
+
+
+def _sweep(capacity: int):
+    """A round over the runs, in order of size. Their number depends on `capacity`, not on the corpus, so they are one task's.
+
+    Down the sizes, gaps are laid on a stack and documents take from its top: the smallest gap that takes them and that
+    no longer document has. Each gap takes one document at most; what is left waits for the next round.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _RUNS.split(", ")]
+        runs = [r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in names[:4]])]
+        stack: list[list[int]] = []
+        out: list[tuple] = []
+        for kind, size, first, n in sorted(runs, key=lambda r: (-r[1], r[0] == "doc", r[2])):
+            if kind == "gap":
+                stack.append([size, first, n])
+                continue
+            while n and stack:
+                gap = stack[-1]
+                take = min(n, gap[2])
+                gap[2] -= take
+                sequence = gap[1] + gap[2]
+                out.append(("out", size, first, take, sequence, capacity - gap[0]))
+                if gap[0] > size:
+                    out.append(("gap", gap[0] - size, sequence, take, None, None))
+                first, n = first + take, n - take
+                if not gap[2]:
+                    stack.pop()
+            if n:
+                out.append(("doc", size, first, n, None, None))
+        out += [("gap", *gap, None, None) for gap in stack]
+        columns = list(zip(*out)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names)
+
+    return run
 
 
 def best_fit_rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -221,7 +241,7 @@ def best_fit_rounds(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if fresh or not placed:
             table = spark.sql(_OPEN, t=table.coalesce(1), need=-(-left // capacity), opened=opened, capacity=capacity)
         else:
-            table = spark.sql(_SWEEP, t=table.coalesce(1), capacity=capacity)
+            table = table.where("kind <> 'out'").coalesce(1).mapInArrow(_sweep(capacity), _RUNS)
         table = stage(table.coalesce(1), "runs")
         fresh = False
         tables.append(table)
