@@ -49,7 +49,7 @@ def test_markdown_html_simplenote_evernote(notes):
     simple = formats.simplenote(found)
     assert _rows(simple)["s.json|first"].date_created == 1577934245000 and [r.note_title for r in simple.errors.collect()] == ["bad"]
     enex = _rows(formats.evernote(found))
-    assert enex["n.enex|E"].tags == ["p", "q"] and enex["n.enex|E"].html == "<div>a </note> b</div>" and enex["n.enex|E"].date_created == 1577934245000 and "n.enex|F" in enex
+    assert enex["n.enex#0|E"].tags == ["p", "q"] and enex["n.enex#0|E"].html == "<p>a  b</p>" and enex["n.enex#0|E"].date_created == 1577934245000 and "n.enex#1|F" in enex
 
 
 def test_joplin(spark):
