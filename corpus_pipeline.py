@@ -20,26 +20,39 @@ MIXTURE = 1.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; those without labels are scored like all others."""
+    """Documents that the classifier accepts; those without labels are scored like all others.
+
+    Null and empty texts are scored too; rows with null or repeated ids each by its own text; no column is changed.
+    """
     ship(spark)
     trees = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, trees)
-    return scored.where(F.col("score") >= ACCEPT).select(*docs.columns)
+    # an input column named score comes through under another name
+    scored = score_quality(docs.withColumnRenamed("score", "__score"), trees).where(F.col("score") >= ACCEPT)
+    return scored.drop("score").withColumnRenamed("__score", "score").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest doc_id."""
+    """One document of each group of equal texts: the one with the largest doc_id.
+
+    A null text equals the empty one; of rows without an id, or with one id, one stays.
+    """
     return dedup_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share 0.8 of their five-word shingles: the one with the smallest doc_id."""
+    """One document of each component of texts that share 0.8 of their five-word shingles: the one with the smallest doc_id.
+
+    Rows without words or without an id stay; rows of one id are one document and stay or go together.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: a row for each epoch."""
+    """Documents as often as the mixture takes them: a row for each epoch.
+
+    Each row counts by itself, whatever its id; a document without words comes in whole epochs only.
+    """
     rows = with_row_key(docs)
     taken = mix(token_counts(rows), F.floor(F.col("total") * MIXTURE)).groupBy(ROW).agg(F.count("*").cast("int").alias("times"))
     joined = rows.join(taken.hint("shuffle_hash"), ROW)
@@ -47,8 +60,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
-    return pack(stage(token_pieces(docs), "pieces"))
+    """Token pieces and their places in sequences; the column row tells copies of one document apart. A null text is its separator."""
+    return pack(token_pieces(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
