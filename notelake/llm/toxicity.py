@@ -9,7 +9,8 @@ of a toxic one the worst is toxic.
 The model is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS, a third of them toxic if there
 are so many, the smallest by a hash of doc_id), whole texts. Table, softmax and bias follow their own gradients, jointly, by
 full batches with AdaGrad steps from a small random start; a row of the table is drawn back to zero by as much as
-DOUBT toxic bags pull, so that rows which few documents share learn nothing by heart. As the softmax has two
+DOUBT toxic bags pull, less in each round and not at all in the end, so that rows which few documents share learn
+nothing by heart. As the softmax has two
 classes and all is linear before it, a task needs the product of table and softmax only, one number for each row: a
 word's are looked up and averaged in numpy, over whole texts. Labels, lang, source and doc_id are no inputs of a score.
 
@@ -171,7 +172,7 @@ def fit(column: pa.Array, label: np.ndarray, rounds: int = ROUNDS, rate: float =
         step = rate / np.sqrt(table_square)
         table -= (step * by_row)[:, None] * gap
         length = np.linalg.norm(table, axis=1)
-        table *= np.maximum(0, 1 - step * doubt * one_bag * norm / np.maximum(length, 1e-12))[:, None]
+        table *= np.maximum(0, 1 - step * doubt * (1 - turn / rounds) * one_bag * norm / np.maximum(length, 1e-12))[:, None]
         out_square += of_out @ of_out
         out += np.stack([of_out, -of_out]) * (0.1 * rate / np.sqrt(out_square))[:, None]
         shift = 0.1 * g.sum() / weight.sum()
