@@ -10,6 +10,7 @@ from notelake.llm.near_dedup import OP8_SQL, op8_minhash
 from notelake.llm.packing import op4_best_fit
 from notelake.llm.quality import op5_quality
 from notelake.llm.repeats import OP6_SQL, op6_repeats
+from notelake.llm.suffix_dedup import OP13_SQL, op13_suffix_dedup
 from notelake.llm.toxicity import op10_toxicity
 from notelake.llm.warc import op7_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op6_repeats": OP6_SQL,
     "op8_minhash": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
