@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from notelake.llm.chat import OP3_SQL, op3_chat_snapshots
 from notelake.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from notelake.llm.filter_audit import OP11_SQL, op11_filter_audit
 from notelake.llm.fingerprints import op2_fingerprints
 from notelake.llm.mixing import OP1_SQL, op1_mixture
 from notelake.llm.near_dedup import OP8_SQL, op8_minhash
@@ -12,6 +13,7 @@ from notelake.llm.quality import op5_quality
 from notelake.llm.repeats import OP6_SQL, op6_repeats
 from notelake.llm.suffix_dedup import OP13_SQL, op13_suffix_dedup
 from notelake.llm.toxicity import op10_toxicity
+from notelake.llm.trie import OP12_SQL, op12_prefix_trie
 from notelake.llm.warc import op7_warc
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -34,5 +38,7 @@ ORACLE_SQL = {
     "op6_repeats": OP6_SQL,
     "op8_minhash": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_suffix_dedup": OP13_SQL,
 }
