@@ -140,7 +140,7 @@ def filter_style(style: Column, kept: list[str] | None = None) -> Column:
     return F.array_join(F.transform(good, lambda p: F.concat(p["k"], F.lit(": "), p["v"])), "; ")
 
 
-#: Colours of the formats that name or number them.
+#: Colours by name, as the driver's queries use them.
 KEEP_COLORS = {"DEFAULT": "#ffffff", "RED": "#f28b82", "ORANGE": "#fbbc04", "YELLOW": "#fff475", "GREEN": "#ccff90", "TEAL": "#a7ffeb", "BLUE": "#aecbfa", "PURPLE": "#d7aefb", "PINK": "#fdcfe8", "BROWN": "#e6c9a8", "GRAY": "#e8eaed"}
 
 
@@ -198,7 +198,7 @@ def id_seconds(note_id: Column) -> Column:
 
 #: MIME types by extension that attachments meet; others are octet-stream.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "bmp": "image/bmp", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "md": "text/markdown", "json": "application/json", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "zip": "application/zip"}
-#: First bytes, as hex, of the types that are recognised by content.
+#: First bytes, as hex, of the types that are recognised by content.
 SIGNATURES = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "424D": "image/bmp", "25504446": "application/pdf", "504B0304": "application/zip", "49443303": "audio/mpeg", "00000100": "image/x-icon", "49492A00": "image/tiff"}
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notelake.scratch import Rounds
+
 
 def first_match(joined: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of the rows of each key, the first in order."""
@@ -21,11 +23,17 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
+#: Bytes of short passages that are sent to all tasks at most.
+SHORT_BYTES = 4 << 20
+
+
 def contains_join(texts: DataFrame, passages: DataFrame, text_key: str, passage_key: str) -> DataFrame:
-    """(text_key, passage_key) where text contains passage, as an equi-join.
+    """(text_key, passage_key) where text contains passage, as an equi-join.
 
     A word of a passage that has words on both sides is a whole word of any text that contains the passage: its longest
-    such word is the key. Passages of fewer than three words have none; their first letters are the key.
+    such word is the key. Passages of fewer than three words have no such word; where all of them fit in SHORT_BYTES, each
+    text is scanned for them once, in its row, by the pieces of exactly their lengths; more of them are joined by their
+    first letters, as many as the shortest one has (8 at most).
     """
     gap = r"\s+"
     inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
@@ -37,14 +45,31 @@ def contains_join(texts: DataFrame, passages: DataFrame, text_key: str, passage_
     # candidate pairs carry no text; it is joined back for them only
     pairs = words.join(keyed.select(passage_key, "word"), "word").select(text_key, passage_key).distinct()
     found = pairs.join(t, text_key).join(keyed.select(passage_key, "passage"), passage_key).where(F.col("text").contains(F.col("passage"))).select(text_key, passage_key)
-    # passages of one or two words: by their first letters, three at most
-    few = p.where(F.size("inner") == 0).select(passage_key, "passage", F.substring("passage", 1, 3).alias("gram"))
-    letters = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1))), lambda i: F.substr("text", i, n))))
-    if not few.isEmpty():
-        grams = t.select(text_key, F.explode(F.array_distinct(letters)).alias("gram"))
-        pairs = grams.join(few.select(passage_key, "gram"), "gram").select(text_key, passage_key).distinct()
-        found = found.unionByName(pairs.join(t, text_key).join(few.select(passage_key, "passage"), passage_key).where(F.col("text").contains(F.col("passage"))).select(text_key, passage_key))
-    return found
+    few = p.where(F.size("inner") == 0).select(passage_key, "passage")
+    n, held, least = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)), F.coalesce(F.min(F.char_length("passage")), F.lit(1))).first()
+    if not n:
+        return found
+    if held <= SHORT_BYTES and n <= SHORT_BYTES // 64:
+        each = few.groupBy("passage").agg(F.collect_list(passage_key).alias("__keys"))
+        one = each.agg(F.collect_list(F.struct("passage", "__keys")).alias("l")).scalar()
+        hits = t.withColumn("__few", one).select(text_key, F.explode(F.filter("__few", lambda x: F.col("text").contains(x["passage"]))).alias("x"))
+        return found.unionByName(hits.select(text_key, F.explode("x.__keys").alias(passage_key)))
+    size = min(least, 8)
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - size + 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(size)))
+    grams = t.select(text_key, F.explode(F.array_distinct(letters)).alias("gram"))
+    pairs = grams.join(few.select(passage_key, F.substring("passage", 1, size).alias("gram")), "gram").select(text_key, passage_key).distinct()
+    return found.unionByName(pairs.join(t, text_key).join(few, passage_key).where(F.col("text").contains(F.col("passage"))).select(text_key, passage_key))
+
+
+def pieces_join(texts: DataFrame, words: DataFrame, text: str, word: str, *same: str) -> DataFrame:
+    """Pairs with equal `same` columns where a short text contains a word: its pieces of the lengths that words have are the keys.
+
+    Only those lengths come to the driver.
+    For texts such as paths: a text of n characters makes n pieces for each length.
+    """
+    sizes = sorted(r[0] for r in words.select(F.char_length(word).alias("n")).where("n > 0").distinct().collect())
+    each = F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>"), lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))))
+    return texts.withColumn("__piece", F.explode(F.array_distinct(each))).join(words.withColumnRenamed(word, "__piece"), ["__piece", *same]).withColumnRenamed("__piece", word)
 
 
 def suffix_join(files: DataFrame, links: DataFrame, path: str, suffix: str, width: int) -> DataFrame:
@@ -65,6 +90,12 @@ def lookup_left(rows: DataFrame, others: DataFrame, key: str, order: str) -> Dat
     return rows.join(first_match(others, [key], [order]).drop(order), key, "left")
 
 
+def sibling_file(rows: DataFrame, files: DataFrame, name: str, *columns: str) -> DataFrame:
+    """rows (dir, ...) with columns of the file of that name in the same folder, the first entry where there are several; else nulls."""
+    named = files.where(F.col("name") == name).select("dir", "entry_ord", *columns)
+    return rows.join(first_match(named, ["dir"], ["entry_ord"]).drop("entry_ord"), "dir", "left")
+
+
 def token_contains(files: DataFrame, ids: DataFrame, path: str, id_: str, pattern: str) -> DataFrame:
     """Pairs where the path contains the id (J6, J13): ids match the pattern, so those cut out of the path are the keys.
 
@@ -92,19 +123,29 @@ def many_to_many(notes: DataFrame, pairs: DataFrame, tags: DataFrame, note: str,
     return rows.groupBy(note).agg(F.sort_array(F.collect_set(name)).alias("tags"))
 
 
-def hierarchy(folders: DataFrame, depth: int = 32) -> DataFrame:
-    """folders (id, parent_id, title) to (id, path): titles from the root down.
+def hierarchy(folders: DataFrame) -> DataFrame:
+    """folders (id, parent_id, title) to (id, path): titles from the root down, whatever the depth.
 
-    Paths double in length a round, so a tree of depth d takes log2(d) joins; a missing parent ends a path, and a cycle
-    ends after `depth` steps.
+    Each round joins every open path with the path of the folder it ends at, so paths double: a tree of depth d takes
+    log2(d) rounds, each staged, and finished paths are joined no more. A missing parent ends a path. A path that meets a
+    folder for the second time is in a cycle and ends before it. Of folders with one id the one with the smallest
+    parent_id and title counts, null first; a null id is no folder.
     """
-    up = folders.select("id", F.col("parent_id").alias("next"), F.array("title").alias("path"))
-    steps = 1
-    while steps < depth:
-        higher = up.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("path").alias("above"))
-        up = up.join(higher, "next", "left").select("id", F.col("further").alias("next"), F.concat(F.coalesce("above", F.array().cast("array<string>")), F.col("path")).alias("path"))
-        steps *= 2
-    return up.select("id", "path")
+    rounds = Rounds(folders.sparkSession, "folders")
+    one = folders.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("parent_id", "title")).alias("f"))
+    up = rounds.put(one.select("id", F.col("f.parent_id").alias("next"), F.array("id").alias("ids"), F.array("f.title").alias("titles")))
+    while not (going := up.where(F.col("next").isNotNull())).isEmpty():
+        higher = up.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("ids").alias("more_ids"), F.col("titles").alias("more"))
+        none = F.array().cast("array<string>")
+        x = going.join(higher, "next", "left").select("id", "further", F.concat("ids", F.coalesce("more_ids", F.array().cast(folders.select(F.array("id")).schema[0].dataType))).alias("ids"), F.concat("titles", F.coalesce("more", none)).alias("titles"))
+        # both halves are free of repeats; the first id of the second half that the first one has closes the cycle
+        again = F.size(F.array_distinct("ids")) < F.size("ids")
+        whole = x.where(~again).select("id", F.col("further").alias("next"), "ids", "titles")
+        at = F.posexplode("ids").alias("at", "step")
+        first = x.where(again).select("id", at).groupBy("id", "step").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") > 1).groupBy("id").agg(F.min(F.col("at")[1]).cast("int").alias("stop"))
+        cut = x.where(again).join(first, "id").select("id", F.lit(None).cast(up.schema["next"].dataType).alias("next"), F.slice("ids", 1, F.col("stop")).alias("ids"), F.slice("titles", 1, F.col("stop")).alias("titles"))
+        up = rounds.put(up.where(F.col("next").isNull()).unionByName(whole).unionByName(cut))
+    return up.select("id", F.reverse("titles").alias("path"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

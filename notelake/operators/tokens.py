@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.operators import joins as J
 from notelake.operators import package as P
 
-#: Script and style elements and comments are one token each, with their content.
-TOKEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]+>|[^<]+|<"
+#: Script and style elements and comments are one token each, with their content. What isn't closed runs to the end of the
+#: page, so that a page is read once, whatever it holds.
+TOKEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|<[^>]+(?:>|\z)|[^<]+|<"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 RESOURCE_TAGS = ["img", "video", "audio", "a"]
 
@@ -21,7 +25,7 @@ def tokenize(html: Column) -> Column:
 
 
 def tag_of(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9-]*)", 1))
 
 
 def kind_of(token: Column) -> Column:
@@ -60,22 +64,45 @@ def element_text(tokens: Column, tags: list[str]) -> Column:
 
 def without_first(html: Column, tags: list[str]) -> Column:
     """The page without the first element with one of the tags (outside scripts, styles and comments)."""
-    skip = r"(?:<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|[^<]|<(?!(?:" + "|".join(tags) + r")[\s>]))*+"
+    skip = r"(?:<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|[^<]|<(?!(?:" + "|".join(tags) + r")[\s>]))*+"
     return F.regexp_replace(html, rf"(?is)\A({skip})<({'|'.join(tags)})(?:\s[^>]*)?>.*?(?:</\2\s*>|\z)", "$1")
 
 
-def visible_text(tokens: Column, removed: list[str]) -> Column:
-    """Text tokens, without those of the removed elements, scripts, styles and comments."""
-    inside = lambda t: F.when((kind_of(t) == "open") & tag_of(t).isin(removed), 1).when((kind_of(t) == "close") & tag_of(t).isin(removed), -1).otherwise(0)
-    folded = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, t: F.struct(
-            F.greatest(acc["depth"] + inside(t), F.lit(0)).alias("depth"),
-            F.when((acc["depth"] == 0) & (kind_of(t) == "text"), F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"),
-        ),
-    )
-    return F.array_join(folded["kept"], "")
+def matched(rows: DataFrame, key: str) -> DataFrame:
+    """Token rows (key, pos, kind, tag, ...) with `last` and `depth`.
+
+    last: of an open token the position of its close token, else null; tags are matched apart from each other, a close token
+    with the innermost open one of its tag, and one that has none is stray. depth: the closed elements that a token is in.
+    Running sums over the tokens of a page, so a page is read once however many elements it leaves open; the windows share
+    one partitioning by page.
+    """
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    of_tag = W.partitionBy(key, "tag").orderBy("pos")
+    x = rows.repartition(key).withColumn("__step", step)
+    x = x.withColumn("__sum", F.sum("__step").over(of_tag))
+    floor = F.least(F.lit(0), F.coalesce(F.min("__sum").over(of_tag.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # an open token and its close token have one level
+    x = x.withColumn("__level", F.when(F.col("__step") == 1, F.col("__sum") - floor).when(F.col("__step") == -1, F.col("__sum") + 1 - floor).otherwise(0))
+    of_level = W.partitionBy(key, "tag", "__level").orderBy("pos")
+    pair = (F.col("__level") > 0) & (F.col("__step") != 0)
+    x = x.withColumns({"last": F.when(pair & (F.col("__step") == 1), F.lead("pos").over(of_level)), "__closes": pair & (F.col("__step") == -1)})
+    change = F.when(F.col("last").isNotNull(), 1).when(F.col("__closes"), -1).otherwise(0)
+    x = x.withColumn("__change", change)
+    inside = F.sum("__change").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return x.withColumn("depth", inside - F.greatest(F.col("__change"), F.lit(0))).drop("__step", "__sum", "__level", "__closes", "__change")
+
+
+def tag_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, pos, tok, kind, tag) of the tokens that open or close an element, or are one."""
+    rows = pages.select(key, F.posexplode(tokenize(F.col(html))).alias("pos", "tok")).where(F.col("tok").rlike("^</?[a-zA-Z]"))
+    return rows.select(key, "pos", "tok", kind_of(F.col("tok")).alias("kind"), tag_of(F.col("tok")).alias("tag"))
+
+
+def visible_text(pages: DataFrame, key: str, removed: list[str], html: str = "html") -> DataFrame:
+    """(key, text): text tokens outside the removed elements, scripts, styles and comments; one that isn't closed runs to the end."""
+    x = matched(tag_rows(pages, key, html).where(F.col("tag").isin(removed)).drop("tok"), key).where(F.col("kind") == "open")
+    gone = x.select(key, "pos", F.coalesce("last", F.lit(1 << 30)).alias("last"), F.lit("").alias("new"))
+    return edited(pages, key, gone, html, lambda parts: F.array_join(F.filter(parts, lambda t: kind_of(t) == "text"), "")).withColumnRenamed("html", "text")
 
 
 def body_tokens(tokens: Column) -> Column:
@@ -123,11 +150,12 @@ def rewrite_links(pages: DataFrame, key: str, links: DataFrame, html: str = "htm
 
 def elements(notes: DataFrame, key: str, opening: str, *keep: str, html: str = "html") -> DataFrame:
     """(key, keep..., pos, last, tok, tag): elements whose open tag matches the pattern; last: the position of the close tag, or its own."""
-    t = notes.select(F.col(key).alias("__key"), *keep, tokenize(F.col(html)).alias("tokens")).select("*", F.posexplode("tokens").alias("pos", "tok"))
-    t = t.where(F.col("tok").rlike(opening)).withColumns({"tag": tag_of(F.col("tok")), "kind": kind_of(F.col("tok"))})
-    ahead = F.array_position(F.transform(F.slice("tokens", F.col("pos") + 2, F.size("tokens")), lambda x: x.rlike("^</[a-zA-Z]") & (tag_of(x) == F.col("tag"))), True)
-    last = F.when((F.col("kind") == "open") & (ahead > 0), F.col("pos") + ahead.cast("int")).otherwise(F.col("pos"))
-    return t.select(F.col("__key").alias(key), *[c for c in keep if c != key], "pos", last.alias("last"), "tok", "tag")
+    hit = F.col("tok").rlike(opening) & ~F.col("tok").startswith("</")
+    kept = {f"__{c}": F.when(hit, F.col(f"__{c}")) for c in keep if c != key}
+    t = notes.select(key, *[F.col(c).alias(f"__{c}") for c in keep if c != key], F.posexplode(tokenize(F.col(html))).alias("pos", "tok")).where(F.col("tok").rlike("^</?[a-zA-Z]"))
+    t = t.select(key, "pos", kind_of(F.col("tok")).alias("kind"), tag_of(F.col("tok")).alias("tag"), F.when(hit, F.col("tok")).alias("tok"), *[c.alias(k) for k, c in kept.items()])
+    x = matched(t, key).where(F.col("tok").isNotNull())
+    return x.select(key, *[F.col(f"__{c}").alias(c) for c in keep if c != key], "pos", F.coalesce("last", "pos").alias("last"), "tok", "tag")
 
 
 def resource_links(notes: DataFrame, key: str, path: str, html: str = "html") -> DataFrame:
@@ -139,15 +167,31 @@ def resource_links(notes: DataFrame, key: str, path: str, html: str = "html") ->
     return out.where(F.col("source").isNotNull()).withColumn("file_path", C.decode_uri(C.join_path(C.dirname(F.col("__path")), F.col("source")))).drop("__path")
 
 
+def outermost(places: DataFrame, key: str) -> DataFrame:
+    """The places (key, pos, last, ...) that don't begin inside an earlier one; of those that begin together the longest."""
+    before = W.partitionBy(key).orderBy("pos", F.col("last").desc()).rowsBetween(W.unboundedPreceding, -1)
+    return places.withColumn("__reach", F.max("last").over(before)).where(F.col("__reach").isNull() | (F.col("pos") > F.col("__reach"))).drop("__reach")
+
+
+def edited(pages: DataFrame, key: str, places: DataFrame, html: str, render: Callable[[Column], Column], shown: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(key, html): the page's tokens between the places, rendered, with each place's `new`. Each token is copied once.
+
+    places: (key, pos, last, new); shown: what stands for the tokens of the page and a place's new, if that isn't text.
+    """
+    mine = outermost(places, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "last", "new"))).alias("__places"))
+    page = pages.select(key, F.col(html).alias("html"), tokenize(F.col(html)).alias("__tokens")).join(mine, key, "left")
+    spot = F.coalesce("__places", F.array().cast(mine.schema["__places"].dataType))
+    start = lambda i: F.when(i > 0, F.get(F.col("__places"), i - 1)["last"] + 1).otherwise(0)
+    new = lambda e: shown(F.col("__tokens"), e["new"]) if shown else e["new"]
+    part = lambda e, i: F.concat(render(F.slice("__tokens", (start(i) + 1).cast("int"), (e["pos"] - start(i)).cast("int"))), new(e))
+    tail = F.slice("__tokens", F.least(F.element_at("__places", -1)["last"] + 2, F.lit(1 << 30)).cast("int"), F.size("__tokens"))
+    whole = F.concat(F.array_join(F.transform(spot, part), ""), render(tail))
+    return page.select(key, F.when(F.col("__places").isNull(), render(F.col("__tokens"))).otherwise(whole).alias("html"))
+
+
 def replace_elements(notes: DataFrame, key: str, places: DataFrame, html: str = "html") -> DataFrame:
     """(key, html): the tokens from pos to last become `new`, for each row of places(key, pos, last, new); those inside another are ignored (T4)."""
-    mine = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "last", "new"))).alias("places"))
-    page = notes.select(key, F.col(html).alias("html"), tokenize(F.col(html)).alias("tokens")).join(mine, key, "left")
-    outer = F.filter("places", lambda p: ~F.exists("places", lambda o: (o["pos"] < p["pos"]) & (o["last"] >= p["last"])))
-    page = page.withColumn("places", outer)
-    at = lambda i: F.get(F.filter("places", lambda p: (p["pos"] <= i) & (p["last"] >= i)), F.lit(0))
-    token = lambda t, i: F.when(at(i).isNull(), t).when(at(i)["pos"] == i, at(i)["new"]).otherwise("")
-    return page.select(key, F.when(F.col("places").isNull(), F.col("html")).otherwise(F.array_join(F.transform("tokens", token), "")).alias("html"))
+    return edited(notes, key, places, html, lambda parts: F.array_join(parts, ""))
 
 
 def import_resources(notes: DataFrame, files: DataFrame, key: str, path: str, hash_name: str = "md5", given: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

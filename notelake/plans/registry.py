@@ -12,6 +12,7 @@ from notelake.functions import columns as C
 from notelake.functions import markdown as M
 from notelake.operators import joins as J
 from notelake.operators import package as P
+from notelake.operators import rules as U
 from notelake.operators import spans as S
 from notelake.operators import tokens as T
 from notelake.sources import notes as N
@@ -36,7 +37,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- markup
 
-_TOKENS_SQL = "select page_id, unnest(regexp_extract_all(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->|<[^>]+>|[^<]+|<')) as tok, generate_subscripts(regexp_extract_all(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->|<[^>]+>|[^<]+|<'), 1) as pos from pages"
+_TOKENS_SQL = "select page_id, unnest(regexp_extract_all(html, '(?is)<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)|<!--.*?(?:-->|\\z)|<[^>]+(?:>|\\z)|[^<]+|<')) as tok, generate_subscripts(regexp_extract_all(html, '(?is)<script\\b.*?(?:</script\\s*>|\\z)|<style\\b.*?(?:</style\\s*>|\\z)|<!--.*?(?:-->|\\z)|<[^>]+(?:>|\\z)|[^<]+|<'), 1) as pos from pages"
 _TITLE_SQL = "trim(regexp_extract(html, '(?is)<(title|h1|h2)\\b[^>]*>([^<]*)', 2))"
 
 
@@ -66,10 +67,53 @@ def html_links(spark, sf_dir):
     return t.join(p.select("page_id", folder.alias("folder")), "page_id").select("page_id", "pos", "href", C.decode_uri(C.join_path(F.col("folder"), F.col("href"))).alias("resolved"))
 
 
+_INTERVALS_SQL = f"""
+with t as ({_TOKENS_SQL}),
+k as (select page_id, pos - 1 as pos, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) as tag,
+        case when regexp_matches(tok, '(?is)^<(script|style)\\b|^<!') then 0 when regexp_matches(tok, '^</[a-zA-Z]') then -1
+             when not regexp_matches(tok, '^<[a-zA-Z]') or tok like '%/>' or regexp_matches(tok, '(?i)^<(area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)(?:[^a-zA-Z0-9-]|$)') then 0 else 1 end as step from t),
+s as (select *, sum(step) over w as total from k window w as (partition by page_id, tag order by pos)),
+l as (select *, case step when 1 then total when -1 then total + 1 end - least(0, coalesce(min(total) over (partition by page_id, tag order by pos rows between unbounded preceding and 1 preceding), 0)) as level from s),
+m as (select *, case when step = 1 then lead(pos) over (partition by page_id, tag, level order by pos) end as last from l),
+c as (select *, case when last is not null then 1 when step = -1 and level > 0 then -1 else 0 end as change from m)
+select page_id, pos::int as pos, last::int as last, (sum(change) over (partition by page_id order by pos) - greatest(change, 0))::bigint as depth from c
+"""
+
+
+@query(_INTERVALS_SQL)
+def html_intervals(spark, sf_dir):
+    """All tokens of all pages with the close token of each element and the depth."""
+    t = T.explode_tokens(_table(spark, sf_dir, "pages"), "page_id").drop("tok")
+    return T.matched(t, "page_id").select("page_id", "pos", "last", "depth")
+
+
 @query("select page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'), '(?is)<title\\b.*?</title\\s*>', '', 'g'), '<[^>]+>', '', 'g')) as text_md5 from pages")
 def html_remove(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
-    return p.select("page_id", F.md5(T.visible_text(T.tokenize(F.col("html")), ["title"])).alias("text_md5"))
+    return T.visible_text(p, "page_id", ["title"]).select("page_id", F.md5("text").alias("text_md5"))
+
+
+# rules of the query below: (tag, class, op, opening, parts, closing)
+PAGE_RULES = [
+    (None, "ad", "remove", None, [], None),
+    ("nav", None, "replace", "<menu>", [U.part("<i>", "li", None, "text"), U.part("</i><b>", "a", None, "attr", "href"), U.part("</b>", "ul", None, "inner"), U.part("", "table", None, "inner", None, True)], "</menu>"),
+    ("h1", None, "replace", "<h2>", [U.part("", None, None, "text")], "</h2>"),
+    ("aside", None, "replace", "<q>", [U.part("", "cite", None, "inner")], "</q>"),
+    ("article", None, "rename", '<section class="a">', [], "</section>"),
+    ("footer", None, "rename", "", [], ""),
+    ("p", None, "rename", '<p class="x">', [], "</p>"),
+]
+_RULES_SQL = """
+select page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(html, '<p>', '<p class="x">'), '<article>', '<section class="a">'), '</article>', '</section>'), '</?footer>', '', 'g')
+  , '(?s)<div class="ad">.*?</div>', '', 'g'), '(?s)<nav><ul>(<li><a href="([^"]*)">([^<]*)</a></li>.*?)</ul></nav>', '<menu><i>\\3</i><b>\\2</b>\\1</menu>'), '(?s)<h1>(.*?)</h1>', '<h2>\\1</h2>')) as html_md5 from pages
+"""
+
+
+@query(_RULES_SQL)
+def html_rules(spark, sf_dir):
+    """Pages rewritten by a table of rules: removed, replaced by parts of their own, renamed and unwrapped elements."""
+    pages = _table(spark, sf_dir, "pages")
+    return U.apply_rules(pages, "page_id", U.rule_table(spark, PAGE_RULES)).select("page_id", F.md5("html").alias("html_md5"))
 
 
 @query("select page_id, md5(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?is)</body>.*$', '')) as body_md5 from pages")
@@ -288,7 +332,25 @@ def folder_hierarchy(spark, sf_dir):
     folders = r.select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
     folders = folders.unionByName(n.select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id"), F.col("n_name").alias("title")))
     folders = folders.unionByName(c.select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent_id"), F.col("c_name").alias("title")))
-    return J.hierarchy(folders, 4).select("id", F.array_join("path", "/").alias("path"))
+    return J.hierarchy(folders).select("id", F.array_join("path", "/").alias("path"))
+
+
+_DEEP_SQL = """
+with recursive f as (select o_orderkey as n, row_number() over (order by o_orderkey) as i from orders),
+g as (select i, case when i % 512 = 1 then null else i - 1 end as up, n::varchar as title from f),
+t as (select i, title as path, 1 as depth from g where up is null union all select g.i, t.path || '/' || g.title, depth + 1 from g join t on g.up = t.i)
+select i as id, depth::int as depth, md5(path) as path_md5 from t
+"""
+
+
+@query(_DEEP_SQL)
+def folder_hierarchy_deep(spark, sf_dir):
+    """Chains of 512 folders: each order is in the folder of the one before it."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
+    f = P.page(o, "n", 0, o.count()).select(F.col("ordinal").cast("long").alias("id"), F.col("n").cast("string").alias("title"))
+    f = f.withColumn("parent_id", F.when(F.col("id") % 512 != 1, F.col("id") - 1))
+    x = J.hierarchy(f)
+    return x.select("id", F.size("path").alias("depth"), F.md5(F.array_join("path", "/")).alias("path_md5"))
 
 
 @query("select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by o_custkey")
@@ -354,10 +416,46 @@ def span_segments(spark, sf_dir):
     return S.segments(t, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.array_join("formats", ",").alias("formats"))
 
 
+# fixed values: four spans of each text, by its length and number
+_SPANS_SQL = """
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+s as (select doc_id, ord, fmt, attr, (doc_id * (7919 * (ord + 1))) % (n + 1) as a, n from d, (values (0, 'headline1', null), (1, 'bold', null), (2, 'url', '/a'), (3, 'bg_color', '5'), (4, 'italic', null)) as v(ord, fmt, attr)),
+sp as (select doc_id, ord, fmt, attr, a, least(n, a + n // (ord + 3) + 7 * ord) as z from s),
+cut as (select distinct doc_id, b from (select doc_id, unnest([a, z]) as b from sp union all select doc_id, unnest([0, n]) from d)),
+seg as (select doc_id, b as a, lead(b) over (partition by doc_id order by b) as z from cut),
+tag as (select *, case fmt when 'bold' then 3 when 'italic' then 4 when 'bg_color' then 7 when 'url' then 8 end as rank,
+          case fmt when 'bold' then '<strong>' when 'italic' then '<em>' when 'url' then '<a href="/a">' when 'bg_color' then '<span style="background-color: red">' end as o,
+          case fmt when 'bold' then '</strong>' when 'italic' then '</em>' when 'url' then '</a>' when 'bg_color' then '</span>' end as c from sp),
+cov as (select g.doc_id, g.a, g.z, coalesce(string_agg(o, '' order by rank), '') as o, coalesce(string_agg(c, '' order by rank desc), '') as c, coalesce(max(case fmt when 'headline1' then 'h1' end), 'p') as kind
+        from seg g left join tag t on t.doc_id = g.doc_id and t.a <= g.a and t.z >= g.z where g.z is not null group by g.doc_id, g.a, g.z),
+line as (select doc_id, a, kind, o, c, unnest(string_split(text[a + 1:z], chr(10))) as line, generate_subscripts(string_split(text[a + 1:z], chr(10)), 1) as j from cov join d using (doc_id)),
+row as (select *, sum(case when j > 1 then 1 else 0 end) over (partition by doc_id order by a, j) as r from line),
+new as (select *, coalesce(r <> lag(r) over w or kind <> lag(kind) over w, true)::int as new from row where line <> '' window w as (partition by doc_id order by a, j)),
+run as (select *, sum(new) over (partition by doc_id order by a, j) as run from new)
+select doc_id, run::int as run, min(kind) as kind, md5('<' || min(kind) || '>' || string_agg(o || line || c, '' order by a, j) || '</' || min(kind) || '>') as html_md5 from run group by doc_id, run
+"""
+
+
+def document_spans(docs: DataFrame) -> DataFrame:
+    """Five spans of each text (doc_id, text), by its length and number."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    kinds = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("format"), F.lit(a).cast("string").alias("attribute")) for i, (f, a) in enumerate([("headline1", None), ("bold", None), ("url", "/a"), ("bg_color", "5"), ("italic", None)])])
+    s = docs.select("doc_id", n.alias("n"), F.explode(kinds).alias("k")).select("doc_id", "n", "k.*")
+    s = s.withColumn("start", (F.col("doc_id") * (F.col("ord") + 1) * 7919) % (F.col("n") + 1))
+    return s.withColumn("end", F.least(F.col("n"), F.col("start") + F.floor(F.col("n") / (F.col("ord") + 3)) + 7 * F.col("ord")))
+
+
+@query(_SPANS_SQL)
+def span_runs(spark, sf_dir):
+    """Whole texts with spans anywhere, as paragraphs and headlines in inline elements."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return S.span_runs(d, document_spans(d), "doc_id", colors={"5": "red"}).select("doc_id", F.col("run").cast("int").alias("run"), "kind", F.md5("html").alias("html_md5"))
+
+
 @query("select conv_id, turn, (turn % 3)::int as indent, (select max(c2.turn) from conversations c2 where c2.conv_id = c.conv_id and c2.turn < c.turn and c2.turn % 3 < c.turn % 3) as parent from conversations c")
 def indent_tree(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 3).cast("int").alias("indent"))
-    return S.indent_parents(c, "conv_id", "turn", "indent")
+    return S.indent_parents(c, "conv_id", "turn", "indent").drop("depth")
 
 
 @query(

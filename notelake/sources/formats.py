@@ -12,19 +12,16 @@ from notelake.functions import markdown as M
 from notelake.functions import rewrites as W
 from notelake.operators import joins as J
 from notelake.operators import tokens as T
-from notelake.operators.package import stamp
+from notelake.operators import package as P
 from notelake.sources.files import visible
-from notelake.sources.notes import ImportResult, split_required
+from notelake.sources.fusebase import fusebase
+from notelake.sources.notes import ImportResult, note_rows, split_required
 
-NOTE = ["src_path", "title", "date_created", "date_edited", "html", "tags", "pinned", "favorite", "archived", "color", "notebooks"]
 NO_ERRORS = "src_path string, note_title string, message string"
-def _text() -> Column:
-    return F.make_valid_utf8(F.col("content").cast("string"))
 
 
-def _note(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
-    kinds = {"tags": "array<string>", "notebooks": "array<array<string>>", "pinned": "boolean", "favorite": "boolean", "archived": "boolean", "date_created": "bigint", "date_edited": "bigint"}
-    return stamp(rows.select(*[columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in NOTE]), source)
+def _text() -> Column:
+    return F.make_valid_utf8(F.col("content").cast("string"))
 
 
 def _ok(notes: DataFrame, errors: DataFrame | None = None) -> ImportResult:
@@ -33,7 +30,7 @@ def _ok(notes: DataFrame, errors: DataFrame | None = None) -> ImportResult:
 
 def text(files: DataFrame) -> ImportResult:
     f = visible(files, ["txt"])
-    return _ok(_note(f, "txt", src_path=F.col("path"), title=F.col("stem"), html=C.text_to_html(_text()), date_created=F.col("modified_at"), date_edited=F.col("modified_at")))
+    return _ok(note_rows(f, "txt", src_path=F.col("path"), title=F.col("stem"), html=C.text_to_html(_text()), date_created=F.col("modified_at"), date_edited=F.col("modified_at")))
 
 
 def _html_fields(html: Column) -> dict[str, Column]:
@@ -47,7 +44,7 @@ def html(files: DataFrame) -> ImportResult:
     f = visible(files, ["html", "htm"])
     x = _html_fields(_text())
     folders = F.when(F.col("archive_name").isNotNull(), F.array(C.notebook_path(F.col("dir"))))
-    return _with_resources(_note(f, "html", src_path=F.col("path"), title=F.coalesce(F.nullif(x["title"], F.lit("")), "stem"), html=x["html"], date_created=F.coalesce(x["created"], "modified_at"), date_edited=F.coalesce(x["edited"], "modified_at"), pinned=x["pinned"], favorite=x["favorite"], color=x["color"], notebooks=folders), files)
+    return _with_resources(note_rows(f, "html", src_path=F.col("path"), title=F.coalesce(F.nullif(x["title"], F.lit("")), "stem"), html=x["html"], date_created=F.coalesce(x["created"], "modified_at"), date_edited=F.coalesce(x["edited"], "modified_at"), pinned=x["pinned"], favorite=x["favorite"], color=x["color"], notebooks=folders), files)
 
 
 def _markdown(files: DataFrame, source: str, title_from: str) -> ImportResult:
@@ -55,7 +52,7 @@ def _markdown(files: DataFrame, source: str, title_from: str) -> ImportResult:
     get = lambda *ks: F.coalesce(*[F.nullif(F.col("m")[k], F.lit("")) for k in ks])
     own = T.element_text(T.tokenize(F.col("body")), ["h1", "h2"]) if title_from == "heading" else F.lit(None).cast("string")
     tags = F.filter(F.transform(F.split(get("tags"), ","), C.clean_tag), lambda x: x != "")
-    return _ok(_note(f, source, src_path=F.col("path"), title=F.coalesce(get("title"), F.nullif(own, F.lit("")), "stem"), html=T.without_first(F.col("body"), ["h1", "h2"]) if title_from == "heading" else F.col("body"), tags=tags, pinned=F.coalesce(get("pinned") == "true", F.lit(False)), favorite=F.coalesce(get("favorite") == "true", F.lit(False)), color=get("color"), date_created=F.coalesce(C.iso_millis(get("created", "created_at", "date created")), "modified_at"), date_edited=F.coalesce(C.iso_millis(get("updated", "updated_at", "date updated")), "modified_at")))
+    return _ok(note_rows(f, source, src_path=F.col("path"), title=F.coalesce(get("title"), F.nullif(own, F.lit("")), "stem"), html=T.without_first(F.col("body"), ["h1", "h2"]) if title_from == "heading" else F.col("body"), tags=tags, pinned=F.coalesce(get("pinned") == "true", F.lit(False)), favorite=F.coalesce(get("favorite") == "true", F.lit(False)), color=get("color"), date_created=F.coalesce(C.iso_millis(get("created", "created_at", "date created")), "modified_at"), date_edited=F.coalesce(C.iso_millis(get("updated", "updated_at", "date updated")), "modified_at")))
 
 
 def markdown(files: DataFrame) -> ImportResult:
@@ -70,7 +67,7 @@ def skiff(files: DataFrame) -> ImportResult:
     f = visible(files, ["md"]).withColumn("t", M.without_front_matter(_text()))
     first = F.get(F.split("t", "\n"), F.lit(0))
     rest = F.when(first.startswith("#"), F.regexp_replace("t", r"\A[^\n]*\n?", "")).otherwise(F.col("t"))
-    return _ok(_note(f, "skiff", src_path=F.col("path"), title=F.when(first.startswith("#"), F.trim(F.substring(first, 2, 1 << 20))).otherwise(F.col("stem")), html=M.to_html(rest)))
+    return _ok(note_rows(f, "skiff", src_path=F.col("path"), title=F.when(first.startswith("#"), F.trim(F.substring(first, 2, 1 << 20))).otherwise(F.col("stem")), html=M.to_html(rest)))
 
 
 def textbundle(files: DataFrame) -> ImportResult:
@@ -87,21 +84,45 @@ def simplenote(files: DataFrame) -> ImportResult:
     rows = rows.withColumns({"created": C.iso_millis(F.col("creationDate")), "edited": C.iso_millis(F.col("lastModified")), "note_title": C.first_line_title(F.col("content"))})
     good, bad = split_required(rows, {"created": "no creation date", "edited": "no modification date"})
     body = F.when(F.col("markdown"), M.to_html(F.col("content"))).otherwise(C.text_to_html(F.col("content")))
-    notes = _note(good, "simplenote", src_path=F.col("src_path"), title=F.col("note_title"), html=body, date_created=F.col("created"), date_edited=F.col("edited"), pinned=F.col("pinned"), tags=F.col("tags"))
+    notes = note_rows(good, "simplenote", src_path=F.col("src_path"), title=F.col("note_title"), html=body, date_created=F.col("created"), date_edited=F.col("edited"), pinned=F.col("pinned"), tags=F.col("tags"))
     return _ok(notes, bad.select("src_path", "note_title", "message"))
 
 
-KEEP = "title string, textContent string, listContent array<struct<text string, isChecked boolean>>, color string, isPinned boolean, isArchived boolean, labels array<struct<name string>>, userEditedTimestampUsec long, createdTimestampUsec long"
+KEEP = "title string, textContent string, listContent array<struct<text string, isChecked boolean>>, color string, isPinned boolean, isArchived boolean, labels array<struct<name string>>, userEditedTimestampUsec long, createdTimestampUsec long, attachments array<struct<filePath string, mimetype string>>"
 #: Names of colours that have one of ours.
 KEEP_NAMES = {"red": "red", "orange": "orange", "yellow": "yellow", "green": "green", "teal": "green", "cerulean": "blue", "blue": "blue", "pink": "purple", "purple": "purple", "gray": "gray", "brown": "orange"}
 
 
 def keep(files: DataFrame) -> ImportResult:
-    f = visible(files, ["json"]).withColumn("n", F.from_json(_text(), KEEP)).select("path", "stem", "n.*")
+    """A JSON file is a note. An attachment is the first file whose stem its path contains, in the order of the entries (J4); those found follow the body."""
+    f = visible(files, ["json"]).withColumn("n", F.from_json(_text(), KEEP)).select("path", "stem", "archive_path", "n.*")
     edited = C.micros_to_millis(F.col("userEditedTimestampUsec"))
     items = F.transform("listContent", lambda x: F.struct(x["text"].alias("text"), x["isChecked"].alias("checked")))
     body = F.when(F.col("textContent") != "", M.to_html(C.hard_breaks(F.replace("textContent", F.lit("\r\n"), F.lit("\n"))))).when(F.col("listContent").isNotNull(), C.checklist_html(items)).otherwise("")
-    return _ok(_note(f, "keep", src_path=F.col("path"), title=F.coalesce(F.nullif("title", F.lit("")), "stem"), html=body, tags=F.transform("labels", lambda x: x["name"]), color=C.lookup(F.lower("color"), KEEP_NAMES), pinned=F.col("isPinned"), archived=F.col("isArchived"), date_edited=edited, date_created=F.coalesce(C.micros_to_millis(F.nullif("createdTimestampUsec", F.lit(0))), edited)))
+    notes = note_rows(f, "keep", src_path=F.col("path"), title=F.coalesce(F.nullif("title", F.lit("")), "stem"), html=body, tags=F.transform("labels", lambda x: x["name"]), color=C.lookup(F.lower("color"), KEEP_NAMES), pinned=F.col("isPinned"), archived=F.col("isArchived"), date_edited=edited, date_created=F.coalesce(C.micros_to_millis(F.nullif("createdTimestampUsec", F.lit(0))), edited))
+    found = keep_attachments(f, files)
+    tail = found.groupBy("src_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]), "").alias("tail"))
+    out = notes.join(tail, "src_path", "left").withColumn("html", F.concat("html", F.coalesce("tail", F.lit("")))).select(*notes.columns)
+    return ImportResult(out, _ok(out).errors, found.select("src_path", "pos", "hash", "hash_type", "filename", "size", "mime"), found.select("hash", F.col("content").alias("data")).dropDuplicates(["hash"]))
+
+
+def keep_attachments(notes: DataFrame, files: DataFrame, hash_name: str = "md5") -> DataFrame:
+    """(src_path, pos, hash, ..., content) of notes (path, archive_path, attachments): the files that the attachments' paths name.
+
+    A path is looked up among the stems of the files of its own archive, or of those outside of archives.
+    """
+    unit = F.coalesce("archive_path", F.lit("")).alias("unit")
+    links = notes.select(F.col("path").alias("src_path"), unit, F.posexplode("attachments").alias("pos", "a")).select("src_path", "unit", "pos", F.col("a.filePath").alias("text"), F.col("a.mimetype").alias("mime")).where(F.col("text") != "")
+    stems = J.first_match(files.where((F.col("stem") != "") & F.col("content").isNotNull()).select(unit, "stem", "entry_ord", F.col("path").alias("file_path")), ["unit", "stem"], ["entry_ord", "file_path"])
+    pairs = J.pieces_join(links.select("unit", "text").distinct(), stems, "text", "stem", "unit")
+    one = J.first_match(pairs, ["unit", "text"], ["entry_ord", "file_path"]).select("unit", "text", "file_path")
+    held = J.first_match(files.select(F.col("path").alias("file_path"), "name", "content", "entry_ord"), ["file_path"], ["entry_ord"])
+    x = links.join(one, ["unit", "text"]).join(held, "file_path")
+    mark = P.hash_column(F.col("content"), hash_name)
+    mime = F.coalesce(F.nullif("mime", F.lit("")), C.sniffed(F.col("content"))["mime"], F.lit("application/octet-stream"))
+    x = x.select("src_path", "pos", mark.alias("hash"), F.lit(hash_name).alias("hash_type"), F.col("name").alias("filename"), F.length("content").cast("long").alias("size"), mime.alias("mime"), "content")
+    none = F.lit(None).cast("int")
+    return x.withColumn("new", C.attachment_html(*(F.col(c) for c in ("filename", "size", "hash", "mime")), none, none))
 
 
 def _with_resources(notes: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> ImportResult:
@@ -140,7 +161,7 @@ def evernote(files: DataFrame) -> ImportResult:
     content = F.regexp_extract("x", r"(?s)<content>\s*<!\[CDATA\[(.*?)\]\]>\s*</content>", 1)
     inner = F.regexp_replace(content, r"(?s)\A.*?<en-note[^>]*>|</en-note>.*\z", "")
     tags = F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<tag>(.*?)</tag>"), F.lit(1))
-    notes = _note(rows, "evernote", src_path=F.col("src_path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem")))
+    notes = note_rows(rows, "evernote", src_path=F.col("src_path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem")))
 
     media = T.elements(notes, "src_path", r"(?i)^<en-media[\s>/]").withColumn("hash", F.lower(T.attribute(F.col("tok"), "hash")))
     held = J.first_match(enex_resources(rows), ["src_path", "hash"], ["ord"])
@@ -171,7 +192,7 @@ def upnote(files: DataFrame) -> ImportResult:
     head = r"(?is)\A(\s*(?:<div\b[^>]*shine-editor[^>]*>\s*)?)<h2\b[^>]*>(.*?)</h2\s*>"
     body = F.when(F.trim(F.regexp_replace(F.regexp_extract(body, head, 2), "<[^>]*>", "")) == F.col("stem"), F.regexp_replace(body, head, "$1")).otherwise(body)
     tags = F.transform(F.filter(F.transform(T.tokenize(F.col("raw")), lambda t: F.when(t.rlike(r"(?i)^<a\s"), T.attribute(t, "data-upnote-tag"))), lambda t: t.isNotNull()), lambda t: F.regexp_replace(t, "^#", ""))
-    notes = _note(f, "upnote", src_path=F.col("path"), title=F.col("stem"), html=body, tags=F.array_distinct(F.filter(tags, lambda t: t != "")), notebooks=F.coalesce("notebooks", F.array().cast("array<array<string>>")), date_edited=F.col("modified_at"))
+    notes = note_rows(f, "upnote", src_path=F.col("path"), title=F.col("stem"), html=body, tags=F.array_distinct(F.filter(tags, lambda t: t != "")), notebooks=F.coalesce("notebooks", F.array().cast("array<array<string>>")), date_edited=F.col("modified_at"))
     hrefs = T.elements(notes, "src_path", r"(?i)^<a\s").select(T.attribute(F.col("tok"), "href").alias("href")).distinct().where(F.col("href").endswith(".html"))
     target = notes.select("title").distinct().select("title", F.concat(F.lit("nn://note/"), C.deterministic_id(F.lit("upnote"), F.col("title"))).alias("target"))
     inner = hrefs.withColumn("title", F.regexp_replace(C.decode_uri(F.col("href")), r"\.html$", "")).join(target, "title").select("href", "target")
@@ -196,7 +217,7 @@ def zoho(files: DataFrame) -> ImportResult:
     good = J.lookup_left(good.withColumn("meta_path", F.concat(folder, F.lit("/meta.json"))), names, "meta_path", "ord")
     html = F.regexp_replace(F.regexp_replace("body", r"(?i)<znresource\b([^>]*?)\srelative-path\s*=", "<img$1 src="), r"(?i)</znresource\s*>", "")
     listed = F.when(F.col("type") == "note/checklist", F.concat(F.lit('<div class="checklist">'), html, F.lit("</div>"))).otherwise(html)
-    notes = _note(good, "zoho", src_path=F.col("path"), title=F.col("note_title"), html=listed, tags=F.col("tags"), date_created=F.col("created"), date_edited=F.col("edited"), notebooks=F.when(F.col("notebook").isNotNull(), F.array(F.array("notebook"))).otherwise(F.array().cast("array<array<string>>")))
+    notes = note_rows(good, "zoho", src_path=F.col("path"), title=F.col("note_title"), html=listed, tags=F.col("tags"), date_created=F.col("created"), date_edited=F.col("edited"), notebooks=F.when(F.col("notebook").isNotNull(), F.array(F.array("notebook"))).otherwise(F.array().cast("array<array<string>>")))
     return _with_resources(W.rewrite(notes, "zn-checklists"), files, bad.select(F.col("path").alias("src_path"), "note_title", "message"))
 
 
@@ -210,6 +231,35 @@ def joplin_entities(files: DataFrame) -> DataFrame:
     return f.select("src_path", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))), "\n").alias("body"), props.alias("p")).withColumn("type", F.col("p")["type_"].try_cast("int"))
 
 
+def joplin_resources(notes: DataFrame, entities: DataFrame, files: DataFrame, hash_name: str = "md5") -> DataFrame:
+    """(src_path, pos, last, hash, ..., content): the resource entities that a note's elements refer to, with their files.
+
+    notes (src_path, html). A reference is a src or, without one, an href ':/id'; of the elements of a note that refer to one
+    resource the last counts, the others stay as they are. Entity, element and file meet by id in one three-way join: the
+    ids are cut out of the references and out of the files' paths (resources/id).
+    """
+    x = T.elements(notes, "src_path", r"(?i)^<[a-z][^>]*\s(?:src|href)\s*=\s*[\"']?:/")
+    src = lambda c: F.nullif(T.attribute(F.col("tok"), c), F.lit(""))
+    refs = x.withColumn("id", F.regexp_extract(F.coalesce(src("src"), src("href")), r"^:/([0-9a-zA-Z]+)$", 1)).where(F.col("id") != "")
+    refs = J.last_wins(refs.select("src_path", "id", "pos", "last"), ["src_path", "id"], "pos")
+    p = lambda k: F.nullif(F.col("p")[k], F.lit(""))
+    known = entities.where("type = 4").groupBy(p("id").alias("id")).agg(F.min_by(F.struct(F.nullif("title", F.lit("")).alias("title"), p("filename").alias("filename"), p("mime").alias("mime")), "src_path").alias("e"))
+    held = files.withColumn("id", F.regexp_extract("path", r"resources/([0-9a-zA-Z]+)", 1)).where((F.col("id") != "") & (F.length("content") > 0))
+    held = J.first_match(held.select("id", "path", "entry_ord", "content"), ["id"], ["entry_ord", "path"]).select("id", "content")
+    x = refs.join(known, "id").join(held, "id")
+    mark = P.hash_column(F.col("content"), hash_name)
+    mime = F.coalesce("e.mime", C.sniffed(F.col("content"))["mime"], F.lit("application/octet-stream"))
+    x = x.select("src_path", "pos", "last", mark.alias("hash"), F.lit(hash_name).alias("hash_type"), F.coalesce("e.title", "e.filename", mark).alias("filename"), F.length("content").cast("long").alias("size"), mime.alias("mime"), "content")
+    none = F.lit(None).cast("int")
+    return x.withColumn("new", C.attachment_html(*(F.col(c) for c in ("filename", "size", "hash", "mime")), none, none))
+
+
+def _with_found(notes: DataFrame, found: DataFrame, errors: DataFrame) -> ImportResult:
+    """Notes whose places became the attachments found there."""
+    out = notes.drop("html").join(T.replace_elements(notes, "src_path", found.select("src_path", "pos", "last", "new")), "src_path").select(*notes.columns)
+    return ImportResult(out, errors, found.select("src_path", "pos", "hash", "hash_type", "filename", "size", "mime"), found.select("hash", F.col("content").alias("data")).dropDuplicates(["hash"]))
+
+
 def joplin(files: DataFrame) -> ImportResult:
     e = joplin_entities(files)
     good, bad = split_required(e, {"type": "no type_"})
@@ -219,11 +269,11 @@ def joplin(files: DataFrame) -> ImportResult:
     tags = J.many_to_many(notes.select(F.col("id").alias("note_id")), good.where("type = 6").select(p("note_id").alias("note_id"), p("tag_id").alias("tag_id")), good.where("type = 5").select(p("id").alias("tag_id"), F.col("title").alias("name")), "note_id", "tag_id", "name")
     x = notes.join(folders, "folder", "left").join(tags.withColumnRenamed("note_id", "id"), "id", "left")
     heading = T.element_text(T.tokenize(M.to_html(F.col("body"))), ["h1", "h2", "h3"])
-    out = _note(x, "joplin", src_path=F.col("src_path"), title=F.coalesce(F.nullif("title", F.lit("")), F.nullif(heading, F.lit("")), F.lit("Untitled note")), html=M.to_html(F.col("body")), tags=F.col("tags"), date_created=C.iso_millis(F.col("c")), date_edited=C.iso_millis(F.col("u")), notebooks=F.when(F.col("path").isNotNull(), F.array("path")))
-    return _ok(out, bad.select("src_path", F.col("title").alias("note_title"), "message"))
+    out = note_rows(x, "joplin", src_path=F.col("src_path"), title=F.coalesce(F.nullif("title", F.lit("")), F.nullif(heading, F.lit("")), F.lit("Untitled note")), html=M.to_html(F.col("body")), tags=F.col("tags"), date_created=C.iso_millis(F.col("c")), date_edited=C.iso_millis(F.col("u")), notebooks=F.when(F.col("path").isNotNull(), F.array("path")))
+    return _with_found(out, joplin_resources(out, good, files), bad.select("src_path", F.col("title").alias("note_title"), "message"))
 
 
-FORMATS: dict[str, Callable[[DataFrame], ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin, "upnote": upnote, "zoho": zoho}
+FORMATS: dict[str, Callable[[DataFrame], ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin, "upnote": upnote, "zoho": zoho, "fusebase": fusebase}
 
 
 def register_format(name: str, importer: Callable[[DataFrame], ImportResult]) -> None:

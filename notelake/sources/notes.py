@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators.package import stamp
+
+NOTE = ["src_path", "title", "date_created", "date_edited", "html", "tags", "pinned", "favorite", "archived", "color", "notebooks"]
+KINDS = {"tags": "array<string>", "notebooks": "array<array<string>>", "pinned": "boolean", "favorite": "boolean", "archived": "boolean", "date_created": "bigint", "date_edited": "bigint"}
+
 
 @dataclass
 class ImportResult:
@@ -28,3 +33,8 @@ def split_required(rows: DataFrame, required: dict[str, str]) -> tuple[DataFrame
 def live_records(rows: DataFrame) -> DataFrame:
     """Records that are notes: no settings (256) or folders (128), not encrypted, neither deleted nor archived away (16, 32)."""
     return rows.where(~F.col("type").isin(256, 128) & F.col("encrypted").eqNullSafe(F.lit(0)) & ~F.col("active_state").isin(16, 32))
+
+
+def note_rows(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
+    """NOTE rows with the given columns, the others null, and the stamp of their source (K1)."""
+    return stamp(rows.select(*[columns.get(c, F.lit(None)).cast(KINDS.get(c, "string")).alias(c) for c in NOTE]), source)
