@@ -37,6 +37,11 @@ DERIVED = "page_id long, record_type string, record_id string, refers_to string,
 _UNSEEN = ("script", "style", "noscript", "template", "head")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+#: The rest of a tag: a value in quotes may hold '>'.
+_TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+#: Media types that have a conversion: those whose markup is read, and those whose text is taken as it is.
+_MARKUP = re.compile(r"(?i)\s*(?:text/html|application/xhtml\+xml|(?:text|application)/xml|[^;\s]+\+xml)\s*(?:;|$)")
+_TEXTUAL = re.compile(r"(?i)\s*(?:text/[^;\s]+|application/(?:json|javascript|x-javascript|[^;\s]+\+json))\s*(?:;|$)")
 _HREF = re.compile(r"(?is)(?:^|[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 
@@ -126,10 +131,11 @@ def _split(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _closers(lower: str, name: str) -> Iterator[int]:
-    """Where the close tags of an element begin, in order: each place is searched once however often an element is left open."""
-    at = -1
+    """Where the close tags of an element of just that name begin, in order: each place is searched once however often one is left open."""
+    at, size = -1, len(name) + 2
     while (at := lower.find("</" + name, at + 1)) >= 0:
-        yield at
+        if lower[at + size : at + size + 1] in ("", ">", "/", " ", "\t", "\n", "\f", "\r"):
+            yield at
     while True:
         yield -1
 
@@ -165,7 +171,8 @@ def read_page(page: str) -> tuple[str, str | None, list[str]]:
             out.append("<")
             at = tag + 1
             continue
-        end = page.find(">", tag)
+        whole = _TAG_END.match(page, found.end()) if found else None
+        end = whole.end() - 1 if whole else page.find(">", tag)
         if end < 0:
             out.append(page[tag:])
             at = len(page)
@@ -212,6 +219,8 @@ def decoded_body(payload: bytes, fields: list[str]) -> bytes:
             at = end + 4 + size
         payload = b"".join(parts)
     coding = said.get("content-encoding", "")
+    if coding not in ("", "identity", "gzip", "x-gzip", "deflate"):
+        raise ValueError(f"its content encoding is not known: {coding}")
     if coding in ("gzip", "x-gzip", "deflate"):
         try:
             return zlib.decompress(payload, 47)
@@ -226,7 +235,10 @@ def decoded_body(payload: bytes, fields: list[str]) -> bytes:
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[tuple[str, str]], bytes]]:
-    """(kind, headers, block) of the metadata and the conversion record of a response."""
+    """(kind, headers, block) of the metadata and, where its media type is text, the conversion record of a response.
+
+    A response that names no type is taken for a page. Of other text than markup the lines are taken as they are.
+    """
     if headers.get("warc-type") != "response":
         return []
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -236,15 +248,17 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
     payload = decoded_body(payload, fields)
     source, uri = headers.get("warc-record-id", ""), headers.get("warc-target-uri", "")
     kind_of = next((v for k, _, v in (f.partition(":") for f in fields) if k.strip().lower() == "content-type"), "")
-    found = _CHARSET.search(kind_of.encode()) or _CHARSET.search(payload[:2048])
+    markup = not kind_of.strip() or bool(_MARKUP.match(kind_of))
+    textual = markup or bool(_TEXTUAL.match(kind_of))
+    found = _CHARSET.search(kind_of.encode()) or (_CHARSET.search(payload[:2048]) if markup else None)
     charset = found[1].decode("ascii", "replace").lower() if found else "utf-8"
     try:
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    text, title, links = read_page(page)
+    text, title, links = read_page(page) if markup else ("\n".join(x for x in (" ".join(line.split()) for line in page.split("\n")) if x) if textual else "", None, [])
     out = [] if title is None else [("title", title)]
-    out += [("charset", charset), ("source-status", status), *[("source-header", f) for f in fields]]
+    out += [*([("charset", charset)] if textual else []), ("source-status", status), *[("source-header", f) for f in fields]]
     out += [(f"source-{k}", headers[k]) for k in ("warc-payload-digest", "warc-block-digest", "content-length") if k in headers]
     for link in links:
         try:
@@ -253,8 +267,11 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
             out.append(("outlink", link))
     common = [("WARC-Refers-To", source), ("WARC-Date", headers.get("warc-date", "")), ("WARC-Target-URI", uri)]
     fields_block = b"".join(f"{k}: {' '.join(v.splitlines())}\r\n".encode("utf-8", "replace") for k, v in out)
+    metadata = ("metadata", [("WARC-Record-ID", record_id("metadata", source)), *common, ("Content-Type", "application/warc-fields")], fields_block)
+    if not textual:
+        return [metadata]
     return [
-        ("metadata", [("WARC-Record-ID", record_id("metadata", source)), *common, ("Content-Type", "application/warc-fields")], fields_block),
+        metadata,
         ("conversion", [("WARC-Record-ID", record_id("conversion", source)), *common, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest", "")), ("Content-Type", "text/plain; charset=utf-8")], text.encode("utf-8", "replace")),
     ]
 
