@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,29 @@ from notelake.session import ship
 MIXTURE = 1.5
 
 
+#: The columns that stages read.
+READ = ("doc_id", "text", "lang", "source")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with the columns that no stage reads renamed by their place, so that none clashes with a column of a stage's own."""
+    return docs.toDF(*[c if c in READ else f"carried_{i}" for i, c in enumerate(docs.columns)])
+
+
+def _carries_columns(stage_: Stage) -> Stage:
+    """A stage that selects among rows, with all columns of its input under their own names."""
+
+    @functools.wraps(stage_)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = _apart(docs)
+        return stage_(spark, inner, sf_dir).select(*inner.columns).toDF(*docs.columns)
+
+    return run
+
+
+@_carries_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; those without labels are scored like all others.
 
@@ -26,11 +50,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     trees = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # an input column named score comes through under another name
-    scored = score_quality(docs.withColumnRenamed("score", "__score"), trees).where(F.col("score") >= ACCEPT)
-    return scored.drop("score").withColumnRenamed("__score", "score").select(*docs.columns)
+    return score_quality(docs, trees).where(F.col("score") >= ACCEPT)
 
 
+@_carries_columns
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id.
 
@@ -39,15 +62,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_rows(docs)
 
 
+@_carries_columns
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share 0.8 of their five-word shingles: the one with the smallest doc_id.
 
     Rows without words or without an id stay; rows of one id are one document and stay or go together.
     """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
+@_carries_columns
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them: a row for each epoch.
 
@@ -56,15 +81,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_row_key(docs)
     taken = mix(token_counts(rows), F.floor(F.col("total") * MIXTURE)).groupBy(ROW).agg(F.count("*").cast("int").alias("times"))
     joined = rows.join(taken.hint("shuffle_hash"), ROW)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences; the column row tells copies of one document apart. A null text is its separator."""
-    return pack(token_pieces(docs))
+    return pack(token_pieces(_apart(docs)))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("exact dedup", exact),
     ("MinHash near-dedup", near),
