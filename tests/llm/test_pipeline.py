@@ -69,3 +69,21 @@ def test_a_table_without_documents(spark, stages):
         docs = function(spark, docs, SF)
     assert docs.count() == 0
     assert near_duplicates(stages[0].limit(0)).count() == 0
+
+
+def test_any_column_comes_through(spark, stages):
+    """Nulls in every column, repeated ids, and columns named like those of the stages."""
+    names = ["score", "__score", "times", "total", "tokens", "row", "carried_3", "kept", "bucket", "epoch", "Text"]
+    few = [r for r in stages[0].collect()][:40]
+    rows = [(r.doc_id, r.text, r.lang, r.source, *[f"{n}{r.doc_id}" for n in names]) for r in few] + [(None, None, None, None, *[None] * len(names)), (few[0].doc_id, few[1].text, None, None, *names), (few[0].doc_id, few[0].text, "en", "src1", *names), (None, "", "en", None, *names)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    have = collections.Counter(map(tuple, rows))
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = [tuple(r) for r in function(spark, docs, SF).collect()]
+        assert set(out) <= set(have) and out, function.__name__
+    assert function(spark, docs, SF).columns == docs.columns
+    pieces = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows)
+    exact = [tuple(r) for r in corpus_pipeline.exact(spark, docs, SF).collect()]
+    assert collections.Counter((r[1] or "").translate(LOWER) for r in exact) == {(r[1] or "").translate(LOWER): 1 for r in rows}
