@@ -193,7 +193,7 @@ def deterministic_id(*parts: Column) -> Column:
 
 
 def id_seconds(note_id: Column) -> Column:
-    return F.conv(F.substring(note_id, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(note_id, 1, 8), 16, 10).try_cast("long")
 
 
 #: MIME types by extension that attachments meet; others are octet-stream.

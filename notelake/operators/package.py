@@ -29,14 +29,18 @@ def dedup_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
-def package(notes: DataFrame, blobs: DataFrame | None = None, order: str = "src_ord") -> DataFrame:
-    """(path, data): notes with a struct column `note` and an array `hashes` of attachments; blobs (hash, data)."""
-    folded = notes.select(order, F.to_json("note").alias("json"), "hashes").withColumn("md5", hash_column(F.col("json")))
-    files = folded.select(F.concat("md5", F.lit("/note.json")).alias("path"), F.col("json").cast("binary").alias("data"), order)
+def package(notes: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """(path, data), each path once: notes with a struct column `note` and an array `hashes` of attachments; blobs (hash, data).
+
+    A path is named by what it holds, so rows with one path are equal: which notes have which attachments is decided on
+    hashes alone, and the data are joined to the result.
+    """
+    folded = notes.select(F.to_json("note").alias("json"), "hashes").withColumn("md5", hash_column(F.col("json")))
+    files = folded.select("md5", "json").dropDuplicates(["md5"]).select(F.concat("md5", F.lit("/note.json")).alias("path"), F.col("json").cast("binary").alias("data"))
     if blobs is not None:
-        held = folded.select(order, "md5", F.explode("hashes").alias("hash")).join(dedup_first(blobs.select("hash", "data").withColumn("__o", F.length("data")), ["hash"], "__o").drop("__o"), "hash")
-        files = files.unionByName(held.select(F.concat("md5", F.lit("/attachments/"), F.col("hash")).alias("path"), "data", order))
-    return dedup_first(files, ["path"], order).drop(order)
+        held = folded.select("md5", F.explode("hashes").alias("hash")).distinct().join(blobs.select("hash", "data").dropDuplicates(["hash"]), "hash")
+        files = files.unionByName(held.select(F.concat("md5", F.lit("/attachments/"), F.col("hash")).alias("path"), "data"))
+    return files
 
 
 def page(rows: DataFrame, order: str, start: int, length: int) -> DataFrame:

@@ -416,8 +416,8 @@ def span_segments(spark, sf_dir):
     return S.segments(t, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.array_join("formats", ",").alias("formats"))
 
 
-# fixed values: four spans of each text, by its length and number
-_SPANS_SQL = """
+# fixed values: five spans of each text, by its length and number
+_RUNS_SQL = """
 with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
 s as (select doc_id, ord, fmt, attr, (doc_id * (7919 * (ord + 1))) % (n + 1) as a, n from d, (values (0, 'headline1', null), (1, 'bold', null), (2, 'url', '/a'), (3, 'bg_color', '5'), (4, 'italic', null)) as v(ord, fmt, attr)),
 sp as (select doc_id, ord, fmt, attr, a, least(n, a + n // (ord + 3) + 7 * ord) as z from s),
@@ -445,7 +445,7 @@ def document_spans(docs: DataFrame) -> DataFrame:
     return s.withColumn("end", F.least(F.col("n"), F.col("start") + F.floor(F.col("n") / (F.col("ord") + 3)) + 7 * F.col("ord")))
 
 
-@query(_SPANS_SQL)
+@query(_RUNS_SQL)
 def span_runs(spark, sf_dir):
     """Whole texts with spans anywhere, as paragraphs and headlines in inline elements."""
     d = _table(spark, sf_dir, "documents").select("doc_id", "text")

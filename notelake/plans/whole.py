@@ -1,4 +1,4 @@
-"""Whole jobs beside the queries of registry.py whose SQL states a part of them. They have no SQL; tests hold them against brute force."""
+"""Whole jobs beside the queries of registry.py whose SQL states a part of them; those without SQL are held against brute force by tests."""
 
 from __future__ import annotations
 
@@ -13,6 +13,19 @@ from notelake.operators import spans as S
 from notelake.plans import registry as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {
+    "package_paths_all": """
+with n as (select doc_id, '{"title":"' || lang || '","source":"' || source || '"}' as json, md5(text) as hash, text from documents)
+select md5(json) || '/note.json' as path, octet_length(encode(json))::int as size from n union select md5(json) || '/attachments/' || hash, octet_length(encode(text))::int from n
+""",
+    "span_segments_all": """
+with sp as (select doc_id, n, f, (doc_id * 7919 * k) % (n + 1) as s, (doc_id * 7919 * k) % (n + 1) + n // (k + 1) + 5 * k as e from (select doc_id, n_chars as n from documents), (values (1, 'bold'), (2, 'italic'), (3, 'url')) as v(k, f)),
+cuts as (select distinct doc_id, b from (select doc_id, unnest([s, e, 0, n]) as b, n from sp) where b <= n),
+seg as (select doc_id, b as start, lead(b) over (partition by doc_id order by b) as stop from cuts)
+select seg.doc_id, start::bigint as start, stop::bigint as stop, coalesce(string_agg(f, ',' order by case f when 'bold' then 3 when 'italic' then 4 else 8 end), '') as formats
+from seg left join sp on sp.doc_id = seg.doc_id and sp.s <= start and sp.e >= stop where stop is not null group by seg.doc_id, start, stop
+""",
+}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -21,7 +21,11 @@ FILE = "path string, archive_name string, archive_path string, entry_ord int, si
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """FILE rows of a folder, with name, stem, ext and dir."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return file_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
+
+def file_rows(f: DataFrame) -> DataFrame:
+    """FILE rows of a binaryFile source, batch or stream."""
     none = F.lit(None).cast("string")
     return described(f.select("path", none.alias("archive_name"), none.alias("archive_path"), F.lit(0).alias("entry_ord"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), "content", none.alias("error")))
 

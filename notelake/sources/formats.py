@@ -11,8 +11,9 @@ from notelake.functions import columns as C
 from notelake.functions import markdown as M
 from notelake.functions import rewrites as W
 from notelake.operators import joins as J
-from notelake.operators import tokens as T
 from notelake.operators import package as P
+from notelake.operators import tokens as T
+from notelake.scratch import staged
 from notelake.sources.files import visible
 from notelake.sources.fusebase import fusebase
 from notelake.sources.notes import ImportResult, note_rows, split_required
@@ -152,23 +153,78 @@ def enex_resources(rows: DataFrame) -> DataFrame:
     return r.where(F.col("data").isNotNull()).withColumn("hash", F.md5("data"))
 
 
+#: Kinds of web clips that become one attachment; the media type is ours.
+WHOLE_CLIPS, IMAGE_CLIPS, CLIP_MIME = ["article", "fullPage"], ["contextMenuImage", "screenshot"], "application/x.web-clip"
+
+
+def enex_clips(notes: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, clips) of the web clips of notes (src_path, html, source_url) by kind.
+
+    media: (src_path, pos, last, new, mime, data, type): the media elements that have a resource. A simplified clip keeps what
+    is inside, a bookmark becomes two paragraphs, an image or screenshot its first medium; each but the bookmark is followed
+    by where it comes from. An article or a full page becomes one attachment, a page of its own whose images are in it as
+    base64; clips: (src_path, pos, last, hash, ..., content). Other kinds, and images without a medium, go. A clip inside
+    another is part of that.
+    """
+    x = T.elements(notes, "src_path", r"(?i)^<[a-z][^>]*--en-clipped-content", "source_url")
+    style = C.styles(C.xml_text(T.attribute(F.col("tok"), "style")))
+    x = x.withColumns({"kind": style["--en-clipped-content"], "url": F.coalesce(style["--en-clipped-source-url"], "source_url"), "title": style["--en-clipped-source-title"]}).drop("source_url", "tok", "tag")
+    x = staged(T.outermost(x, "src_path").withColumn("footer", C.web_clip_footer(F.col("url"), F.col("title"))), "clips")
+    edit = lambda rows, pos, last, new: rows.select("src_path", pos.alias("pos"), last.alias("last"), new.alias("new"))
+    pos, last, empty = F.col("pos"), F.col("last"), F.lit("")
+    simple = x.where("kind = 'simplified'")
+    text = lambda c: F.coalesce(c, empty)
+    bookmark = F.concat(F.lit("<p>"), text(F.col("title")), F.lit('</p><p><a href="'), text(F.col("url")), F.lit('">'), text(F.col("url")), F.lit("</a></p>"))
+    places = [edit(simple, pos, pos, empty), edit(simple.where("last > pos"), last, last, F.col("footer")), edit(x.where("kind = 'bookmark'"), pos, last, bookmark)]
+    inside = media.withColumnsRenamed({"pos": "at", "last": "to", "new": "medium"}).join(x.select("src_path", "pos", "last", "kind", "footer"), "src_path").where((F.col("at") > pos) & (F.col("to") < last))
+    image = J.first_match(inside.where(F.col("kind").isin(IMAGE_CLIPS)), ["src_path", "pos"], ["at"])
+    places.append(edit(image, pos, last, F.concat("medium", "footer")))
+    whole = x.where(F.col("kind").isin(WHOLE_CLIPS))
+    known = ["simplified", "bookmark", *WHOLE_CLIPS]
+    places.append(edit(x.where(~F.coalesce("kind", empty).isin(known)).join(image.select("src_path", "pos"), ["src_path", "pos"], "left_anti"), pos, last, empty))
+    # the page of a clip: its tokens, with its images replaced there
+    key = F.concat_ws("#", "src_path", "pos").alias("clip")
+    tokens = notes.select("src_path", T.tokenize(F.col("html")).alias("tokens")).join(whole, "src_path")
+    pages = tokens.select(key, "src_path", "pos", "last", "url", "title", "footer", F.array_join(F.slice("tokens", pos + 2, F.greatest(last - pos - 1, F.lit(0))), "").alias("html"))
+    images = inside.where(F.col("kind").isin(WHOLE_CLIPS) & F.col("type").startswith("image/"))
+    images = images.select(key, (F.col("at") - pos - 1).alias("pos"), (F.col("to") - pos - 1).alias("last"), F.concat(F.lit('<img src="data:'), "type", F.lit(";base64,"), F.base64("data"), F.lit('">')).alias("new"))
+    content = F.encode("page", "utf-8")
+    clips = pages.drop("html").join(T.replace_elements(pages, "clip", images).withColumnRenamed("html", "page"), "clip").withColumns({"content": content, "hash": F.md5(content)})
+    named = F.coalesce(F.nullif("title", empty), F.nullif("url", empty), "hash")
+    clips = clips.select("src_path", "pos", "last", "hash", F.lit("md5").alias("hash_type"), F.concat(C.sanitize_filename(named), F.lit(".clip")).alias("filename"), F.length("content").cast("long").alias("size"), F.lit(CLIP_MIME).alias("mime"), "content", "url", "footer", named.alias("named"))
+    none = F.lit(None).cast("int")
+    shown = C.attachment_html(F.col("filename"), F.col("size"), F.col("hash"), F.col("mime"), none, none, F.col("url"), F.col("named"))
+    places.append(edit(clips, pos, last, F.concat(shown, "footer")))
+    return J.union_all(places), clips.drop("url", "footer", "named")
+
+
 def evernote(files: DataFrame) -> ImportResult:
-    """A file is a notebook. Notes are cut out by pattern outside CDATA; media become attachments (J2, T18), task groups and to-dos
-    checklists (J15, T15, T17), code blocks pre elements (T16) and divs paragraphs (T14).
+    """A file is a notebook. Notes are cut out by pattern outside CDATA; media become attachments (J2, T18), web clips by their
+    kind (T19), task groups and to-dos checklists (J15, T15, T17), code blocks pre elements (T16) and divs paragraphs (T14).
+
+    A note that a web clipper made is one full page clip. Media inside of a whole clip are in its page and no attachments.
     """
     rows = _enex_rows(files)
     field = lambda name: F.nullif(C.xml_text(F.regexp_extract(F.regexp_replace("x", _ENEX_PART, ""), rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
     content = F.regexp_extract("x", r"(?s)<content>\s*<!\[CDATA\[(.*?)\]\]>\s*</content>", 1)
     inner = F.regexp_replace(content, r"(?s)\A.*?<en-note[^>]*>|</en-note>.*\z", "")
+    clipped = F.coalesce(field("source-application").contains("webclipper"), F.lit(False)) | F.coalesce(field("source").contains("web.clip"), F.lit(False))
+    body = F.when(clipped, F.concat(F.lit('<div style="--en-clipped-content: fullPage">'), inner, F.lit("</div>"))).otherwise(inner)
     tags = F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<tag>(.*?)</tag>"), F.lit(1))
-    notes = note_rows(rows, "evernote", src_path=F.col("src_path"), title=field("title"), html=inner, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem")))
+    notes = note_rows(rows, "evernote", src_path=F.col("src_path"), title=field("title"), html=body, tags=F.transform(tags, C.xml_text), date_created=C.iso_basic_millis(field("created")), date_edited=C.iso_basic_millis(field("updated")), notebooks=F.array(F.array("stem")))
+    pages = rows.select("src_path", body.alias("html"), field("source-url").alias("source_url"))
 
     media = T.elements(notes, "src_path", r"(?i)^<en-media[\s>/]").withColumn("hash", F.lower(T.attribute(F.col("tok"), "hash")))
     held = J.first_match(enex_resources(rows), ["src_path", "hash"], ["ord"])
     x = media.join(held, ["src_path", "hash"])
     side = lambda k: F.coalesce(C.int_attribute(T.attribute(F.col("tok"), k)).cast("int"), F.col(k))
-    x = x.withColumns({"size": F.length("data").cast("long"), "hash_type": F.lit("md5"), "filename": F.coalesce(F.nullif("filename", F.lit("")), "hash"), "w": side("width"), "h": side("height")})
-    places = x.select("src_path", "pos", "last", C.attachment_html(F.col("filename"), F.col("size"), F.col("hash"), F.col("mime"), F.col("w"), F.col("h")).alias("new"))
+    x = x.withColumns({"size": F.length("data").cast("long"), "hash_type": F.lit("md5"), "filename": F.coalesce(F.nullif("filename", F.lit("")), "hash"), "w": side("width"), "h": side("height"), "type": T.attribute(F.col("tok"), "type")})
+    x = x.withColumn("new", C.attachment_html(F.col("filename"), F.col("size"), F.col("hash"), F.col("mime"), F.col("w"), F.col("h")))
+    x = staged(x.drop("tok"), "media")
+    clip_places, clips = enex_clips(pages, x.select("src_path", "pos", "last", "new", "mime", "data", "type"))
+    clips = staged(clips, "clips")
+    in_clip = x.join(clips.select("src_path", F.col("pos").alias("__a"), F.col("last").alias("__z")), "src_path").where(F.col("pos").between(F.col("__a"), F.col("__z"))).select("src_path", "pos")
+    own = x.join(in_clip, ["src_path", "pos"], "left_anti")
 
     part = lambda t, name: C.xml_text(F.regexp_extract(t, rf"(?s)<{name}>(.*?)</{name}>", 1))
     tasks = F.transform(F.regexp_extract_all(F.regexp_replace("x", r"(?s)<content>.*?</content>", ""), F.lit(r"(?s)<task>(.*?)</task>"), F.lit(1)), lambda t: F.struct(part(t, "taskGroupNoteLevelID").alias("group"), part(t, "title").alias("title"), (part(t, "taskStatus") == "completed").alias("done")))
@@ -176,9 +232,12 @@ def evernote(files: DataFrame) -> ImportResult:
     id_ = F.coalesce(T.attribute(F.col("tok"), "task-group-id"), C.styles(T.attribute(F.col("tok"), "style"))["--en-id"])
     groups = groups.withColumn("group", id_).join(rows.select("src_path", tasks.alias("tasks")), "src_path")
     lists = groups.select("src_path", "pos", "last", W.task_list(J.tasks_of(F.col("tasks"), F.col("group"))).alias("new"))
-    done = W.rewrite(T.replace_elements(notes, "src_path", places.unionByName(lists)), "en-todo", "en-codeblock", "div-to-p")
+    places = J.union_all([x.select("src_path", "pos", "last", "new"), lists, clip_places])
+    done = W.rewrite(T.replace_elements(notes, "src_path", places), "en-todo", "en-codeblock", "div-to-p")
     out = notes.drop("html").join(done, "src_path").select(*notes.columns)
-    return ImportResult(out, _ok(out).errors, x.select("src_path", "pos", "hash", "hash_type", "filename", "size", "mime"), x.select("hash", "data").dropDuplicates(["hash"]))
+    columns = ["src_path", "pos", "hash", "hash_type", "filename", "size", "mime"]
+    blobs = own.select("hash", "data").unionByName(clips.select("hash", F.col("content").alias("data"))).dropDuplicates(["hash"])
+    return ImportResult(out, _ok(out).errors, own.select(*columns).unionByName(clips.select(*columns)), blobs)
 
 
 def upnote(files: DataFrame) -> ImportResult:

@@ -109,3 +109,34 @@ def test_remaining_formats(spark, tmp_path):
     assert {n.title for n in formats.obsidian(found).notes.collect()} == {"a", "b", "text"}
     bundle = formats.textbundle(found).notes.collect()
     assert all("__MACOSX" not in n.src_path and n.notebooks == [] and n.source == "textbundle" for n in bundle) and any(n.title == "B" for n in bundle)
+
+
+def _clip(kind, inner, url="http://h/p", title="A title"):
+    return f'<div style="--en-clipped-content: {kind}; --en-clipped-source-url: {url}; --en-clipped-source-title: {title}">{inner}</div>'
+
+
+def test_web_clips(spark, tmp_path):
+    import base64
+
+    media = f'<en-media type="image/png" hash="{_md5(PNG)}"></en-media>'
+    resource = f"<resource><data>{base64.b64encode(PNG).decode()}</data><mime>image/png</mime></resource>"
+    bodies = {
+        "simplified": _clip("simplified", "<p>kept</p>"), "bookmark": _clip("bookmark", "gone"), "screenshot": _clip("screenshot", f"<p>x{media}y</p>"), "image": _clip("contextMenuImage", "none"),
+        "article": f"<p>before</p>{_clip('article', f'<h1>T</h1>{media}<b>z</b>')}<p>after</p>", "unknown": _clip("unknown", "gone"),
+    }
+    note = lambda title, body, more="": f"<note><title>{title}</title><content><![CDATA[<en-note>{body}</en-note>]]></content>{more}{resource}</note>"
+    text = "<en-export>" + "".join(note(k, v) for k, v in bodies.items()) + note("page", "<p>w</p>", "<source>web.clip</source><source-url>http://s</source-url>") + "</en-export>"
+    result = formats.evernote(_expand(spark, tmp_path, {"n.enex": text}))
+    html = {r.title: r.html for r in result.notes.collect()}
+    footer = '<hr></hr><p>Clipped from: <a href="http://h/p">A title</a></p>'
+    squeezed = {k: v.replace("<hr>", "<hr></hr>").replace("</hr></hr>", "</hr>") for k, v in html.items()}
+    assert squeezed["simplified"] == "<p>kept</p>" + footer
+    assert squeezed["bookmark"] == '<p>A title</p><p><a href="http://h/p">http://h/p</a></p>'
+    assert squeezed["screenshot"].count("data-hash") == 1 and squeezed["screenshot"].endswith(footer) and "x" not in squeezed["screenshot"].split("<img")[0]
+    assert squeezed["image"] == squeezed["unknown"] == ""
+    page = f'<h1>T</h1><img src="data:image/png;base64,{base64.b64encode(PNG).decode()}"><b>z</b>'.encode()
+    assert squeezed["article"].startswith("<p>before</p>") and _md5(page) in squeezed["article"] and squeezed["article"].endswith(footer + "<p>after</p>")
+    assert _md5(b"<p>w</p>") in squeezed["page"] and 'href="http://s"' in squeezed["page"]
+    rows = sorted((r.hash, r.filename, r.mime) for r in result.attachments.collect())
+    assert rows == sorted([(_md5(PNG), _md5(PNG), "image/png"), (_md5(page), "a-title.clip", formats.CLIP_MIME), (_md5(b"<p>w</p>"), "http---s.clip", formats.CLIP_MIME)])
+    assert {(r.hash, bytes(r.data)) for r in result.blobs.collect()} == {(_md5(PNG), PNG), (_md5(page), page), (_md5(b"<p>w</p>"), b"<p>w</p>")}
