@@ -304,7 +304,7 @@ def joplin_resources(notes: DataFrame, entities: DataFrame, files: DataFrame, ha
     p = lambda k: F.nullif(F.col("p")[k], F.lit(""))
     known = entities.where("type = 4").groupBy(p("id").alias("id")).agg(F.min_by(F.struct(F.nullif("title", F.lit("")).alias("title"), p("filename").alias("filename"), p("mime").alias("mime")), "src_path").alias("e"))
     held = files.withColumn("id", F.regexp_extract("path", r"resources/([0-9a-zA-Z]+)", 1)).where((F.col("id") != "") & (F.length("content") > 0))
-    held = J.first_match(held.select("id", "path", "entry_ord", "content"), ["id"], ["entry_ord", "path"]).select("id", "content")
+    held = J.first_match(held.select("id", "path", "content"), ["id"], ["path"]).select("id", "content")
     x = refs.join(known, "id").join(held, "id")
     mark = P.hash_column(F.col("content"), hash_name)
     mime = F.coalesce("e.mime", C.sniffed(F.col("content"))["mime"], F.lit("application/octet-stream"))
