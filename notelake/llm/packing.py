@@ -35,7 +35,7 @@ from notelake.llm.common import documents, stage
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers.
-MEMORY = 1_200_000
+MEMORY = 600_000
 _SEPARATOR = (0).to_bytes(4, "little")
 #: Bytes that byte-level vocabularies write as the character of the same number; the others follow from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
