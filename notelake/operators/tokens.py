@@ -76,16 +76,23 @@ def matched(rows: DataFrame, key: str) -> DataFrame:
     Running sums over the tokens of a page, so a page is read once however many elements it leaves open; the windows share
     one partitioning by page.
     """
+    return paired(rows.repartition(key), key).drop("first")
+
+
+def paired(rows: DataFrame, key: str) -> DataFrame:
+    """As matched, over rows that lie together by page, and with `first`: the position of the open token, for both of an element's."""
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     of_tag = W.partitionBy(key, "tag").orderBy("pos")
-    x = rows.repartition(key).withColumn("__step", step)
+    x = rows.withColumn("__step", step)
     x = x.withColumn("__sum", F.sum("__step").over(of_tag))
     floor = F.least(F.lit(0), F.coalesce(F.min("__sum").over(of_tag.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # an open token and its close token have one level
     x = x.withColumn("__level", F.when(F.col("__step") == 1, F.col("__sum") - floor).when(F.col("__step") == -1, F.col("__sum") + 1 - floor).otherwise(0))
     of_level = W.partitionBy(key, "tag", "__level").orderBy("pos")
     pair = (F.col("__level") > 0) & (F.col("__step") != 0)
-    x = x.withColumns({"last": F.when(pair & (F.col("__step") == 1), F.lead("pos").over(of_level)), "__closes": pair & (F.col("__step") == -1)})
+    closes = pair & (F.col("__step") == -1)
+    x = x.withColumns({"last": F.when(pair & (F.col("__step") == 1), F.lead("pos").over(of_level)), "__closes": closes, "first": F.when(closes, F.lag("pos").over(of_level))})
+    x = x.withColumn("first", F.coalesce("first", F.when(F.col("last").isNotNull(), F.col("pos"))))
     change = F.when(F.col("last").isNotNull(), 1).when(F.col("__closes"), -1).otherwise(0)
     x = x.withColumn("__change", change)
     inside = F.sum("__change").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))

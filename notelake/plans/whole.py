@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions import markdown as M
-from notelake.functions import rewrites as W
+from notelake.operators import rewrites as W
 from notelake.operators import spans as S
 from notelake.plans import registry as R
 
@@ -58,5 +58,5 @@ def markdown_html(spark, sf_dir):
 @query
 def markup_rewrites(spark, sf_dir):
     """Whole pages through the rewrites that move elements: divs and breaks to paragraphs, lists, sections, code, alignment."""
-    names = ["div-to-p", "br-to-p", "checked-lists", "collapsibles", "code-languages", "aligned-blocks", "en-todo", "en-codeblock"]
-    return W.rewrite(R._table(spark, sf_dir, "pages").select("page_id", "html"), *names).select("page_id", F.md5("html").alias("html_md5"))
+    names = ["div-to-p", "br-to-p", "checked-lists", "colors", "collapsibles", "code-languages", "aligned-blocks", "en-todo", "en-codeblock"]
+    return W.rewrite(R._table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", *names).select("page_id", F.md5("html").alias("html_md5"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.functions import markdown as M
-from notelake.functions import rewrites as W
 from notelake.operators import joins as J
 from notelake.operators import package as P
+from notelake.operators import rewrites as W
 from notelake.operators import tokens as T
 from notelake.scratch import staged
 from notelake.sources.files import visible
@@ -233,7 +233,7 @@ def evernote(files: DataFrame) -> ImportResult:
     groups = groups.withColumn("group", id_).join(rows.select("src_path", tasks.alias("tasks")), "src_path")
     lists = groups.select("src_path", "pos", "last", W.task_list(J.tasks_of(F.col("tasks"), F.col("group"))).alias("new"))
     places = J.union_all([x.select("src_path", "pos", "last", "new"), lists, clip_places])
-    done = W.rewrite(T.replace_elements(notes, "src_path", places), "en-todo", "en-codeblock", "div-to-p")
+    done = W.rewrite(T.replace_elements(notes, "src_path", places), "src_path", "en-todo", "en-codeblock", "div-to-p")
     out = notes.drop("html").join(done, "src_path").select(*notes.columns)
     columns = ["src_path", "pos", "hash", "hash_type", "filename", "size", "mime"]
     blobs = own.select("hash", "data").unionByName(clips.select("hash", F.col("content").alias("data"))).dropDuplicates(["hash"])
@@ -255,7 +255,7 @@ def upnote(files: DataFrame) -> ImportResult:
     hrefs = T.elements(notes, "src_path", r"(?i)^<a\s").select(T.attribute(F.col("tok"), "href").alias("href")).distinct().where(F.col("href").endswith(".html"))
     target = notes.select("title").distinct().select("title", F.concat(F.lit("nn://note/"), C.deterministic_id(F.lit("upnote"), F.col("title"))).alias("target"))
     inner = hrefs.withColumn("title", F.regexp_replace(C.decode_uri(F.col("href")), r"\.html$", "")).join(target, "title").select("href", "target")
-    linked = W.rewrite(T.rewrite_links(notes, "src_path", inner), "checked-lists", "collapsibles", "code-languages", "div-to-p", "br-to-p", "aligned-blocks")
+    linked = W.rewrite(T.rewrite_links(notes, "src_path", inner), "src_path", "checked-lists", "colors", "collapsibles", "code-languages", "div-to-p", "br-to-p", "aligned-blocks")
     return _with_resources(notes.drop("html").join(linked, "src_path").select(*notes.columns), files)
 
 
@@ -277,7 +277,8 @@ def zoho(files: DataFrame) -> ImportResult:
     html = F.regexp_replace(F.regexp_replace("body", r"(?i)<znresource\b([^>]*?)\srelative-path\s*=", "<img$1 src="), r"(?i)</znresource\s*>", "")
     listed = F.when(F.col("type") == "note/checklist", F.concat(F.lit('<div class="checklist">'), html, F.lit("</div>"))).otherwise(html)
     notes = note_rows(good, "zoho", src_path=F.col("path"), title=F.col("note_title"), html=listed, tags=F.col("tags"), date_created=F.col("created"), date_edited=F.col("edited"), notebooks=F.when(F.col("notebook").isNotNull(), F.array(F.array("notebook"))).otherwise(F.array().cast("array<array<string>>")))
-    return _with_resources(W.rewrite(notes, "zn-checklists"), files, bad.select(F.col("path").alias("src_path"), "note_title", "message"))
+    listed = notes.drop("html").join(W.rewrite(notes, "src_path", "zn-checklists"), "src_path").select(*notes.columns)
+    return _with_resources(listed, files, bad.select(F.col("path").alias("src_path"), "note_title", "message"))
 
 
 def joplin_entities(files: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
-from notelake.functions import rewrites as R
 from notelake.operators import joins as J
+from notelake.operators import rewrites as R
 from notelake.operators import spans as S
 from notelake.operators import tokens as T
 
@@ -30,22 +30,22 @@ CASES = [
     ("aligned-blocks", '<h1 style="text-align: center">x</h1><p style="text-align: left">y</p>', '<h1 style="text-align: center"><p style="text-align: center">x</p></h1><p style="text-align: left">y</p>'),
     ("en-todo", '<ul><li><en-todo checked="true"></en-todo>a</li><li><en-todo/>b</li></ul><en-todo></en-todo>', '<ul class="checklist"><li class="checked">a</li><li>b</li></ul>'),
     ("en-codeblock", '<div style="-en-codeblock: true"><div>a &lt; b</div><div>é</div></div>', "<pre>a &lt; b<br/>&#233;</pre>"),
-    ("div-to-p", '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>', '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --><img src="u"></p>'),
+    ("div-to-p", '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>', '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>'),
+    ("div-to-p", "<div>a<div>b</div><p>c</div>", "<p>a</p><p>b</p><p><p>c</p>"),
+    ("div-to-p", "", ""),
+    ("br-to-p", "<p><b>a<i>b<br>c<br> <br></i></b></p>", '<p><b>a<i>b</i></b></p><p data-spacing="single"><b><i>c</i></b></p><p data-spacing="single"></p>'),
+    ("colors", '<span class="shine-highlight-red" style="x: y;">a</span><span class="shine-text-blue">b</span><span class="shine-text-none">c</span>', '<span style="x: y;background-color: #F9DFDE;">a</span><span style="color: #396FEF;">b</span><span class="shine-text-none">c</span>'),
+    ("zn-checklists", '<div class="x checklist">t<checkbox checked="true">a <b>b</b></checkbox> <checkbox/></div>', '<ul class="checklist"><li class="checked">a <b>b</b></li><li></li></ul>'),
     ("div-to-p", None, None),
 ]
 
 
-@pytest.mark.parametrize(("name", "page", "want"), [c for c in CASES if c[1] is not None])
-def test_rewrite_of_one_page(name, page, want):
-    root = R.read(page)
-    R.REWRITES[name](root)
-    assert root.write() == want
-
-
-def test_rewrites_in_spark(spark):
-    rows = spark.createDataFrame([(i, c[1]) for i, c in enumerate(CASES) if c[0] == "div-to-p"], "i int, html string")
-    got = {r.i: r.html for r in R.rewrite(rows, "div-to-p").collect()}
-    assert got == {i: c[2] for i, c in enumerate(CASES) if c[0] == "div-to-p"}
+@pytest.mark.parametrize("name", sorted({c[0] for c in CASES}))
+def test_rewrite(spark, name):
+    cases = {i: c for i, c in enumerate(CASES) if c[0] == name}
+    rows = spark.createDataFrame([(i, c[1]) for i, c in cases.items()], "i int, html string")
+    got = {r.i: r.html for r in R.rewrite(rows, "i", name).collect()}
+    assert got == {i: c[2] for i, c in cases.items()}
 
 
 def test_title_is_one_pass_and_leaves_the_body(spark):
@@ -146,7 +146,7 @@ def test_evernote_media_tasks_and_code(spark):
     got = formats.evernote(_files(spark, [("book.enex", f"<en-export>{note}<note><title>B</title></note></en-export>".encode())]))
     rows = {r.title: r for r in got.notes.collect()}
     assert set(rows) == {"A & B", "B"} and rows["A & B"].tags == ["p < q"] and rows["A & B"].notebooks == [["book"]]
-    image = f'<img class="attachment" data-filename="p.png" data-size="9" data-hash="{h}" data-mime="image/png" width="9" height="4" alt="p.png">'
+    image = f'<img class="attachment" data-filename="p.png" data-size="9" data-hash="{h}" data-mime="image/png" width="9" height="4" alt="p.png" />'
     assert rows["A & B"].html == f'<p>a {image}</p><ul class="checklist"><li class="checked">t</li></ul><ul class="checklist"><li class="checked">one</li></ul><pre>x</pre>'
     assert [(r.hash, bytes(r.data)) for r in got.blobs.collect()] == [(h, data)] and got.attachments.count() == 1
 
