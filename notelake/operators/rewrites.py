@@ -47,6 +47,11 @@ def _to_here(w: W) -> W:
     return w.rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
+def _from_end(key: str, *more: str) -> W:
+    """What comes after a token, the nearest last: frames that only grow."""
+    return W.partitionBy(key, *more).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+
+
 def _tokens(*tokens: Column | str) -> Column:
     return F.array(*[F.lit(t) if isinstance(t, str) else t for t in tokens])
 
@@ -65,14 +70,19 @@ def _closes() -> Column:
 
 def markup_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, pos, tok) of all tokens, those of a page together."""
-    return pages.select(key, F.posexplode(T.tokenize(F.col(html))).alias("pos", "tok")).repartition(key)
+    return by_page(pages.select(key, F.posexplode(T.tokenize(F.col(html))).alias("pos", "tok")), key)
+
+
+def by_page(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a page together, in as many tasks as the session shuffles to: tokens are few bytes for the work they take."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def placed(rows: DataFrame, key: str) -> DataFrame:
     """ROW: first, last and own (the open token) of the element that a token opens, closes or is; depth: elements around that."""
     x = T.paired(rows.withColumns({"kind": T.kind_of(F.col("tok")), "tag": T.tag_of(F.col("tok"))}), key)
     of_element = W.partitionBy(key, "__e")
-    x = x.withColumn("__e", F.coalesce("first", -1 - F.col("pos")))
+    x = x.withColumn("__e", F.coalesce("first", F.lit(-1)))
     even = F.col("first").isNotNull() & (F.min("depth").over(of_element) == F.max("depth").over(of_element))
     x = x.withColumns({"__even": even, "last": F.max("last").over(of_element), "own": F.max(F.when(F.col("kind") == "open", F.col("tok"))).over(of_element)})
     one = F.col("kind").isin("void", "raw")
@@ -172,14 +182,14 @@ def breaks_to_paragraphs(x: DataFrame, key: str) -> DataFrame:
     along, sib = _along(key), _along(key, "up.first")
     inline = F.when(F.col("first").isNotNull(), F.col("tag").isin(INLINE)).otherwise(True)
     x = x.withColumns({
-        "__next": F.first(solid, True).over(along.rowsBetween(1, W.unboundedFollowing)), "__prev": F.last(solid, True).over(along.rowsBetween(W.unboundedPreceding, -1)),
+        "__next": F.last(solid, True).over(_from_end(key)), "__prev": F.last(solid, True).over(along.rowsBetween(W.unboundedPreceding, -1)),
         "__start": F.coalesce(F.lag("pos").over(_along(key, "para.first", "__br")), F.col("para.first")), "__edge": ~inline,
     })
     rest_blank = (F.col("__next").isNull() | (F.col("__next") > F.col("para.last"))) & (F.col("__prev").isNull() | (F.col("__prev") <= F.col("__start")))
     none_before = F.coalesce(F.lag("__edge").over(sib), F.lit(True))
     x = x.withColumns({
         "__blank_from": F.min(F.when(inside & br & rest_blank, F.col("__start"))).over(W.partitionBy(key, "para.first")),
-        "__bare": none_before, "__to_br": F.first(F.when(F.col("__edge"), br), True).over(sib.rowsBetween(1, W.unboundedFollowing)),
+        "__bare": none_before, "__to_br": F.last(F.when(F.col("__edge"), br), True).over(_from_end(key, "up.first")),
     })
     x = x.withColumn("__after_bare", F.lag(br & ~inside & F.col("__bare")).over(sib))
     part = lambda tok, level=None, use=0: F.struct(tok.alias("tok"), (F.lit(None).cast("long") if level is None else level).alias("level"), F.lit(use).alias("use"))
@@ -347,7 +357,7 @@ def rewrite(pages: DataFrame, key: str, *names: str, html: str = "html") -> Data
             rows = rows.withColumn("tok", TOKEN_REWRITES[name](F.col("tok")))
             continue
         if planned and planned % PLANNED == 0:
-            rows = rounds.put(rows).repartition(PAGE)
+            rows = by_page(rounds.put(rows), PAGE)
         planned += 1
         x = REWRITES[name](placed(rows, PAGE), PAGE)
         part = F.col("part") if "part" in x.columns else F.lit(0)
