@@ -114,7 +114,7 @@ def checklist_html(items: Column) -> Column:
 def bracket_checklist(text: Column) -> Column:
     """Lines '[V] x' and '[ ] x' as a list; other lines are dropped; none at all gives an empty paragraph."""
     lines = F.filter(F.split(text, "\r\n|\n"), lambda x: x.rlike(r"^\[[V ]\]"))
-    item = lambda x: F.concat(F.when(x.startswith("[V]"), F.lit('<li class="simple-checklist--item checked">')).otherwise(F.lit('<li class="simple-checklist--item">')), F.trim(F.substring(x, 4, 1 << 30)), F.lit("</li>"))
+    item = lambda x: F.concat(F.when(x.startswith("[V]"), F.lit('<li class="simple-checklist--item checked">')).otherwise(F.lit('<li class="simple-checklist--item">')), F.regexp_replace(x, r"^\[[V ]\]\s*", ""), F.lit("</li>"))
     return F.when(F.size(lines) == 0, F.lit("<p></p>")).otherwise(F.concat(F.lit('<ul class="simple-checklist">'), F.array_join(F.transform(lines, item), ""), F.lit("</ul>")))
 
 
@@ -292,13 +292,18 @@ def xml_text(c: Column) -> Column:
 # ---- reminders
 
 #: Codes of a repeating reminder.
-REMINDER_MODES = {16: "day", 32: "week", 48: "month", 80: "week", 96: "month", 112: "year"}
+REMINDER_MODES = {16: "day", 32: "week", 48: "week", 80: "month", 96: "month", 112: "year"}
+#: Fixed value: the code of every working day, Monday to Friday.
+WORKING_DAYS = 32
 
 
 def reminder(code: Column, base: Column, date: Column) -> Column:
-    """struct<date, mode, recurring_mode, selected_day>; null where there is no date. Sunday is 0."""
+    """struct<date, mode, recurring_mode, selected_days>; null where there is no date. Days of the week or month; Sunday is 0.
+
+    A code that is null, 0 or unknown is a reminder that comes once.
+    """
     at = first_true(base, date)
     when = F.timestamp_millis(at)
     kind = lookup(code, REMINDER_MODES)
-    day = F.when(kind == "week", F.dayofweek(when) - 1).when(kind == "month", F.dayofmonth(when))
-    return F.when(at.isNotNull() & (code >= 0), F.struct(at.alias("date"), F.when(kind.isNotNull(), F.lit("repeat")).otherwise(F.lit("once")).alias("mode"), kind.alias("recurring_mode"), day.alias("selected_day")))
+    days = F.when(code == WORKING_DAYS, F.array(*[F.lit(d) for d in range(1, 6)])).when(kind == "week", F.array(F.dayofweek(when) - 1)).when(kind == "month", F.array(F.dayofmonth(when)))
+    return F.when(at.isNotNull(), F.struct(at.alias("date"), F.when(kind.isNotNull(), F.lit("repeat")).otherwise(F.lit("once")).alias("mode"), kind.alias("recurring_mode"), days.alias("selected_days")))

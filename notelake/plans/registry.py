@@ -15,6 +15,7 @@ from notelake.operators import package as P
 from notelake.operators import rules as U
 from notelake.operators import spans as S
 from notelake.operators import tokens as T
+from notelake.sources import colornote as CN
 from notelake.sources import notes as N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,15 +378,15 @@ _CODE_SQL = "[0, 16, 32, 48, 80, 96, 112, 1][(event_id % 8) + 1]"
 
 
 @query(
-    f"""with e as (select event_id, {_CODE_SQL} as code, epoch_us(ts) // 1000 as base from events), f as (select *, case code when 16 then 'day' when 32 then 'week' when 48 then 'month' when 80 then 'week' when 96 then 'month' when 112 then 'year' end as recurring_mode from e)
+    f"""with e as (select event_id, {_CODE_SQL} as code, epoch_us(ts) // 1000 as base from events), f as (select *, case code when 16 then 'day' when 32 then 'week' when 48 then 'week' when 80 then 'month' when 96 then 'month' when 112 then 'year' end as recurring_mode from e)
     select event_id, base as date, case when recurring_mode is null then 'once' else 'repeat' end as mode, recurring_mode,
-    (case recurring_mode when 'week' then dayofweek(make_timestamp(base * 1000)) when 'month' then day(make_timestamp(base * 1000)) end)::int as selected_day from f"""
+    case when code = 32 then '1,2,3,4,5' when recurring_mode = 'week' then dayofweek(make_timestamp(base * 1000))::varchar when recurring_mode = 'month' then day(make_timestamp(base * 1000))::varchar end as selected_days from f"""
 )
 def reminders(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     code = F.element_at(F.array(*[F.lit(x) for x in (0, 16, 32, 48, 80, 96, 112, 1)]), (F.col("event_id") % 8 + 1).cast("int"))
     base = F.unix_millis(F.col("ts").cast("timestamp"))
-    return e.select("event_id", C.reminder(code, F.lit(0).cast("long"), base).alias("r")).select("event_id", "r.*")
+    return e.select("event_id", C.reminder(code, F.lit(0).cast("long"), base).alias("r")).select("event_id", "r.date", "r.mode", "r.recurring_mode", F.array_join("r.selected_days", ",").alias("selected_days"))
 
 
 @query(
@@ -398,6 +399,36 @@ def record_filter(spark, sf_dir):
     return N.live_records(e).select("event_id", "event_type", F.when(F.col("space") == 16, True).alias("archived"), C.lookup(i % 12, {1: C.KEEP_COLORS["RED"], 2: C.KEEP_COLORS["ORANGE"]}).alias("color"))
 
 
+@query(
+    f"""with d as (select doc_id, lang, source, [0, 16, 32, 48, 80, 96, 112, 1][(doc_id % 8) + 1] as code, (doc_id % 5) * 86400000 as base,
+    array_to_string(list_transform(string_split_regex(coalesce(text, ''), '\\r\\n|\\n'), lambda x: '<p data-spacing="single">' || {_LINE_SQL} || '</p>'), '') as html from documents where doc_id % 6 <> 5),
+    m as (select *, case when base > 0 then case code when 16 then 'day' when 32 then 'week' when 48 then 'week' when 80 then 'month' when 96 then 'month' when 112 then 'year' else 'once' end end as mode from d)
+    select doc_id, coalesce(nullif(lang, ''), 'Untitled note') as title, md5(html) as html_md5, ['red', 'orange', 'yellow', 'green', 'blue', 'purple', 'black', 'gray', 'white'][doc_id % 11] as color,
+    case when doc_id % 3 = 0 then true end as archived, case when doc_id % 4 = 2 then nullif(source, '') end as notebook, mode,
+    case when mode = 'week' then case code when 32 then '1,2,3,4,5' else dayofweek(make_timestamp(base * 1000))::varchar end when mode = 'month' then day(make_timestamp(base * 1000))::varchar end as days, null::varchar as message from m
+    union all select doc_id, null, null, null, null, null, null, null, case when doc_id % 12 = 5 then 'Password is required to decrypt backup file.' else 'Decryption failed. Incorrect password or corrupted file.' end from documents where doc_id % 6 = 5"""
+)
+def colornote_backups(spark, sf_dir):
+    """Every document as an encrypted backup with a note and a folder, imported again; some files have no password or lack their last byte."""
+    i = F.col("doc_id")
+    record = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
+    note = record(
+        title=F.col("lang"), note=F.col("text"), encrypted=F.lit(0), created_date=i + 1, modified_date=i + 2, active_state=F.lit(0), type=F.lit(0), folder_id=i % 4, color_index=i % 11,
+        space=F.when(i % 3 == 0, F.lit(16)), reminder_repeat=F.element_at(F.array(*[F.lit(x) for x in (0, 16, 32, 48, 80, 96, 112, 1)]), (i % 8 + 1).cast("int")), reminder_base=F.lit(0), reminder_date=i % 5 * 86400000,
+    )
+    folder = record(title=F.col("source"), note=F.lit('{"folder_id":2}'), encrypted=F.lit(0), created_date=F.lit(1), modified_date=F.lit(1), active_state=F.lit(0), type=F.lit(128))
+    password = F.concat(F.lit("secret "), i % 7)
+    key, iv = CN.cipher(password)
+    sealed = F.aes_encrypt(F.concat(F.lit("{] "), note, F.lit(" } "), folder), key, F.lit("CBC"), F.lit("PKCS"), iv)
+    d = _table(spark, sf_dir, "documents").withColumns({"name": F.concat(F.lit("d"), i, F.lit(".backup")), "sealed": sealed})
+    files = d.select(F.concat(F.lit("backups/"), "name").alias("path"), "name", F.lit("backup").alias("ext"), F.concat(F.lit(bytes(CN.HEADER)), F.expr("substring(sealed, 17, length(sealed) - if(doc_id % 12 = 11, 17, 16))")).alias("content"))
+    passwords = d.where(i % 12 != 5).select("name", password.alias("password"))
+    result = CN.colornote(files, passwords)
+    own = F.regexp_extract("src_path", r"/d(-?\d+)\.", 1).cast("long").alias("doc_id")
+    notes = result.notes.select(own, "title", F.md5("html").alias("html_md5"), "color", "archived", F.get(F.get("notebooks", F.lit(0)), F.lit(0)).alias("notebook"), F.coalesce("reminder.recurring_mode", "reminder.mode").alias("mode"), F.array_join("reminder.selected_days", ",").alias("days"), F.lit(None).cast("string").alias("message"))
+    return notes.unionByName(result.errors.select(own, "message"), allowMissingColumns=True)
+
+
 # ---- windows
 
 _SPANS_SQL = "select doc_id, n, (doc_id * k) % 40 as s, (doc_id * k) % 40 + 5 * k as e, ['bold', 'italic', 'url'][k] as format from (select doc_id, n_chars::int as n from documents), (values (1), (2), (3)) v(k)"

@@ -14,9 +14,11 @@ from notelake.operators import package as P
 from notelake.operators import rewrites as W
 from notelake.operators import tokens as T
 from notelake.scratch import staged
+from notelake.sources.colornote import colornote
 from notelake.sources.files import visible
 from notelake.sources.fusebase import fusebase
 from notelake.sources.notes import ImportResult, note_rows, split_required
+from notelake.sources.settings import Settings, observed
 
 NO_ERRORS = "src_path string, note_title string, message string"
 
@@ -333,16 +335,20 @@ def joplin(files: DataFrame) -> ImportResult:
     return _with_found(out, joplin_resources(out, good, files), bad.select("src_path", F.col("title").alias("note_title"), "message"))
 
 
-FORMATS: dict[str, Callable[[DataFrame], ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin, "upnote": upnote, "zoho": zoho, "fusebase": fusebase}
+FORMATS: dict[str, Callable[..., ImportResult]] = {"txt": text, "html": html, "md": markdown, "obsidian": obsidian, "skiff": skiff, "textbundle": textbundle, "simplenote": simplenote, "keep": keep, "evernote": evernote, "joplin": joplin, "upnote": upnote, "zoho": zoho, "fusebase": fusebase, "colornote": colornote}
 
 
-def register_format(name: str, importer: Callable[[DataFrame], ImportResult]) -> None:
+def register_format(name: str, importer: Callable[..., ImportResult]) -> None:
+    """importer(files, **options): options are those that Settings hold for its name."""
     FORMATS[name] = importer
 
 
-def import_notes(files: DataFrame, formats: list[str]) -> ImportResult:
-    """Many formats at once, into one table of notes and one of errors."""
-    results = [FORMATS[f](files) for f in formats]
+def import_notes(files: DataFrame, formats: list[str], settings: Settings | None = None) -> ImportResult:
+    """Many formats at once, into one table of notes and one of errors; settings: options of formats and observations."""
+    settings = settings or Settings()
+    results = [FORMATS[f](files, **settings.options.get(f, {})) for f in formats]
     both = lambda frames: J.union_all(held) if (held := [f for f in frames if f is not None]) else None
     blobs = both([r.blobs for r in results])
-    return ImportResult(J.union_all([r.notes for r in results]), J.union_all([r.errors for r in results]), both([r.attachments for r in results]), blobs.dropDuplicates(["hash"]) if blobs is not None else None)
+    notes = observed(J.union_all([r.notes for r in results]), settings.notes, **{f: F.col("source") == f for f in formats})
+    errors = observed(J.union_all([r.errors for r in results]), settings.errors)
+    return ImportResult(notes, errors, both([r.attachments for r in results]), blobs.dropDuplicates(["hash"]) if blobs is not None else None)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from notelake.operators.package import stamp
 
-NOTE = ["src_path", "title", "date_created", "date_edited", "html", "tags", "pinned", "favorite", "archived", "color", "notebooks"]
-KINDS = {"tags": "array<string>", "notebooks": "array<array<string>>", "pinned": "boolean", "favorite": "boolean", "archived": "boolean", "date_created": "bigint", "date_edited": "bigint"}
+NOTE = ["src_path", "title", "date_created", "date_edited", "html", "tags", "pinned", "favorite", "archived", "color", "notebooks", "reminder"]
+KINDS = {"tags": "array<string>", "notebooks": "array<array<string>>", "pinned": "boolean", "favorite": "boolean", "archived": "boolean", "date_created": "bigint", "date_edited": "bigint", "reminder": "struct<title: string, description: string, date: bigint, mode: string, recurring_mode: string, selected_days: array<int>>"}
 
 
 @dataclass
@@ -31,8 +31,12 @@ def split_required(rows: DataFrame, required: dict[str, str]) -> tuple[DataFrame
 
 
 def live_records(rows: DataFrame) -> DataFrame:
-    """Records that are notes: no settings (256) or folders (128), not encrypted, neither deleted nor archived away (16, 32)."""
-    return rows.where(~F.col("type").isin(256, 128) & F.col("encrypted").eqNullSafe(F.lit(0)) & ~F.col("active_state").isin(16, 32))
+    """Records that are notes: no settings (256) or folders (128), not encrypted, neither deleted nor archived away (16, 32).
+
+    A null type or state is none of these; only 0 is not encrypted.
+    """
+    none = lambda c, *codes: ~F.coalesce(F.col(c).isin(*codes), F.lit(False))
+    return rows.where(none("type", 256, 128) & F.col("encrypted").eqNullSafe(F.lit(0)) & none("active_state", 16, 32))
 
 
 def note_rows(rows: DataFrame, source: str, **columns: Column) -> DataFrame:
