@@ -79,8 +79,12 @@ def by_page(rows: DataFrame, key: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, key: str) -> DataFrame:
-    """ROW: first, last and own (the open token) of the element that a token opens, closes or is; depth: elements around that."""
+    """ROW: first, last and own (the open token) of the element that a token opens, closes or is; depth: elements around that.
+
+    A close token without an open one goes, as a reader of HTML passes over it.
+    """
     x = T.paired(rows.withColumns({"kind": T.kind_of(F.col("tok")), "tag": T.tag_of(F.col("tok"))}), key)
+    x = x.where((F.col("kind") != "close") | F.col("first").isNotNull())
     of_element = W.partitionBy(key, "__e")
     x = x.withColumn("__e", F.coalesce("first", F.lit(-1)))
     even = F.col("first").isNotNull() & (F.min("depth").over(of_element) == F.max("depth").over(of_element))

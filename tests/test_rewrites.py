@@ -11,6 +11,7 @@ from notelake.operators import tokens as T
 
 CASES = [
     ("div-to-p", "<div>plain <b>bold</b></div>", "<p>plain <b>bold</b></p>"),
+    ("div-to-p", "</i><div>a </u> b</div></div>", "<p>a  b</p>"),
     ("div-to-p", '<div dir="rtl" class="x" style="color: red">a</div>', '<p dir="rtl" style="color: red">a</p>'),
     ("div-to-p", "<div>one<ul><li>x</li></ul> <hr>two</div>", "<p>one</p><ul><li>x</li></ul><hr><p>two</p>"),
     ("div-to-p", '<div style="text-align: right"><div>a</div><div style="color: red">b</div></div>', '<p style="text-align: right">a</p><p style="color: red; text-align: right">b</p>'),
@@ -30,7 +31,7 @@ CASES = [
     ("aligned-blocks", '<h1 style="text-align: center">x</h1><p style="text-align: left">y</p>', '<h1 style="text-align: center"><p style="text-align: center">x</p></h1><p style="text-align: left">y</p>'),
     ("en-todo", '<ul><li><en-todo checked="true"></en-todo>a</li><li><en-todo/>b</li></ul><en-todo></en-todo>', '<ul class="checklist"><li class="checked">a</li><li>b</li></ul>'),
     ("en-codeblock", '<div style="-en-codeblock: true"><div>a &lt; b</div><div>é</div></div>', "<pre>a &lt; b<br/>&#233;</pre>"),
-    ("div-to-p", '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>', '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>'),
+    ("div-to-p", '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --></i><img src=u>', '<!DOCTYPE html><p title="a&amp;b" hidden>x &nbsp;&#38; <!-- c --><img src=u>'),
     ("div-to-p", "<div>a<div>b</div><p>c</div>", "<p>a</p><p>b</p><p><p>c</p>"),
     ("div-to-p", "", ""),
     ("br-to-p", "<p><b>a<i>b<br>c<br> <br></i></b></p>", '<p><b>a<i>b</i></b></p><p data-spacing="single"><b><i>c</i></b></p><p data-spacing="single"></p>'),
