@@ -12,7 +12,7 @@ A part is text before a value and the value itself: of the element (no tag and n
 fits, in page order, its markup (`inner`), its text (`text`) or an attribute (`attr`, not empty). Where a value is missing,
 the element goes, unless the part is `optional`.
 
-Elements come from matched tokens; of rules that replace or remove, an element inside another such element is left alone.
+Elements come from matched tokens and stay spread out; the rules are sent to all tasks. Of rules that replace or remove, an element inside another such element is left alone.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def apply_rules(pages: DataFrame, key: str, rules: DataFrame, html: str = "html"
     """(key, html): the pages with the rules applied; given: places (key, pos, last, new) of the caller's own, which go first."""
     e = staged(page_elements(pages, key, html), "elements")
     selected = rules.withColumn("__s", _selectors(F.col("tag"), F.col("class"))).select("__s", F.struct("rule", "op", "opening", "closing", "parts").alias("r"))
-    hits = e.select(key, "pos", "last", "attrs", F.explode("selectors").alias("__s")).join(selected, "__s")
+    # the rules go to all tasks: left to the planner, it takes the elements for the small side by the size of their files, which are many times smaller than their rows
+    hits = e.select(key, "pos", "last", "attrs", F.explode("selectors").alias("__s")).join(F.broadcast(selected), "__s")
     hits = hits.groupBy(key, "pos", "last", "attrs").agg(F.min_by("r", "r.rule").alias("r")).select(key, "pos", "last", "attrs", "r.*")
     lit = lambda c: F.array(F.struct(c.alias("lit"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(False).alias("plain")))
     rest = F.array_join(F.transform(F.filter("attrs", lambda a: a["k"] != "class"), lambda a: F.concat(F.lit(" "), a["k"], F.lit('="'), a["v"], F.lit('"'))), "")

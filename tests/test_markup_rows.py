@@ -61,6 +61,14 @@ def test_visible_text_and_replacement(spark):
     assert {r.k: r.html for r in T.replace_elements(page, "k", places).collect()} == {1: "a[x][e]<!-- x -->f<title>g", 2: "plain", 3: None}
 
 
+def test_rules_are_sent_and_elements_are_not(spark):
+    pages = spark.createDataFrame([(1, '<b class="x">gone</b>')], "k int, html string")
+    done = R.apply_rules(pages, "k", R.rule_table(spark, [("b", "x", "remove", None, [], None)]))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert [r.html for r in done.collect()] == [""]
+
+
 def test_rules(spark):
     rules = R.rule_table(
         spark,
