@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notelake.scratch import Rounds
+from notelake.operators.folders import hierarchy  # noqa: F401
 
 
 def first_match(joined: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -123,30 +123,5 @@ def many_to_many(notes: DataFrame, pairs: DataFrame, tags: DataFrame, note: str,
     return rows.groupBy(note).agg(F.sort_array(F.collect_set(name)).alias("tags"))
 
 
-def hierarchy(folders: DataFrame) -> DataFrame:
-    """folders (id, parent_id, title) to (id, path): titles from the root down, whatever the depth.
-
-    Each round joins every open path with the path of the folder it ends at, so paths double: a tree of depth d takes
-    log2(d) rounds, each staged, and finished paths are joined no more. A missing parent ends a path. A path that meets a
-    folder for the second time is in a cycle and ends before it. Of folders with one id the one with the smallest
-    parent_id and title counts, null first; a null id is no folder.
-    """
-    rounds = Rounds(folders.sparkSession, "folders")
-    one = folders.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("parent_id", "title")).alias("f"))
-    up = rounds.put(one.select("id", F.col("f.parent_id").alias("next"), F.array("id").alias("ids"), F.array("f.title").alias("titles")))
-    while not (going := up.where(F.col("next").isNotNull())).isEmpty():
-        higher = up.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("ids").alias("more_ids"), F.col("titles").alias("more"))
-        none = F.array().cast("array<string>")
-        x = going.join(higher, "next", "left").select("id", "further", F.concat("ids", F.coalesce("more_ids", F.array().cast(folders.select(F.array("id")).schema[0].dataType))).alias("ids"), F.concat("titles", F.coalesce("more", none)).alias("titles"))
-        # both halves are free of repeats; the first id of the second half that the first one has closes the cycle
-        again = F.size(F.array_distinct("ids")) < F.size("ids")
-        whole = x.where(~again).select("id", F.col("further").alias("next"), "ids", "titles")
-        at = F.posexplode("ids").alias("at", "step")
-        first = x.where(again).select("id", at).groupBy("id", "step").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") > 1).groupBy("id").agg(F.min(F.col("at")[1]).cast("int").alias("stop"))
-        cut = x.where(again).join(first, "id").select("id", F.lit(None).cast(up.schema["next"].dataType).alias("next"), F.slice("ids", 1, F.col("stop")).alias("ids"), F.slice("titles", 1, F.col("stop")).alias("titles"))
-        up = rounds.put(up.where(F.col("next").isNull()).unionByName(whole).unionByName(cut))
-    return up.select("id", F.reverse("titles").alias("path"))
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

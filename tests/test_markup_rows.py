@@ -2,6 +2,7 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,33 @@ def test_hierarchy(spark):
     assert J.hierarchy(spark.createDataFrame([], "id string, parent_id string, title string")).collect() == []
 
 
+@pytest.mark.parametrize("size", [7, 1000])
+def test_hierarchy_in_ranges(spark, size):
+    rng = random.Random(8)
+    up = lambda i: None if rng.random() < 0.05 else max(0, i - rng.randint(1, 3)) if i < 60 else rng.randrange(95)
+    rows = [(i, up(i), rng.choice([f"t{i}", "é", None])) for i in range(90)]
+    of = {i: (p, t) for i, p, t in rows}
+    want = {}
+    for i in of:
+        ids, x = [], i
+        while x in of and x not in ids:
+            ids.append(x)
+            x = of[x][0]
+        want[i] = [of[x][1] for x in reversed(ids)]
+    got = J.hierarchy(spark.createDataFrame(rows, "id long, parent_id long, title string"), size).collect()
+    assert len(got) == 90 and {r.id: r.path for r in got} == want
+
+
+def test_hierarchy_writes_no_paths(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    held = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    before = held()
+    rows = spark.range(16 * 512).select("id", F.when(F.col("id") % 512 > 0, F.col("id") - 1).alias("parent_id"), F.md5(F.col("id").cast("string")).alias("title"))
+    deepest = J.hierarchy(rows).agg(F.max(F.size("path")), F.sum(F.size("path"))).first()
+    assert deepest[0] == 512 and deepest[1] == 16 * 512 * 513 // 2
+    assert held() - before < 100 * 16 * 512
+
+
 @pytest.mark.parametrize("limit", [J.SHORT_BYTES, 0])
 def test_contains_short_and_long_passages(spark, monkeypatch, limit):
     monkeypatch.setattr(J, "SHORT_BYTES", limit)
