@@ -340,6 +340,19 @@ REWRITES: dict[str, Rewrite] = {
     "en-codeblock": code_blocks,
     "zn-checklists": zoho_checklists,
 }
+_CODE_BLOCK = r"\s*".join("en-codeblock")
+#: What a page has to match for a rewrite to change anything in it but stray close tags, also after other rewrites of this
+#: module: breaks come from code blocks as well, alignments only from alignments and for paragraphs. Others look at all pages.
+NEEDS = {
+    "div-to-p": "(?i)<div",
+    "br-to-p": f"(?i)<br|{_CODE_BLOCK}",
+    "checked-lists": "(?i)data-checked",
+    "collapsibles": "shine-collapsible-section",
+    "aligned-blocks": "(?i)text-align",
+    "en-todo": "(?i)<en-todo",
+    "en-codeblock": f"(?i){_CODE_BLOCK}",
+    "zn-checklists": "checklist",
+}
 #: Those that look at one token at a time.
 TOKEN_REWRITES: dict[str, Callable[[Column], Column]] = {"colors": colors, "code-languages": code_languages}
 #: Rewrites of rows in one plan; after them the rows are written and read back, as longer plans take the driver too long.
@@ -349,24 +362,63 @@ PLANNED = 2
 def register_rewrite(name: str, rule: Rewrite) -> None:
     """A rewrite of the caller's own (X3): ROW to ROW with `out`."""
     REWRITES[name] = rule
+    # what it makes may be what another one looks for
+    NEEDS.clear()
+
+
+def without_strays(rows: DataFrame, key: str) -> DataFrame:
+    """Rows without the close tokens that have no open one, as placed leaves them."""
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    of_tag = _along(key, "tag")
+    x = rows.withColumns({"kind": T.kind_of(F.col("tok")), "tag": T.tag_of(F.col("tok"))}).withColumn("__sum", F.sum(step).over(_to_here(of_tag)))
+    floor = F.least(F.lit(0), F.coalesce(F.min("__sum").over(of_tag.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return x.withColumn("__stray", (F.col("kind") == "close") & (F.col("__sum") < floor)).where(~F.col("__stray")).select(key, "pos", "tok")
 
 
 def rewrite(pages: DataFrame, key: str, *names: str, html: str = "html") -> DataFrame:
-    """(key, html): the pages after the named rewrites, in their order. key names a page; null and empty pages stay what they are."""
+    """(key, html): the pages after the named rewrites, in their order. key names a page; null and empty pages stay what they are.
+
+    A page goes through the rewrites that it has something for (NEEDS). Where the last one isn't among them, its stray close
+    tags go at the end.
+    """
     rounds, planned = Rounds(pages.sparkSession, "markup"), 0
-    pages = staged(pages.select(F.col(key).alias(PAGE), F.col(html).alias("html")), "pages")
+    by_rows = [name for name in dict.fromkeys(names) if name not in TOKEN_REWRITES]
+    last = [name for name in names if name in by_rows][-1:]
+    fits = {name: F.coalesce(F.col("html").rlike(NEEDS[name]), F.lit(False)) if name in NEEDS else F.col("html").isNotNull() for name in by_rows}
+    pages = staged(pages.select(F.col(key).alias(PAGE), F.col(html).alias("html")).withColumns({f"__fits_{i}": fits[name] for i, name in enumerate(by_rows)}), "pages")
+    fit = {name: F.col(f"__fits_{i}") for i, name in enumerate(by_rows)}
+    total, *counts = pages.agg(F.count("html"), *[F.count_if(fit[name]) for name in by_rows]).first()
+    count = dict(zip(by_rows, counts))
     rows = markup_rows(pages, PAGE)
-    for name in names:
-        if name in TOKEN_REWRITES:
-            rows = rows.withColumn("tok", TOKEN_REWRITES[name](F.col("tok")))
-            continue
-        if planned and planned % PLANNED == 0:
-            rows = by_page(rounds.put(rows), PAGE)
-        planned += 1
+
+    def apply(rows: DataFrame, name: str) -> DataFrame:
         x = REWRITES[name](placed(rows, PAGE), PAGE)
         part = F.col("part") if "part" in x.columns else F.lit(0)
         x = x.select(PAGE, "pos", part.alias("part"), F.posexplode("out").alias("i", "tok"))
-        rows = x.select(PAGE, (F.row_number().over(W.partitionBy(PAGE).orderBy("pos", "part", "i")) - 1).alias("pos"), "tok")
+        return x.select(PAGE, (F.row_number().over(W.partitionBy(PAGE).orderBy("pos", "part", "i")) - 1).alias("pos"), "tok")
+
+    def among(rows: DataFrame, which: Column, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of which only some pages change."""
+        rows, some = rounds.put(rows), pages.where(which).select(PAGE)
+        rest = rows.join(some, PAGE, "left_anti")
+        return change(by_page(rows.join(some, PAGE, "left_semi"), PAGE)).unionByName(rest.select(PAGE, "pos", "tok"))
+
+    for name in names:
+        if name in TOKEN_REWRITES:
+            rows = rows.withColumn("tok", TOKEN_REWRITES[name](F.col("tok")))
+        elif 0 < count[name] < total:
+            rows = by_page(rounds.put(among(rows, fit[name], lambda r, name=name: apply(r, name))), PAGE)
+            planned = 0
+        elif count[name]:
+            if planned and planned % PLANNED == 0:
+                rows = by_page(rounds.put(rows), PAGE)
+            planned += 1
+            rows = apply(rows, name)
+    for name in last:
+        if not count[name]:
+            rows = without_strays(rows, PAGE)
+        elif count[name] < total:
+            rows = among(rows, ~fit[name], lambda r: without_strays(r, PAGE))
     done = rows.groupBy(PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda r: r["tok"]), "").alias("__done"))
     return pages.join(staged(done, "markup"), PAGE, "left").select(F.col(PAGE).alias(key), F.when(F.col("html").isNotNull(), F.coalesce("__done", F.lit(""))).alias("html"))
 

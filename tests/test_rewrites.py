@@ -49,6 +49,23 @@ def test_rewrite(spark, name):
     assert got == {i: c[2] for i, c in cases.items()}
 
 
+def test_pages_skip_rewrites_they_have_nothing_for(spark, monkeypatch):
+    pages = [c[1] for c in CASES] + ["<u></i>a</u></div>", '<div class="shine-collapsible-section"><b><div class="shine-section-title-inner">t<i></b></div></i><div class="shine-section-content-inner">x</div></div>']
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    names = ["collapsibles", "div-to-p", "aligned-blocks"]
+    got = {r.i: r.html for r in R.rewrite(rows, "i", *names).collect()}
+    monkeypatch.setattr(R, "NEEDS", {})
+    assert got == {r.i: r.html for r in R.rewrite(rows, "i", *names).collect()}
+    monkeypatch.undo()
+
+    def never(x, key):
+        raise AssertionError("no page has anything for it")
+
+    monkeypatch.setitem(R.REWRITES, "en-todo", never)
+    plain = spark.createDataFrame([(1, "<p>a</i></p></b>"), (2, None)], "i int, html string")
+    assert {r.i: r.html for r in R.rewrite(plain, "i", "colors", "en-todo").collect()} == {1: "<p>a</p>", 2: None}
+
+
 def test_title_is_one_pass_and_leaves_the_body(spark):
     page = "<script><h1>no</h1></script><!-- <h2>no</h2> --><body><H1 class=x>A <i>b</i></H1><p>t</p><h2>c</h2></body>"
     many = "<p>x</p>" * 20_000 + "<h2>late</h2>"
