@@ -8,9 +8,9 @@ doc_id, or the same document before) is a repeat, and the words it covers go.
 2. Passages: the words around each recurring anchor that its windows span. Equal passages of a batch of documents become
    one row, the earliest, before anything is shuffled; the later ones are repeats whatever comes.
 3. Shards: passages are dealt out by anchor (an anchor with more than HOT occurrences: window by window, by the words), so
-   that all that may be equal meets. There the windows that recur are confirmed word by word, compiled into an
-   Aho-Corasick automaton with a letter for each word, and every passage is streamed through it to locate all
-   occurrences; each one that isn't the earliest is a repeat. An automaton holds at most PATTERNS windows or the
+   that all that may be equal meets. There equal passages are folded again; of anchors with different ones left, the
+   windows that recur are confirmed word by word, compiled into an Aho-Corasick automaton with a letter for each word, and
+   every passage is streamed through it to locate all occurrences; each one that isn't the earliest is a repeat. An automaton holds at most PATTERNS windows or the
    passages of one anchor.
 4. Ranges of repeated words return to their documents.
 
@@ -156,27 +156,53 @@ def _passages(window: int, gram: int):
     return run
 
 
+class _Letters(dict):
+    """A letter for each word, given out as words come; a ValueError beyond a million words, which PATTERNS and HOT rule out."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = letter = chr(0x10000 + len(self))
+        return letter
+
+
+def fold_equal(passages: list[tuple[tuple[int, int], int, int, str]]) -> tuple[list, list]:
+    """(different, later): the passages of one anchor with equal ones as the earliest, and the ranges of words of the later ones.
+
+    Windows of one passage have one anchor at one place and differ, and equal windows have equal anchors, so where only one
+    passage is left nothing else repeats, and none is different from it.
+    """
+    first: dict[str, list] = {}
+    later = []
+    for doc, at, n, words in passages:
+        f = first.get(words)
+        if f is None:
+            first[words] = [doc, at, n]
+            continue
+        if (doc, at) != (f[0], f[1]):
+            size = words.count(" ") + 1
+            old = max((doc, at), (f[0], f[1]))
+            later.append((old[0], old[1], old[1] + size))
+            f[:2] = min((doc, at), (f[0], f[1]))
+        f[2] += n
+    if len(first) == 1:
+        return [], later
+    return [(*f, words) for words, f in first.items()], later
+
+
 def locate_repeats(passages: list[tuple[tuple[int, int], int, int, str]], window: int) -> Iterator[tuple[tuple[int, int], int, int]]:
     """passages: (doc, first word, number, words). (doc, from, to): ranges of words in windows that also start earlier."""
     import ahocorasick
 
-    letters: dict[str, str] = {}
-    coded = []
-    for doc, at, n, words in passages:
-        ws = words.split(" ")
-        for w in ws:
-            if w not in letters:
-                letters[w] = chr(0x10000 + len(letters))  # a ValueError beyond a million words, which PATTERNS and HOT rule out
-        coded.append((doc, at, n, "".join(map(letters.__getitem__, ws))))
+    letters = _Letters()
+    coded = [(doc, at, n, "".join(map(letters.__getitem__, words.split(" ")))) for doc, at, n, words in passages]
     first: dict[str, list] = {}
-    for doc, at, n, s in coded:
+    for doc, at, _, s in coded:
         for o in range(len(s) - window + 1):
             w = s[o : o + window]
             f = first.get(w)
             if f is None:
-                first[w] = [doc, at + o, n]
+                first[w] = [doc, at + o, 1]
             else:
-                f[2] += n
+                f[2] += 1  # passages that were folded into one are not counted: of those the earliest is here
                 if (doc, at + o) < (f[0], f[1]):
                     f[:2] = doc, at + o
     automaton = ahocorasick.Automaton()
@@ -204,6 +230,7 @@ def locate_repeats(passages: list[tuple[tuple[int, int], int, int, str]], window
 def _locate(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[tuple[int, int], int, int, str]] = []
+        same: list[tuple[tuple[int, int], int, int, str]] = []
         patterns, last = 0, None
         names, kinds = [*ROW, "lo", "hi"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
@@ -212,6 +239,15 @@ def _locate(window: int):
                 flat = zip(*[(*doc, lo, hi) for doc, lo, hi in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], names)
 
+        def settle(rows: list[tuple]) -> int:
+            """The passages of an anchor, all read, to held and rows; how many windows go to held."""
+            nonlocal same
+            different, later = fold_equal(same) if len(same) > 1 else ([], [])
+            same = []
+            rows += later
+            held.extend(different)
+            return sum(words.count(" ") + 2 - window for *_, words in different)
+
         for batch in batches:
             rows = []
             for key, doc_id, tie, at, size, n, words in zip(*[batch.column(c.split()[0]).to_pylist() for c in PASSAGE.split(", ")]):
@@ -219,13 +255,17 @@ def _locate(window: int):
                 if words is None:
                     rows.append((doc, at, at + size))
                     continue
-                if key != last and patterns >= PATTERNS:
-                    yield from out(list(locate_repeats(held, window)))
-                    held, patterns = [], 0
+                if key != last:
+                    patterns += settle(rows)
+                    if patterns >= PATTERNS:
+                        yield from out(list(locate_repeats(held, window)))
+                        held, patterns = [], 0
                 last = key
-                held.append((doc, at, n, words))
-                patterns += size - window + 1
+                same.append((doc, at, n, words))
             yield from out(rows)
+        rows = []
+        settle(rows)
+        yield from out(rows)
         yield from out(list(locate_repeats(held, window)))
 
     return run

@@ -308,6 +308,18 @@ def test_repeats(docs, rows, window, gram, hot):
     assert got == _repeats(rows, window)
 
 
+def test_equal_passages_pass_no_automaton(monkeypatch):
+    passed = []
+    plain = repeats.locate_repeats
+    monkeypatch.setattr(repeats, "locate_repeats", lambda held, window: passed.extend(held) or plain(held, window))
+    rows = [(1, 5, 0, 2, 4, 2, "a b c d"), (1, 3, 0, 7, 4, 1, "a b c d"), (1, 3, 0, 7, 4, 1, "a b c d"), (1, 9, 0, 4, 6, 0, None), (2, 8, 0, 0, 4, 1, "e f g h"), (3, 1, 0, 0, 4, 1, "i j k l"), (3, 2, 0, 5, 4, 1, "j k l m"), (3, 4, 0, 5, 4, 1, "j k l m")]
+    names = [c.split()[0] for c in repeats.PASSAGE.split(", ")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part]) for part in (rows[:2], rows[2:6], rows[6:])]
+    got = sorted((r["doc_id"], r["lo"], r["hi"]) for b in repeats._locate(3)(iter(batches)) for r in b.to_pylist())
+    assert got == [(2, 5, 8), (4, 5, 9), (5, 2, 6), (9, 4, 10)]
+    assert sorted(p[3] for p in passed) == ["i j k l", "j k l m"]
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = repeats.remove_repeats(odd, 4, 2).collect()
     assert len(got) == odd.count() and all(r.n_removed == 0 for r in got if r.doc_id is None)
