@@ -382,6 +382,69 @@ def test_near_duplicates(docs, rows, shingle, block):
     assert got == _near(rows, shingle)
 
 
+def test_near_duplicates_of_large_families(spark, tmp_path, monkeypatch):
+    """A common passage ties documents that are not alike, and one cluster is larger than a block: texts are not shipped once for every block."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, base = " ".join(word() for _ in range(24)), [word() for _ in range(120)]
+    texts = [f"{passage} {' '.join(word() for _ in range(24))}" for _ in range(70)]
+    texts += [f"{t} {word()}" for t in texts[:5]]
+    for _ in range(30):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    confirm, waves = near_dedup._confirm, []
+
+    def counted(n: int, percent: int):
+        run, place = confirm(n, percent), tmp_path / str(len(waves))
+        place.mkdir()
+        waves.append(place)
+
+        def count(batches):
+            for batch in batches:
+                (place / f"{batch.num_rows}-{random.SystemRandom().random()}").touch()
+                yield batch
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, block=8, crowd=5).collect()}
+    assert got == _near(rows, 4) and sum(not kept for *_, kept in got.values()) > 30
+    shipped = [sum(int(p.name.split("-")[0]) for p in place.iterdir()) for place in waves]
+    assert len(shipped) > 1 and max(shipped) <= 2 * len(texts) and sum(shipped) <= 4 * len(texts)
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 7, 12])
+def test_waves_take_each_distance_of_blocks_once(blocks):
+    waves = list(near_dedup._waves([(blocks, 100), (1, 50)]))
+    assert [d for a, b in waves for d in range(a, b)] == list(range(blocks // 2 + 1))
+    for a, b in waves:
+        assert sum((100 if d == 0 or 2 * d == blocks else 200) + 50 * (d == 0) for d in range(a, b)) <= 2 * 150
+    assert list(near_dedup._waves([])) == [(0, 1)]
+
+
+def test_likely_partners_connect_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (6, 128), dtype=np.uint16)
+    signs = base[rng.integers(0, 6, 120)]
+    signs = np.where(rng.random(signs.shape) < rng.uniform(0.05, 0.4, (120, 1)), rng.integers(0, 1 << 16, signs.shape, dtype=np.uint16), signs)
+    size, block = rng.integers(80, 130, 120), np.zeros(120, np.int64)
+
+    def components(pairs):
+        label = np.arange(120)
+        for u, v in pairs:
+            label[label == label[u]] = label[v]
+        return {tuple(np.flatnonzero(label == x)) for x in label}
+
+    every = [(u, v) for u in range(120) for v in range(u) if 100 * min(size[u], size[v]) >= 80 * max(size[u], size[v]) and (signs[u] == signs[v]).mean() >= 0.8 - near_dedup.DOUBT * np.sqrt(0.16 / 128)]
+    links = near_dedup._likely(size, signs, np.arange(120), block, 80)
+    assert set(links) <= {*every, *((v, u) for u, v in every)} and len(links) < 120
+    assert 6 < len(components(every)) < 120 and components(links) == components(every)
+    assert near_dedup._likely(size, signs, np.zeros(120, np.int64), block, 80) == []
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count() and all(r.kept for r in got)
